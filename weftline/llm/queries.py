@@ -5,30 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import quality_rules, toxicity
 from weftline.llm.common import table
 from weftline.llm.fingerprints import fingerprint_edits
+from weftline.llm.lattice_lm import lattice_scores
 from weftline.llm.mixing import Mix
+from weftline.llm.packing import pack
+from weftline.llm.simhash import hex_digits, near_duplicates
 from weftline.llm.url_filter import filter_urls
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return toxicity.score(d, toxicity.train(d, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return quality_rules.judge(d, quality_rules.train(d, table(spark, sf_dir, "labels")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).taken()
+    t = Mix(documents(spark, sf_dir).select("doc_id", "source", "text")).taken()
     return t.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_lattice_scores": op3_lattice_scores,
+        "op4_packing": op4_packing,
         "op6_fingerprints": op6_fingerprints,
+        "op7_toxicity": op7_toxicity,
+        "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
+        "op10_simhash": op10_simhash,
     }
 
 
