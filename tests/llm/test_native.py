@@ -139,6 +139,8 @@ def test_exact_groups_and_collisions(spark, monkeypatch):
     df = spark.createDataFrame([(3, "A  b"), (1, "a b"), (2, "c"), (None, None), (7, "")], "doc_id long, text string")
     got = {r.doc_id: r.group_id for r in fingerprints.exact_groups(df).collect()}
     assert got == {3: 1, 1: 1, 2: 2, None: 7, 7: 7}
+    d = fingerprints.digests(df)
+    assert fingerprints.colliding(d, 0).count() == fingerprints.colliding(d).count() == 0
     monkeypatch.setattr(fingerprints, "wide_digest", lambda c: F.lit("0" * 32))  # every digest collides
     rows = fingerprints.exact_groups(df).collect()
     assert {r.doc_id: r.group_id for r in rows} == got

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.common import materialize
+
 #: ICU, which Spark ships for its collations, composes (NFKC) and folds case; reflect() runs it inside the JVM.
 _COMPOSE = ("com.ibm.icu.text.Normalizer", "compose")
 _FOLD = ("com.ibm.icu.lang.UCharacter", "foldCase")
 _LOWEST = -(2**63)
+#: Digests of two or more rows up to which their list (40 bytes each) is broadcast.
+BROADCAST_GROUPS = 500_000
 
 
 def _icu(method: tuple[str, str], c: Column) -> Column:
@@ -36,16 +40,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return d.withColumn("digest", wide_digest(F.col("canon")))
 
 
-def colliding(d: DataFrame) -> DataFrame:
+def colliding(d: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Rows of digests() whose bytes differ from those of the first row of their bucket.
 
     Only digests that occur twice or more are compared, each row against one representative by an
-    equi-join on the digest, so a bucket with a third of all rows is split by the skew join.
+    equi-join on the digest, so a bucket with a third of all rows is split by the skew join. Where the
+    list of such digests is counted and short it is broadcast, and only their rows move; a longer list
+    is joined by a shuffle.
     """
-    buckets = d.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("id", F.lit(_LOWEST))).alias("rep"))
-    shared = buckets.where("n > 1").select("digest", "rep")
+    key = F.coalesce("id", F.lit(_LOWEST))
+    buckets = d.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("rep"))
+    shared = materialize(buckets.where("n > 1").select("digest", "rep"))
+    if shared.count() <= broadcast_groups:
+        shared = F.broadcast(shared)
     rows = d.join(shared, "digest")
-    first = rows.where(F.coalesce("id", F.lit(_LOWEST)) == F.col("rep")).groupBy("digest").agg(F.min("canon").alias("first"))
+    first = rows.where(key == F.col("rep")).groupBy("digest").agg(F.min("canon").alias("first"))
     return rows.join(first, "digest").where("canon <> first").select("id", "canon", "digest")
 
 
