@@ -14,9 +14,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    steady_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def steady_reads(spark: SparkSession) -> None:
+    """Reads Parquet pages as they are needed. Vectored reads would keep whole column chunks, tens of
+    MB for texts, in buffers outside the heap for each reading thread."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -39,6 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back. That cuts the lineage,
     survives the loss of executors and is smaller than a checkpoint of rows."""
     spark = df.sparkSession
+    steady_reads(spark)
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

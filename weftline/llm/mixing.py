@@ -112,9 +112,14 @@ class Mix:
         self.slots = slots(self.sources, shard_slots, seed)
         self.pieces = pieces(self.sized, self.sources, block_words, spread(self.sized.count()))
 
+    def _times(self) -> DataFrame:
+        """How often the mix takes each block. The optimizer sees the few rows of sources behind it and
+        would broadcast it, though it grows with the input."""
+        return self.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times")).hint("merge")
+
     def taken(self) -> DataFrame:
         """Every document with the words that the mix takes from it."""
-        times = self.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+        times = self._times()
         got = self.pieces.join(times, ["rank", "block"], "left").groupBy("rank", "id", "size", "begin")
         got = got.agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
         names = self.sources.select("source", "rank", "source_size", "target")
@@ -126,7 +131,7 @@ class Mix:
         """The mix as rows of the documents' own columns: up to three rows per document, the r-th with
         the words whose blocks are taken r times or more, in their order in the document. A document
         taken whole keeps its text to the byte; otherwise words are joined by one space."""
-        times = self.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        times = self._times()
         got = self.pieces.join(times, ["rank", "block"]).groupBy("id", "source", "size", "begin")
         got = got.agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("parts"))
         got = got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max("parts.times"))))
