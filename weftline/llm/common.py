@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,22 @@ def steady_reads(spark: SparkSession) -> None:
     """Reads Parquet pages as they are needed. Vectored reads would keep whole column chunks, tens of
     MB for texts, in buffers outside the heap for each reading thread."""
     spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that Python workers can import it
+    wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weftline_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    to = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline_package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted((root / "weftline").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(to))
+    sc._weftline_shipped = True
 
 
 def lower_ascii(c: Column) -> Column:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from weftline.llm import quality_rules, toxicity
 from weftline.llm.common import table
 from weftline.llm.fingerprints import fingerprint_edits
+from weftline.llm.html_text import main_text
 from weftline.llm.lattice_lm import lattice_scores
 from weftline.llm.mixing import Mix
 from weftline.llm.packing import pack
 from weftline.llm.simhash import hex_digits, near_duplicates
+from weftline.llm.suffix_dedup import without_repeats
 from weftline.llm.url_filter import filter_urls
 
 
@@ -23,6 +25,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(documents(spark, sf_dir))
 
@@ -31,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
@@ -57,8 +68,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_lattice_scores": op3_lattice_scores,
         "op4_packing": op4_packing,
+        "op5_main_text": op5_main_text,
         "op6_fingerprints": op6_fingerprints,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
