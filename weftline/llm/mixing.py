@@ -72,12 +72,12 @@ def source_targets(sized: DataFrame, block_words: int) -> DataFrame:
     return s.select("source", "rank", "source_size", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
 
 
-def slots(sources: DataFrame, shard_slots: int, seed: int, run: int = 50_000) -> DataFrame:
+def slots(sources: DataFrame, shard_slots: int, seed: int, run: int = 50_000, tasks: int = 8) -> DataFrame:
     """(shard, place, rank, block): one row per slot of the mix. Slots are numbered in runs that are
     dealt over the cluster before they are unrolled, for one source may own a third of them."""
     s = sources.where("n_slots > 0")
     runs = s.select("rank", "n_blocks", "n_slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / run).cast("int"))).alias("run"))
-    runs = runs.repartition("rank", "run")
+    runs = runs.repartition(tasks, "rank", "run")  # a number, for the optimizer would make one task of a few rows
     j = F.explode(F.sequence(F.col("run") * F.lit(run).cast("long"), F.least((F.col("run") + 1) * F.lit(run).cast("long"), F.col("n_slots")) - 1))
     t = runs.select("rank", "n_blocks", "first_slot", "all_slots", j.alias("j"))
     t = t.withColumn("epoch", F.floor(F.col("j") / F.col("n_blocks"))).withColumn("i", F.pmod(F.col("j"), F.col("n_blocks")))
@@ -109,7 +109,8 @@ class Mix:
         self.docs, self.block_words = docs, block_words
         self.sized = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
         self.sources = materialize(source_targets(self.sized, block_words))
-        self.slots = slots(self.sources, shard_slots, seed)
+        n = int(self.sources.agg(F.sum("n_slots")).first()[0] or 0)
+        self.slots = slots(self.sources, shard_slots, seed, tasks=max(8, n // 100_000))
         self.pieces = pieces(self.sized, self.sources, block_words, spread(self.sized.count()))
 
     def _times(self) -> DataFrame:
