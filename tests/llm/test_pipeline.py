@@ -1,13 +1,14 @@
 """The pipeline, stage by stage, against plain Python."""
 
+import itertools
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 import pytest
-from pyspark.sql import functions as F
-from weftline.llm import queries
+from weftline.llm import queries, simhash
 
-from tests.llm.test_python_style import brute_components, brute_repeats, brute_simhash
+from tests.llm.test_python_style import brute_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,17 +34,39 @@ def test_toxic_documents_go(spark, docs):
 
 
 def test_one_of_each_group_stays(spark, docs):
-    more = docs.where("doc_id < 3").withColumn("text", F.concat("text", F.lit(" "))).withColumn("doc_id", F.col("doc_id") + 5000)
-    d = docs.union(more).union(docs.where("doc_id = 2")).union(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
-    fps = {i: brute_simhash(r.text) for i, r in enumerate(d.collect())}
-    ids = [r.doc_id for r in d.collect()]
+    rnd = random.Random(8)
+    base = [r.text for r in docs.where("n_chars > 1500").orderBy("doc_id").limit(12).collect()]
+    rows = [tuple(r) for r in docs.collect()]
+    for k, t in enumerate(base):
+        for i in range(70 if k == 0 else 4):  # a group above the bucket size
+            words = t.split(" ")
+            for _ in range(max(1, len(words) // rnd.choice([60, 120, 400]))):
+                words[rnd.randrange(len(words))] = rnd.choice(["zork", "plim", "vatu"])
+            rows.append((5000 + 100 * k + i, " ".join(words), "en", "s", 1))
+    rows += [(9000, None, "en", "s", 0), (9001, "", "en", "s", 0), (9002, " ", "en", "s", 1), (2, rows[2][1], "en", "s", 1), (None, rows[4][1], "en", "s", 1), (9003, "A b", "en", "s", 3), (9004, "a  B", "en", "s", 4)]
+    d = spark.createDataFrame(rows, docs.schema)
+    sets = [set(simhash.shingle_hashes(r[1], 5).tolist()) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
+        if (len(x & y) >= 0.8 * len(x | y)) if x or y else True:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
     groups = defaultdict(list)
-    for i, g in brute_components(fps).items():
-        groups[g].append(ids[i])
+    for i, r in enumerate(rows):
+        groups[find(i)].append(r[0])
     got = cp.drop_near_duplicates(spark, d, SF)
     assert got.columns == d.columns
     want = Counter(min((x for x in v if x is not None), default=None) for v in groups.values())
-    assert Counter(r.doc_id for r in got.collect()) == want
+    left = Counter(r.doc_id for r in got.collect())
+    assert not want - left  # no group is lost
+    assert sum((left - want).values()) <= 0.01 * len(rows)  # bands miss a pair in 250
 
 
 def test_repeated_passages_go(spark, docs):

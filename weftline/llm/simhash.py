@@ -36,14 +36,18 @@ PAIRED = 32
 FREE_BITS = {ij: [b for k in range(BLOCKS) if k not in ij for b in range(k * BLOCK_BITS, (k + 1) * BLOCK_BITS)] for ij in combinations(range(BLOCKS), 2)}
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64 bits; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles, repeats included; a text of fewer words is one shingle, none has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)), strict=False)] or [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         bits = np.unpackbits(h[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -51,6 +55,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64 bits; 0 for a text without words."""
+    h = shingle_hashes(text, shingle)
+    return majority(h) if len(h) else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
@@ -130,3 +140,88 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, paired: int = PAIRE
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+# --- near copies by shingle similarity -----------------------------------------------------------
+
+#: Near copies share this part (Jaccard) or more of their sets of five-word shingles.
+WORDS, SIMILAR = 5, 0.8
+#: Bands of minima that propose pairs: a pair of similarity 0.8 shares one with probability 0.996.
+BANDS, MINIMA = 14, 5
+#: Bits in which fingerprints of near copies may differ: 27 degrees are 10 bits in the mean; 22 is four deviations more.
+NEAR_BITS = 22
+#: Members of a band's bucket that are paired with each other.
+BUCKET = 48
+#: Size up to which a list of pairs is broadcast to pick their texts.
+PAIR_BYTES = 48_000_000
+_FACTORS = np.random.default_rng(29).integers(1, 2**63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """One number for each band of minima of a set of hashes."""
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 8_192):
+        low = np.minimum(low, (h[at : at + 8_192, None] * _FACTORS[None, :]).min(axis=0))
+    rows = low.astype("<u8").reshape(BANDS, MINIMA)
+    return [xxhash.xxh64_intdigest(r.tobytes(), SEED) - 2**63 for r in rows]
+
+
+def similarity(a: str | None, b: str | None, shingle: int = WORDS) -> float:
+    """Jaccard similarity of the sets of shingles; texts without words are alike."""
+    x, y = set(shingle_hashes(a, shingle).tolist()), set(shingle_hashes(b, shingle).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _texts_of(rows: DataFrame, pairs: DataFrame, side: str, name: str) -> DataFrame:
+    """The pairs with the text of one side. A list of pairs that is short by its measured size goes to the
+    texts; else both move."""
+    asked = pairs.withColumnRenamed(side, "row")
+    n = pairs.count()
+    return rows.join(F.broadcast(asked) if n * 40 <= PAIR_BYTES else asked, "row").withColumnsRenamed({"row": side, "text": name})
+
+
+def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """(row, component): groups of texts that are equal or near copies, for docs (row unique, text).
+
+    Equal texts are one node. Nodes that share a band propose pairs; in buckets of over `bucket` members
+    every member is paired with three representatives (smallest, largest, of the smallest fingerprint)
+    and not with each other, so a group of thousands grows linearly. Pairs go through the pivot table (a coordinate
+    that differs by more than NEAR_BITS discards them), then the Hamming distance, and survivors are
+    verified by the exact similarity of their shingle sets. component is the smallest row of a group.
+    """
+    rows = docs.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("weftline"), F.octet_length("text"), "text").alias("k2")]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, keys = [], []
+            for t in b.column(3):
+                h = shingle_hashes(t.as_py(), shingle)
+                fps.append(_signed(majority(h)) if len(h) else 0)
+                keys.append(bands(h))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "k1", "k2", "fp", "bands"])
+
+    marked = materialize(rows.select("row", *key, "text").mapInArrow(sketch, "row long, k1 long, k2 long, fp long, bands array<long>"))
+    same = marked.groupBy("k1", "k2").agg(F.min("row").alias("node"))
+    nodes = materialize(marked.join(same, ["k1", "k2"]).select("row", "node"))
+    single = marked.join(same.select(F.col("node").alias("row")), "row", "left_semi")
+    placed = single.select(F.col("row").alias("node"), "fp", F.posexplode("bands").alias("band", "value"))
+    groups = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("r1"), F.max(F.struct("node", "fp")).alias("r2"), F.min(F.struct("fp", "node")).alias("r3"))
+    shared = materialize(placed.join(groups.where("n > 1"), ["band", "value"]))
+    few = shared.where(F.col("n") <= bucket).select("band", "value", "node", "fp")
+    twos = few.withColumnsRenamed({"node": "a", "fp": "fa"}).join(few.withColumnsRenamed({"node": "b", "fp": "fb"}), ["band", "value"]).where("a < b").select("a", "fa", "b", "fb")
+    reps = F.array(*[F.struct(F.col(f"{r}.node").alias("node"), F.col(f"{r}.fp").alias("fp")) for r in ("r1", "r2", "r3")])
+    star = shared.where(F.col("n") > bucket).select("node", "fp", F.explode(F.array_distinct(reps)).alias("r")).where("node <> r.node")
+    star = star.select(F.least("node", "r.node").alias("a"), F.when(F.col("node") < F.col("r.node"), F.col("fp")).otherwise(F.col("r.fp")).alias("fa"), F.greatest("node", "r.node").alias("b"), F.when(F.col("node") < F.col("r.node"), F.col("r.fp")).otherwise(F.col("fp")).alias("fb"))
+    pairs = twos.union(star).where(largest_difference(F.col("fa"), F.col("fb")) <= NEAR_BITS)
+    pairs = pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR_BITS)
+    pairs = materialize(pairs.select("a", "b").distinct())
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = _texts_of(rows, pairs, "a", "ta").join(_texts_of(rows, pairs, "b", "tb"), ["a", "b"]).select("a", "b", "ta", "tb")
+    comp = connected_components(both.mapInArrow(verify, "a long, b long"), "a", "b")
+    return nodes.join(comp.withColumnRenamed("node", "root"), F.col("node") == F.col("root"), "left").select("row", F.coalesce("component", "node").alias("component"))
