@@ -80,5 +80,45 @@ def queries() -> dict:
     }
 
 
+#: Rules, aliases over canonical links and refreshes (connected components by recursion), verdicts.
+OP1_SQL = r"""WITH RECURSIVE p AS (SELECT page_id, url, html FROM pages),
+hinted AS (SELECT url, html FROM p WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|http-equiv')),
+tags AS (SELECT url, unnest(list_concat(
+  [regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) FOR t IN regexp_extract_all(html, '(?is)<link\b[^>]*>') IF regexp_matches(t, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')],
+  [regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FOR t IN regexp_extract_all(html, '(?is)<meta\b[^>]*>') IF regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')])) AS href FROM hinted),
+found AS (SELECT url, replace(href, '&amp;', '&') AS href, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site,
+  regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) AS folder, regexp_extract(url, '(?s)^(.*?:)//', 1) AS scheme FROM tags WHERE href <> ''),
+links AS (SELECT url AS a, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN scheme || href
+  WHEN starts_with(href, '/') THEN site || href ELSE CASE WHEN folder = site THEN site || '/' ELSE folder END || href END AS b FROM found),
+keyed AS (SELECT regexp_replace(a, '(?s)#.*$', '') AS a, regexp_replace(b, '(?s)#.*$', '') AS b FROM links),
+low AS (SELECT translate(regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(a, length(regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1)) + 1) AS a,
+  translate(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(b, length(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1)) + 1) AS b FROM keyed),
+edges AS (SELECT a, b FROM low WHERE a <> b UNION SELECT b, a FROM low WHERE a <> b),
+reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1),
+every AS (SELECT url AS u FROM p WHERE url IS NOT NULL UNION SELECT node FROM comp),
+parts AS (SELECT u, coalesce(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM every),
+rules(verdict, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+hit AS (SELECT u, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS own FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1),
+votes AS (SELECT component, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM comp LEFT JOIN hit ON u = node GROUP BY 1),
+own_key AS (SELECT u, translate(regexp_extract(regexp_replace(u, '(?s)#.*$', ''), '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(regexp_replace(u, '(?s)#.*$', ''), length(regexp_extract(regexp_replace(u, '(?s)#.*$', ''), '(?s)^(.*?://[^/?#]*)', 1)) + 1) AS key FROM every)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(own, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN parts ON parts.u = url LEFT JOIN hit ON hit.u = url LEFT JOIN own_key k ON k.u = url LEFT JOIN comp ON node = key LEFT JOIN votes USING (component)"""
+
+#: Every window of 400 bytes of every text, counted by digest.
+OP2_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+n AS (SELECT r, doc_id, b, octet_length(b) AS n, hex(b) AS x FROM d),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT r, x, unnest(range(0, greatest(n - 399, 0))) AS i FROM n)),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM c)),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS f FROM s),
+k AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+v AS (SELECT r, k, min(i) AS a, max(i) + 400 AS z FROM k GROUP BY 1, 2),
+o AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM v),
+q AS (SELECT o.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM o JOIN n USING (r) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM n LEFT JOIN q USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries hash with seeds that SQL has not, tokenize, or learn: tests compare them with brute force."""
+    return {"op1_url_filter": OP1_SQL, "op2_suffix_dedup": OP2_SQL}
