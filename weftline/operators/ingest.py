@@ -163,7 +163,7 @@ def group_items(items: DataFrame, batch_document: str | None = None) -> DataFram
 
 def collapse_verbatim(facts: DataFrame) -> DataFrame:
     """One fact per chunk: the first fact's text, all entities of its facts once."""
-    g = facts.groupBy("chunk_id").agg(F.min_by("text", "position").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"))
+    g = facts.groupBy("chunk_id").agg(F.min_by("text", F.struct("position", "text")).alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"))
     return g
 
 

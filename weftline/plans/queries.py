@@ -569,7 +569,7 @@ def conversation_segments(spark, sf):
     return ingest.segments(table(spark, sf, "conversations"), 600)
 
 
-@query("WITH " + CHUNK_SQL.format(n=1000, src="documents") + " SELECT doc_id, chunk_index // 4 AS write_window, count(*) AS n FROM c GROUP BY 1, 2")
+@query("WITH " + CHUNK_SQL.format(n=1000, src="documents") + " SELECT doc_id, (chunk_index // 4)::BIGINT AS write_window, count(*) AS n FROM c GROUP BY 1, 2")
 def write_windows(spark, sf):
     c = ingest.write_windows(ingest.fixed_chunks(table(spark, sf, "documents"), 1000), 4)
     return c.groupBy("doc_id", "write_window").agg(F.count(F.lit(1)).alias("n"))
