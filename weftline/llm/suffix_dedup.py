@@ -30,9 +30,10 @@ from weftline.llm.common import materialize
 LENGTH = 400
 GRAM = 32
 BATCH_BYTES = 2_000_000
-SHARD_BYTES = 1_500_000
+#: Small enough for a shard's arrays to stay in a processor's cache.
+SHARD_BYTES = 300_000
 #: Distinct segments of one anchor that go to one shard.
-SHARD_SEGMENTS = 1_000
+SHARD_SEGMENTS = 500
 #: Size up to which a list of documents (keys and intervals) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_BYTES = 48_000_000
 _TABLE = np.random.default_rng(17).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
@@ -53,42 +54,53 @@ def packed8(t: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of t in order. Larsson-Sadakane: suffixes sorted by their first h bytes are
-    refined to 2h by the ranks of what follows; groups of one are left alone."""
+    """Starts of the suffixes of t (under 2 GB) in order. Larsson-Sadakane: suffixes sorted by their first h
+    bytes are refined to 2h by the ranks of what follows; groups of one are left alone."""
     n = len(t)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     key = packed8(t)
-    order = np.argsort(key, kind="stable")
-    # Zeros after the end must sort before real zero bytes: shorter suffixes come first.
-    tail = order[order >= n - 8]
-    if len(tail) and (t == 0).any():
-        short = np.minimum(n - order, 8)
-        order = order[np.lexsort((short, key[order]))]
-        new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (np.minimum(n - order[1:], 8) != np.minimum(n - order[:-1], 8))])
+    if (t == 0).any():  # zeros after the end sort before real zero bytes: shorter suffixes come first
+        short = np.minimum(n - np.arange(n), 8)
+        order = np.lexsort((short, key))
+        new = _starts(key[order]) | _starts(short[order])
     else:
-        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = first
+        order = np.argsort(key)
+        new = _starts(key[order])
+    rank = np.empty(n + 1, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    rank[n] = -1  # what follows the end
+    order = order.astype(np.int32)
+    live = np.flatnonzero(~_alone(new)).astype(np.int32)  # places in order whose group has several suffixes
     h = 8
-    single = new & np.concatenate([new[1:], [True]])
-    live = np.flatnonzero(~single)  # places in order whose group has several suffixes
     while len(live):
         s = order[live]
-        follow = np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + 1, 0)
-        by = np.lexsort((follow, rank[s]))
-        s, follow = s[by], follow[by]
-        group = rank[s]
+        follow = rank[np.minimum(s.astype(np.int64) + h, n)]
+        pair = (rank[s].astype(np.int64) << 32) | (follow.astype(np.int64) + 1)
+        by = np.argsort(pair)
+        s, pair = s[by], pair[by]
         order[live] = s
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-        rank[s] = live[begin]
-        live = live[~(new & np.concatenate([new[1:], [True]]))]
+        new = _starts(pair)
+        rank[s] = live[np.maximum.accumulate(np.where(new, np.arange(len(s), dtype=np.int32), 0))]
+        live = live[~_alone(new)]
         h *= 2
     return order
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _alone(new: np.ndarray) -> np.ndarray:
+    """Which runs that start here also end here."""
+    out = new.copy()
+    out[:-1] &= new[1:]
+    return out
+
+
 def common_prefixes(t: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position: how many bytes its suffix shares with the one before it in order, and which
     that is (-1 for the first). Kasai: the number drops by at most one from a position to the next. It
@@ -246,7 +258,10 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     often = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loops").alias("any")).where("n > 1 or any").select("anchor")
     # Copies of a text have equal keys: their segments become one row each, with a count.
     same = ["anchor", "h1", "h2", "k1", "k2", "start", "size", "loops"]
-    cand = materialize(segs.join(often, "anchor").groupBy(*same).agg(F.count(F.lit(1)).alias("n")))
+    # The anchor is computed anew after the join, so that the grouping does not reuse its partitions: those of
+    # a frequent anchor are split by the skew join, and each part is counted before it moves.
+    repeated = segs.join(often, "anchor").withColumn("anchor", F.col("anchor").bitwiseXOR(F.lit(0)))
+    cand = materialize(repeated.groupBy(*same).agg(F.count(F.lit(1)).alias("n")))
     kinds = cand.groupBy("anchor", "h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("rep"), F.bool_or("loops").alias("loops"))
     kinds = materialize(kinds.select("anchor", "h1", "h2", "n", "rep.*", "loops"))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("loops").alias("any")).where("kinds > 1 or any").drop("any")
