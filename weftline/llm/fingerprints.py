@@ -13,6 +13,8 @@ _FOLD = ("com.ibm.icu.lang.UCharacter", "foldCase")
 _LOWEST = -(2**63)
 #: Digests of two or more rows up to which their list (40 bytes each) is broadcast.
 BROADCAST_GROUPS = 500_000
+#: Size up to which the representatives' texts are broadcast.
+BROADCAST_BYTES = 48_000_000
 
 
 def _icu(method: tuple[str, str], c: Column) -> Column:
@@ -46,7 +48,7 @@ def colliding(d: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFra
     Only digests that occur twice or more are compared, each row against one representative by an
     equi-join on the digest, so a bucket with a third of all rows is split by the skew join. Where the
     list of such digests is counted and short it is broadcast, and only their rows move; a longer list
-    is joined by a shuffle.
+    is joined by a shuffle. So are the representatives, by their measured size.
     """
     key = F.coalesce("id", F.lit(_LOWEST))
     buckets = d.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("rep"))
@@ -54,7 +56,9 @@ def colliding(d: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFra
     if shared.count() <= broadcast_groups:
         shared = F.broadcast(shared)
     rows = d.join(shared, "digest")
-    first = rows.where(key == F.col("rep")).groupBy("digest").agg(F.min("canon").alias("first"))
+    first = materialize(rows.where(key == F.col("rep")).groupBy("digest").agg(F.min("canon").alias("first")))
+    if (first.agg(F.sum(F.octet_length("first") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
+        first = F.broadcast(first)
     return rows.join(first, "digest").where("canon <> first").select("id", "canon", "digest")
 
 
