@@ -9,7 +9,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from weftline.llm import html_text, lattice_lm, packing, quality_rules, simhash, suffix_dedup, toxicity
@@ -64,7 +63,7 @@ def test_repeats(spark, docs, small):
     rows = [tuple(r) for r in docs.collect()]
     rows += [(10_000 + i, f"{word()} {word()} {passage} {word() * 3} {passage[i:] if i % 2 else ''}{word()}") for i in range(40)]
     rows += [(20_000, "a" * 401), (20_001, "a" * 399), (20_002, "ab" * 700), (None, None), (20_003, ""), (20_003, passage), (20_003, passage), (20_004, "x" * 400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k1", F.lit("clash")).drop("k1").withColumn("size", F.lit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("k1", "t", "size", "kept", "marks", "anchor")})
     how = {"shard_bytes": 20_000, "shard_segments": 4} if small else {}
     got = suffix_dedup.without_repeats(df, 400, **how).collect()
     want = sorted(zip([str(r[0]) for r in rows], brute_repeats([r[1] for r in rows], 400), strict=True))
