@@ -1,7 +1,8 @@
 """Distributed connected components by alternating large-star and small-star steps.
 
 Each step is a minimum per node (with partial aggregation) and an equi-join back, so a hub that
-touches a third of all edges is split by Spark's skew join and never gathered into one task. The
+touches a third of all edges is split by Spark's skew join and never gathered into one task. (Minima are
+written before the join: Spark splits a join only where both sides come straight from a shuffle.) The
 number of rounds grows with the logarithm of the component size.
 """
 
@@ -31,13 +32,15 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if not seen[0]:
             break
         both = e.union(e.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = materialize(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(low)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         nxt = materialize(small.union(least.select("a", "m")).distinct())
         discard(large)
+        discard(least)
         now = _digest(nxt)
         discard(e)
         e, (seen, before) = nxt, (now, seen)

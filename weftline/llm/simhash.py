@@ -106,7 +106,8 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     codes = fps.select("fp", *[block_code(F.col("fp"), k).alias(f"c{k}") for k in range(BLOCKS)])
     keys = F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for n, (i, j) in enumerate(FREE_BITS)])
     rows = codes.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
-    sizes = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written before the join: Spark splits a join only where both sides come straight from a shuffle.
+    sizes = materialize(rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = materialize(rows.join(sizes, ["pair", "x", "y"]))
     few = shared.where(F.col("n") <= paired).select("pair", "x", "y", "fp")
     twos = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["pair", "x", "y"]).where("a < b")
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, paired: int = PAIRE
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     comp = connected_components(links(fps, paired), "a", "b")
     roots = fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    names = materialize(roots.groupBy("root").agg(F.min("low").alias("component_id")))
     named = roots.join(names, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -202,12 +203,12 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR, b
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "k1", "k2", "fp", "bands"])
 
     marked = materialize(rows.select("row", *key, "text").mapInArrow(sketch, "row long, k1 long, k2 long, fp long, bands array<long>"))
-    same = marked.groupBy("k1", "k2").agg(F.min("row").alias("node"))
+    same = materialize(marked.groupBy("k1", "k2").agg(F.min("row").alias("node")))
     nodes = materialize(marked.join(same, ["k1", "k2"]).select("row", "node"))
     single = marked.join(same.select(F.col("node").alias("row")), "row", "left_semi")
     placed = single.select(F.col("row").alias("node"), "fp", F.posexplode("bands").alias("band", "value"))
     groups = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("r1"), F.max(F.struct("node", "fp")).alias("r2"), F.min(F.struct("fp", "node")).alias("r3"))
-    shared = materialize(placed.join(groups.where("n > 1"), ["band", "value"]))
+    shared = materialize(placed.join(materialize(groups.where("n > 1")), ["band", "value"]))
     few = shared.where(F.col("n") <= bucket).select("band", "value", "node", "fp")
     twos = few.withColumnsRenamed({"node": "a", "fp": "fa"}).join(few.withColumnsRenamed({"node": "b", "fp": "fb"}), ["band", "value"]).where("a < b").select("a", "fa", "b", "fb")
     reps = F.array(*[F.struct(F.col(f"{r}.node").alias("node"), F.col(f"{r}.fp").alias("fp")) for r in ("r1", "r2", "r3")])

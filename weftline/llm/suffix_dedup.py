@@ -255,7 +255,8 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("t", text).withColumns({c: k for c, k in zip(("k1", "k2"), text_key(F.col("t")), strict=True)})
     segs = materialize(all_segments(keyed.where(F.octet_length("t") >= length), length, gram))
-    often = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loops").alias("any")).where("n > 1 or any").select("anchor")
+    # Written before the joins: Spark splits a join only where both sides come straight from a shuffle.
+    often = materialize(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loops").alias("any")).where("n > 1 or any").select("anchor"))
     # Copies of a text have equal keys: their segments become one row each, with a count.
     same = ["anchor", "h1", "h2", "k1", "k2", "start", "size", "loops"]
     # The anchor is computed anew after the join, so that the grouping does not reuse its partitions: those of
@@ -264,7 +265,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     cand = materialize(repeated.groupBy(*same).agg(F.count(F.lit(1)).alias("n")))
     kinds = cand.groupBy("anchor", "h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("rep"), F.bool_or("loops").alias("loops"))
     kinds = materialize(kinds.select("anchor", "h1", "h2", "n", "rep.*", "loops"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("loops").alias("any")).where("kinds > 1 or any").drop("any")
+    several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("loops").alias("any")).where("kinds > 1 or any").drop("any"))
     wanted = materialize(kinds.join(several, "anchor"))
     # Texts of the segments that have to be compared, cut out where the documents are.
     places = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "h1", "h2", "kinds", "start", "size")).alias("parts"))
@@ -350,14 +351,20 @@ def covered(marks: list[dict], n: int, length: int) -> np.ndarray:
     return np.column_stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)])
 
 
+#: Names of results and working columns.
+_TAKEN = {"spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "t", "k1", "k2", "marks"}
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **how) -> DataFrame:
     """Every row of docs (but its text) with spans (removed byte ranges), n_bytes, n_removed, n_spans,
     kept_sha256, and kept: the bytes that stay, or with as_text their text without halves of characters.
 
     Windows are judged on the texts as they are, so all occurrences of a repeated passage go. Null texts
     count as empty; a row that repeats another is another document, so both lose all windows; texts of
-    fewer than `length` bytes lose nothing; ids play no part and may be null or repeated.
+    fewer than `length` bytes lose nothing; ids play no part and may be null or repeated. Columns of docs
+    with the name of a result or of a working column are left out.
     """
+    docs = docs.select(*[c for c in docs.columns if c not in _TAKEN])
     keyed, marks = repeated_intervals(docs, length, **how)
     marks = _by_size(marks, F.aggregate("marks", F.lit(0), lambda a, m: a + 24 + F.coalesce(F.length(m["runs"]), F.lit(0))))
     joined = keyed.join(marks, ["k1", "k2"], "left").drop("k1", "k2")
