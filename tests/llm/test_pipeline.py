@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from weftline.llm import queries, simhash
 
@@ -104,3 +105,41 @@ def test_empty_table(spark, docs):
         assert none.count() == 0
 
 
+
+
+def test_star_of_unlike_copies(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 1001):
+        w = list(words)
+        for i in rnd.sample(range(10, 390, 10), 7):
+            w[i] = f"z{k}x{i}"
+        rows.append((k, " ".join(w)))
+    rnd.shuffle(rows)
+    text = dict(rows)
+    assert all(simhash.similarity(text[0], text[k]) >= 0.8 for k in range(1, 1001))
+    # Edits of the same places are more alike than others; most are below the threshold.
+    assert sum(simhash.similarity(text[k], text[k + 1]) < 0.8 for k in range(1, 1000)) > 900
+    got = simhash.near_copies(spark.createDataFrame(rows, "row long, text string")).collect()
+    assert len({r.component for r in got}) <= 4  # bands miss a pair of 0.838 in 1700
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_similar_links_connect_what_all_pairs_do(least):
+    rnd = random.Random(5)
+    for _ in range(40):
+        base = [rnd.sample(range(300), rnd.randrange(1, 40)) for _ in range(3)]
+        sets = [sorted({x if rnd.random() > 0.12 else rnd.randrange(300) for x in rnd.choice(base)}) if rnd.random() > 0.05 else [] for _ in range(rnd.randrange(1, 60))]
+        group = [rnd.randrange(len(sets)) for _ in sets]
+
+        def roots(pairs, n=len(sets), group=group):
+            label = list(group)
+            for a, b in pairs:
+                old, new = label[b], label[a]
+                label = [new if x == old else x for x in label]
+            return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+        near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if (x := set(sets[a])) | (y := set(sets[b])) == set() or len(x & y) / len(x | y) >= least]
+        got = simhash.similar_links([np.array(x, np.uint64) for x in sets], np.array(group), least)
+        assert roots(got) == roots(near)

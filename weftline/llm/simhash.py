@@ -153,6 +153,8 @@ BANDS, MINIMA = 14, 5
 NEAR_BITS = 22
 #: Members of a band's bucket that are paired with each other.
 BUCKET = 48
+#: Nodes and bytes of shingle hashes in a block of a larger bucket; blocks are compared two by two.
+BLOCK_NODES, BLOCK_BYTES = 2_000, 8_000_000
 #: Size up to which a list of pairs is broadcast to pick their texts.
 PAIR_BYTES = 48_000_000
 _FACTORS = np.random.default_rng(29).integers(1, 2**63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,6 +175,86 @@ def similarity(a: str | None, b: str | None, shingle: int = WORDS) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def similar_links(sets: list[np.ndarray], group: np.ndarray, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of places in sets (distinct hashes each), enough to connect all of similarity `least` or more
+    where those of equal group are connected already. Exact: a pair is passed over only if it is connected.
+
+    Sets with many common hashes come first: where they connect the rest, no others are looked at.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, ids, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(-np.bincount(owner, often[ids], n), kind="stable")
+    # Common hashes are columns of a matrix, of at most eight cells for each hash of a set; rarer ones are listed.
+    wide = np.flatnonzero(often > max(1, n // 8))
+    column = np.full(len(often), -1)
+    column[wide] = np.arange(len(wide))
+    there = column[ids] >= 0
+    dense = np.zeros((n, len(wide)), np.float32)
+    dense[owner[there], column[ids[there]]] = 1.0
+    rest = (often[ids] > 1) & ~there
+    rare, by = ids[rest], owner[rest]
+    own = np.split(rare, np.searchsorted(by, np.arange(1, n)))
+    sort = np.argsort(rare, kind="stable")
+    listed, ends = by[sort], np.cumsum(np.bincount(rare, minlength=len(often)))
+    label, out = np.unique(group, return_inverse=True)[1], []
+    for at in range(0, n, 128):
+        tile = order[at : at + 128]
+        common = dense[tile] @ dense.T
+        for i, shared in zip(tile.tolist(), common, strict=True):
+            if (label == label[0]).all():
+                return out
+            lists = [listed[ends[k - 1] if k else 0 : ends[k]] for k in own[i]]
+            both = np.rint(shared).astype(np.int64) + (np.bincount(np.concatenate(lists), minlength=n) if lists else 0)
+            either = sizes[i] + sizes - both
+            near = np.flatnonzero(((either == 0) | (both / np.maximum(either, 1) >= least)) & (label != label[i]))
+            _, first = np.unique(label[near], return_index=True)
+            for j in near[first].tolist():
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _crowded_links(rows: DataFrame, crowded: DataFrame, comp: DataFrame, shingle: int, least: float, block_nodes: int = BLOCK_NODES, block_bytes: int = BLOCK_BYTES) -> DataFrame | None:
+    """(a, b) that connect all similar nodes of the same large bucket which comp does not, or None where it
+    connects every bucket.
+
+    Nodes of the bucket's largest component are not compared with each other. The others fall into
+    blocks of bounded size, as it does, and each of their blocks meets every block in one task, where
+    all pairs are compared.
+    """
+    placed = materialize(crowded.join(comp, "node", "left").select("band", "value", "node", "size", F.coalesce("component", "node").alias("root")))
+    parts = materialize(placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("size")).alias("bytes")))
+    whole = parts.groupBy("band", "value").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block_nodes), F.ceil(size / block_bytes)).cast("int")
+    split = whole.where("parts > 1").select("band", "value", F.col("top.root").alias("top"), blocks(F.col("top.n"), F.col("top.bytes")).alias("tops"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
+    split = materialize(split)
+    if not split.count():
+        return None
+    met = materialize(placed.join(split, ["band", "value"]))
+    is_top = F.col("root") == F.col("top")
+    block = F.when(is_top, F.col("others") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(is_top, F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))
+    dealt = met.withColumn("mine", block).withColumn("other", F.explode(meets)).where("mine <> other")
+    dealt = dealt.select("band", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    asked = rows.withColumnRenamed("row", "node").join(met.select("node").distinct(), "node").select("node", "text")
+    sets = materialize(asked.mapInArrow(hashed, "node long, hashes binary"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        found = similar_links([np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")], t.column("root").to_numpy(), least)
+        a, b = (node[np.array([x[k] for x in found], np.int64)] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(dealt.join(sets, "node").groupBy("band", "value", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def _texts_of(rows: DataFrame, pairs: DataFrame, side: str, name: str) -> DataFrame:
     """The pairs with the text of one side. A list of pairs that is short by its measured size goes to the
     texts; else both move."""
@@ -185,28 +267,30 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR, b
     """(row, component): groups of texts that are equal or near copies, for docs (row unique, text).
 
     Equal texts are one node. Nodes that share a band propose pairs; in buckets of over `bucket` members
-    every member is paired with three representatives (smallest, largest, of the smallest fingerprint)
-    and not with each other, so a group of thousands grows linearly. Pairs go through the pivot table (a coordinate
-    that differs by more than NEAR_BITS discards them), then the Hamming distance, and survivors are
-    verified by the exact similarity of their shingle sets. component is the smallest row of a group.
+    every member is first paired with three representatives (smallest, largest, of the smallest fingerprint).
+    Pairs go through the pivot table (a coordinate that differs by more than NEAR_BITS discards them), then
+    the Hamming distance, and survivors are verified by the exact similarity of their shingle sets. Members of
+    a large bucket that are not connected by then are compared exactly with all others of it, block by
+    block. component is the smallest row of a group.
     """
     rows = docs.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("weftline"), F.octet_length("text"), "text").alias("k2")]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps, sizes, keys = [], [], []
             for t in b.column(3):
                 h = shingle_hashes(t.as_py(), shingle)
                 fps.append(_signed(majority(h)) if len(h) else 0)
+                sizes.append(len(np.unique(h)))
                 keys.append(bands(h))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "k1", "k2", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "k1", "k2", "fp", "size", "bands"])
 
-    marked = materialize(rows.select("row", *key, "text").mapInArrow(sketch, "row long, k1 long, k2 long, fp long, bands array<long>"))
+    marked = materialize(rows.select("row", *key, "text").mapInArrow(sketch, "row long, k1 long, k2 long, fp long, size long, bands array<long>"))
     same = materialize(marked.groupBy("k1", "k2").agg(F.min("row").alias("node")))
     nodes = materialize(marked.join(same, ["k1", "k2"]).select("row", "node"))
     single = marked.join(same.select(F.col("node").alias("row")), "row", "left_semi")
-    placed = single.select(F.col("row").alias("node"), "fp", F.posexplode("bands").alias("band", "value"))
+    placed = single.select(F.col("row").alias("node"), "fp", "size", F.posexplode("bands").alias("band", "value"))
     groups = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("r1"), F.max(F.struct("node", "fp")).alias("r2"), F.min(F.struct("fp", "node")).alias("r3"))
     shared = materialize(placed.join(materialize(groups.where("n > 1")), ["band", "value"]))
     few = shared.where(F.col("n") <= bucket).select("band", "value", "node", "fp")
@@ -224,5 +308,8 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR, b
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = _texts_of(rows, pairs, "a", "ta").join(_texts_of(rows, pairs, "b", "tb"), ["a", "b"]).select("a", "b", "ta", "tb")
-    comp = connected_components(both.mapInArrow(verify, "a long, b long"), "a", "b")
+    comp = materialize(connected_components(both.mapInArrow(verify, "a long, b long"), "a", "b"))
+    more = _crowded_links(rows, shared.where(F.col("n") > bucket), comp, shingle, least)
+    if more is not None:
+        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
     return nodes.join(comp.withColumnRenamed("node", "root"), F.col("node") == F.col("root"), "left").select("row", F.coalesce("component", "node").alias("component"))
