@@ -107,6 +107,17 @@ def test_empty_table(spark, docs):
 
 
 
+def test_near_copies_of_texts_with_repeats(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(60):  # two texts with the same set of shingles: a passage stands once in one, 40 times in the other
+        own = " ".join(f"w{k}x{rnd.randrange(10**6)}" for _ in range(280))
+        part = " ".join(f"p{k}x{i}" for i in range(24))
+        rows += [(2 * k, f"{own} {part} {part}"), (2 * k + 1, f"{own} {part}" + f" {part}" * 40)]
+    got = {r.row: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "row long, text string")).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(60))
+
+
 def test_star_of_unlike_copies(spark):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(400)]

@@ -280,9 +280,9 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR, b
         for b in batches:
             fps, sizes, keys = [], [], []
             for t in b.column(3):
-                h = shingle_hashes(t.as_py(), shingle)
+                h = np.unique(shingle_hashes(t.as_py(), shingle))  # the set that similarity is asked of
                 fps.append(_signed(majority(h)) if len(h) else 0)
-                sizes.append(len(np.unique(h)))
+                sizes.append(len(h))
                 keys.append(bands(h))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "k1", "k2", "fp", "size", "bands"])
 
