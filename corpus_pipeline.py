@@ -15,6 +15,8 @@ from weftline.llm.packing import pack
 
 #: Words in a block of the mix: long, so that most documents are taken whole.
 BLOCK_WORDS = 512
+#: Bytes from which a passage that repeats goes: what nearly every passage of 51 words has. op2's contract says 400.
+PASSAGE_BYTES = 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +36,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return d.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat across them. What is cut inside a character loses it;
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = suffix_dedup.LENGTH) -> DataFrame:
+    """Documents without the passages of `length` bytes or more that repeat across them. What is cut inside a character loses it;
     a document of which nothing but white space is left goes."""
     steady_reads(spark)
-    kept = suffix_dedup.without_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
+    kept = suffix_dedup.without_repeats(docs, length, as_text=True).withColumnRenamed("kept", "text")
     kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of over 50 words, taken as PASSAGE_BYTES, that repeat across them."""
+    return drop_repeats(spark, docs, sf_dir, PASSAGE_BYTES)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents as often as their blocks are taken."""
     steady_reads(spark)
@@ -58,7 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
-    ("suffix_array_dedup", drop_repeats),
+    ("suffix_array_dedup", drop_passages),
     ("mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]

@@ -81,6 +81,19 @@ def test_repeated_passages_go(spark, docs):
             assert got[r.doc_id].n_chars == len(got[r.doc_id].text)
 
 
+def test_passages_of_51_words_go(spark, docs):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = " ".join(word(5) for _ in range(51))
+    rows = [(k, f"{' '.join(word(6) for _ in range(60))} {passage} {' '.join(word(6) for _ in range(60))}", "en", "s", 0) for k in range(5)]
+    stage = dict(cp.STAGES)["suffix_array_dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, spark.createDataFrame(rows, docs.schema), SF).collect()}
+    assert len(passage) < 400 and len(got) == 5
+    for r in rows:
+        a, b = r[1].split(passage)
+        assert got[r[0]] == a.rstrip() + b.lstrip()  # the spaces around it repeat too
+
+
 def test_mixing_and_packing(spark, docs):
     mixed = cp.mix_sources(spark, docs, SF)
     assert mixed.columns == docs.columns and mixed.count()
