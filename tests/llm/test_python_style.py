@@ -395,6 +395,19 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("span_pages", [3, 200])
+def test_main_text_compares_nearest_paths_across_folders_and_spans(spark, span_pages):
+    page = "<body><div>Menu of {}</div><div>{}</div><div>Imprint of {}</div></body>"
+    rows = [(i, f"http://h{i % 2}.net/post-{i * 37 % 101}/", page.format(i % 2, f"Body {i} " * 9, i % 2)) for i in range(50)]
+    # Neighbours of one folder that share a line with their nearest pages only.
+    pair = "<body><div>Serial {}</div><div>{}</div></body>"
+    rows += [(100 + i, f"http://s.net/a/{i:03}x{i * 7919 % 1000:03}", pair.format(i // 2, f"Text {i} " * 9)) for i in range(600)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), span_pages=span_pages).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (f"Body {i} " * 9).strip() for i in range(50))
+    assert all(got[100 + i] == (f"Text {i} " * 9).strip() for i in range(600))
+
+
 def test_main_text_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lower_ascii, materialize
+from weftline.llm.common import lower_ascii
 
 #: Elements whose text is never shown, or is never main text.
 HIDDEN = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "head", "select", "textarea"}
@@ -44,10 +45,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
-#: Pages of one span of a host that are differenced together.
+#: Pages of one span that are differenced together.
 SPAN_PAGES = 200
-#: Large folders up to which their list is broadcast.
-BROADCAST_FOLDERS = 200_000
+#: Spans at most: their bounds and ends go to every task.
+MOST_SPANS = 4_096
 #: Neighbours on either side that a page is compared with.
 NEIGHBOURS = 2
 #: A neighbour that shares more than this part of a page's text is a copy of it, not another page of its site.
@@ -165,11 +166,43 @@ def difference(own: list[str], other: list[str]) -> set[int]:
     return hit if sum(len(own[i]) for i in hit) <= COPY_SHARE * total else set()
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+def _ranges(keys: DataFrame, span_pages: int) -> tuple[list[tuple], set[tuple], set[tuple]]:
+    """Where the spans of the order of keys begin, but for the first; the keys of the pages that also go to
+    the span before theirs, and to the one after. At most MOST_SPANS, so that these lists are small."""
+    spans = min(MOST_SPANS, max(1, -(-keys.count() // span_pages)))
+    cols = keys.columns
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last, n = [], [], 0
+        for b in batches:
+            rows = list(b.itertuples(index=False, name=None))
+            first = (first + rows[:NEIGHBOURS])[:NEIGHBOURS]
+            last = (last + rows[-NEIGHBOURS:])[-NEIGHBOURS:]
+            n += len(rows)
+        if n:
+            yield pd.DataFrame([(n, *x, at) for part, at in ((first, 0), (last, 1)) for x in part], columns=["n", *cols, "at"])
+
+    found = keys.repartitionByRange(spans, *cols).sortWithinPartitions(*cols).mapInPandas(ends, "n long, host string, path string, u string, k long, at int")
+    parts: dict[int, list] = {}
+    for r in found.withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(r.part, [r.n, [], []])[1 + r.at].append((r.host, r.path, r.u, r.k))
+    # Each span needs as many pages as a page has neighbours on a side; a smaller one joins the one before it.
+    whole: list[list] = []
+    for n, first, last in sorted(parts.values(), key=lambda x: x[1][0]):
+        if whole and min(n, whole[-1][0]) < NEIGHBOURS:
+            m, f, z = whole[-1]
+            whole[-1] = [m + n, sorted(f + first)[:NEIGHBOURS], sorted(z + last)[-NEIGHBOURS:]]
+        else:
+            whole.append([n, first, last])
+    return [min(x[1]) for x in whole[1:]], {k for x in whole[1:] for k in x[1]}, {k for x in whole[:-1] for k in x[2]}
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", span_pages: int = SPAN_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of every row.
 
-    Hosts are cut into spans of about SPAN_PAGES pages that are near in path order, so a host with a
-    third of all pages is many groups. Pages that are equal to their neighbour but for the url are
+    All pages are ordered by host, path, url and id and cut there into spans of about span_pages; the
+    pages at a span's ends are also sent to the span beyond, so that neighbours meet at every size and a
+    host with a third of all pages is many groups. Pages that are equal to their neighbour but for the url are
     copies and delete nothing. Null html gives an empty text; null urls form a host of their own;
     equal rows are kept; no rows give none.
     """
@@ -177,36 +210,43 @@ def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     u = F.coalesce("url", F.lit(""))
     base = base.withColumn("host", lower_ascii(F.regexp_extract(u, r"(?s)^.*?://([^/?#]*)", 1)))
     base = base.withColumn("path", F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1))
-    # A span is a folder of the host. One with many pages is cut by all but the last two characters of the
-    # path, so that pages whose paths differ there only stay together.
-    base = base.withColumn("folder", F.regexp_extract("path", r"(?s)^(/[^/]*/)", 1))
-    sizes = base.groupBy("host", "folder").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPAN_PAGES)
-    large = materialize(sizes.select("host", "folder", F.ceil(F.col("n") / SPAN_PAGES).cast("int").alias("spans")))
-    if large.count() <= BROADCAST_FOLDERS:
-        large = F.broadcast(large)
-    stem = F.substr("path", F.lit(1), F.greatest(F.length("path") - 2, F.lit(0)))
-    span = F.pmod(F.xxhash64(stem), F.coalesce("spans", F.lit(1)))
-    # One new key: grouping by host, folder and span would reuse the join's partitions, and a large folder is one of them.
-    keyed = base.join(large, ["host", "folder"], "left").withColumn("key", F.concat_ws("\x01", "host", "folder", span.cast("string")))
+    base = base.select("id", "url", "html", F.struct("host", "path", u.alias("u"), F.coalesce("id", F.lit(-(2**63))).alias("k")).alias("key"))
+    bounds, befores, afters = _ranges(base.select("key.*"), span_pages)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [[(t, safe) for t, marked, safe in blocks(x.as_py()) if not marked] for x in b.column(4)]
-            lines, safe = ([[x[k] for x in page] for page in got] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(lines, pa.list_(pa.string())), pa.array(safe, pa.list_(pa.bool_()))], ["id", "url", "path", "key", "lines", "safe"])
-
-    cut = keyed.select("id", "url", "path", "key", "html").mapInArrow(strip, "id long, url string, path string, key string, lines array<string>, safe array<boolean>")
+            got = [[(t, safe) for t, marked, safe in blocks(x.as_py()) if not marked] for x in b.column(2)]
+            keys = [tuple(x.values()) for x in b.column(3).to_pylist()]
+            rows = []  # row, span, ghost
+            for i, k in enumerate(keys):
+                home = bisect_right(bounds, k)
+                rows.append((i, home, False))
+                if k in befores:
+                    rows.append((i, home - 1, True))
+                if k in afters:
+                    rows.append((i, home + 1, True))
+            take = pa.array([x[0] for x in rows], pa.int64())
+            lines = pa.array([[x[0] for x in page] for page in got], pa.list_(pa.string())).take(take)
+            safe = pa.array([[x[1] for x in page] for page in got], pa.list_(pa.bool_())).take(take)
+            host, path = (pa.array([k[n] for k in keys], pa.string()).take(take) for n in (0, 1))
+            span, ghost = pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), host, path, span, ghost, lines, safe], ["id", "url", "host", "path", "span", "ghost", "lines", "safe"])
+
+    cut = base.mapInArrow(strip, "id long, url string, host string, path string, span int, ghost boolean, lines array<string>, safe array<boolean>")
 
     def compare(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["path", "url", "id"], na_position="first", kind="stable")
-        pages, safe = [list(x) for x in t["lines"]], list(t["safe"])
+        t = t.sort_values(["host", "path", "url", "id"], na_position="first", kind="stable")
+        pages, safe, hosts, ghost = [list(x) for x in t["lines"]], list(t["safe"]), list(t["host"]), t["ghost"].to_numpy(bool)
         texts = []
         for i, own in enumerate(pages):
+            if ghost[i]:
+                continue
             gone: set[int] = set()
             for k in range(max(0, i - NEIGHBOURS), min(len(pages), i + NEIGHBOURS + 1)):
-                if k != i and pages[k] != own and not all(safe[i]):
+                if k != i and hosts[k] == hosts[i] and pages[k] != own and not all(safe[i]):
                     gone |= difference(own, pages[k])
             texts.append("\n".join(s for j, s in enumerate(own) if safe[i][j] or j not in gone))
+        t = t[~ghost]
         return pd.DataFrame({id_col: t["id"].to_numpy(), "url": t["url"].to_numpy(), "text": texts, "n_chars": [len(x) for x in texts]})
 
-    return cut.groupBy("key").applyInPandas(compare, f"{id_col} long, url string, text string, n_chars long")
+    return cut.groupBy("span").applyInPandas(compare, f"{id_col} long, url string, text string, n_chars long")
