@@ -254,6 +254,29 @@ def test_lattice_sums_all_segmentations():
     assert abs(got[-1] - lat._alone(b" " + words[-1], scores)) < 1e-9 and np.isfinite(got[-1])
 
 
+def test_expected_pieces_of_long_words():
+    from fractions import Fraction
+
+    rnd = random.Random(9)
+    weights = {bytes([x]): Fraction(1, 10) for x in range(256)} | {b"ab": Fraction(3, 10), b"abc": Fraction(1, 5), b"ca": Fraction(1, 4), b"bcab": Fraction(1, 10), b" a": Fraction(1, 5)}
+    scores = np.log(np.array([float(x) for x in weights.values()]))
+    words = [bytes(rnd.choice(b"abc") for _ in range(n)) for n in (256, 300, 400)]
+    want = Counter()
+    for times, w in enumerate(words, 1):
+        w = b" " + w
+        n = len(w)
+        edges = [(j - k, j, w[j - k : j]) for j in range(1, n + 1) for k in range(1, 5) if k <= j and w[j - k : j] in weights]
+        a, b = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+        for i, j, p in edges:
+            a[j] += a[i] * weights[p]
+        for i, j, p in sorted(edges, reverse=True):
+            b[i] += b[j] * weights[p]
+        for i, j, p in edges:
+            want[p] += times * float(a[i] * weights[p] * b[j] / a[n])
+    got = lattice_lm.Lattice(list(weights)).expected(words, np.array([1.0, 2.0, 3.0]), scores)
+    assert np.allclose(got, [want[p] for p in weights])
+
+
 def test_lattice_scores(spark, docs):
     rows = [tuple(r) for r in docs.collect()] + [(9000, None), (9001, ""), (9001, ""), (None, "the the"), (9005, "y" * 3000), (9006, "a " * 70_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(0))

@@ -187,6 +187,28 @@ class Lattice:
             a[j] = np.logaddexp.reduce(got) if got else -np.inf
         return float(a[-1])
 
+    def _alone_expected(self, word: bytes, scores: np.ndarray) -> np.ndarray:
+        """How often each piece is used in a word, over its segmentations by weight, in log space. Memory
+        is linear in the word."""
+        n, lengths = len(word), sorted(self.tables)
+        found = [(j - k, j, p) for j in range(1, n + 1) for k in lengths if k <= j and (p := self.number.get(word[j - k : j])) is not None]
+        start, end, piece = np.array(found, np.int64).reshape(-1, 3).T
+        weight = scores[piece]
+        a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        a[0] = b[n] = 0.0
+        last = np.searchsorted(end, np.arange(n + 2))  # edges are in order of their ends
+        for j in range(1, n + 1):
+            x = slice(last[j], last[j + 1])
+            a[j] = np.logaddexp.reduce(a[start[x]] + weight[x])
+        by = np.argsort(start, kind="stable")
+        first = np.searchsorted(start[by], np.arange(n + 1))
+        for j in range(n - 1, -1, -1):
+            x = by[first[j] : first[j + 1]]
+            b[j] = np.logaddexp.reduce(weight[x] + b[end[x]])
+        if a[n] == -np.inf:
+            return np.zeros(len(self.pieces))
+        return np.bincount(piece, np.exp(a[start] + weight + b[end] - a[n]), len(self.pieces))
+
     def log_probability(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
         """The log of the summed weight of all segmentations of each word (with a space before it)."""
         out = np.empty(len(words))
@@ -198,16 +220,15 @@ class Lattice:
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """How often each piece is used in the words, over their segmentations by weight. Words of more
-        than 256 bytes count by their best segmentation into single bytes."""
+        """How often each piece is used in the words, over their segmentations by weight. Long
+        words are taken alone, in log space."""
         out = np.zeros(len(self.pieces))
         used, amounts = [np.zeros(0, np.int32)], [np.zeros(0)]
         for where, m in self._groups(words):
             c = counts[where]
             if m.shape[1] > _LONG:
-                single = np.array([self.number[bytes([x])] for x in range(256)])
                 for i, k in zip(where, c, strict=True):
-                    out += k * np.bincount(single[np.frombuffer(b" " + words[i], np.uint8)], minlength=len(out))
+                    out += k * self._alone_expected(b" " + words[i], scores)
                 continue
             # Weights instead of their logs: words are short. Where the sum leaves the range of doubles, every
             # weight is scaled up for each byte, which cancels in the shares.
