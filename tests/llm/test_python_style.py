@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -386,6 +387,40 @@ def test_blocks():
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<script>never closed") == []
 
 
+def test_blocks_keep_what_belongs_to_the_article():
+    page = """<header><h1>Site</h1></header><div class="site-header">Site</div><article><header><h1>Title</h1></header><div class="article-header">By me</div>
+      <div class="side-by-side">Left</div><div class="share">Share</div></article><div class="content with-sidebar">Text</div><div class="sidebar-left">Links</div>"""
+    assert [t for t, m, _ in html_text.blocks(page) if not m] == ["Title", "By me", "Left", "Text"]
+
+
+def test_blocks_are_linear():
+    start = time.perf_counter()
+    assert html_text.blocks("<div>" * 20_000 + "</p>" * 20_000 + "x") == [("x", False, False)]
+    assert html_text.blocks("<p><div>" + "<b>" * 20_000 + "<p></p>" * 20_000 + "x")[0][0] == "x"
+    assert time.perf_counter() - start < 10
+
+
+def test_differencing_without_an_article_element(spark):
+    notice = "We value your privacy and that of our partners, read all about it here. " * 2
+    page = "<body><div>Top of the site</div><div>" + notice.strip() + "</div><p>{}</p><p>{}</p><div>Imprint</div></body>"
+    rows = [(i, f"http://a.net/{i:02}", page.format(f"Story {i} begins", f"and ends {i}")) for i in range(20)]  # mostly boilerplate
+    art = "<body><article><p>Follow us</p><p>{}</p><p>{}</p></article></body>"
+    rows += [(100 + i, f"http://b.net/{i:02}", art.format(f"Story {i} " * 3, "A quotation of two stories." if i in (3, 4) else f"End {i}")) for i in range(12)]
+    para = [f"Paragraph {k} of one long story. " * 3 for k in range(10)]
+    for i in range(3):  # copies with an edit, between other pages
+        rows.append((200 + i, f"http://c.net/{i}", "".join(f"<p>{x.strip()}</p>" for x in [*para[:-1], f"Edit {i}"])))
+    rows += [(210 + i, f"http://c.net/x{i}", f"<p>Other {i}</p>") for i in range(9)]
+    rows += [(300 + i, f"http://d.net/{i:03}", page.format("Same", "story " * 9) if 10 <= i < 60 else page.format(f"Story {i} " * 9, i)) for i in range(70)]  # a run of copies
+    for span_pages in (7, 200):
+        got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), span_pages=span_pages).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == f"Story {i} begins\nand ends {i}" for i in range(20))
+        assert all(got[100 + i] == (f"Story {i} " * 3).strip() + "\n" + ("A quotation of two stories." if i in (3, 4) else f"End {i}") for i in range(12))
+        assert all(got[200 + i] == "\n".join([*[x.strip() for x in para[:-1]], f"Edit {i}"]) for i in range(3))
+        assert all(got[300 + i] == (f"Story {i} " * 9).strip() + f"\n{i}" for i in [*range(10), *range(60, 70)])
+        assert all(got[300 + i] == "Same\n" + ("story " * 9).strip() for i in range(10, 60))
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rnd = random.Random(6)
     for _ in range(300):

@@ -1,11 +1,11 @@
 """Main text of web pages: structural blocks, then nearest-url page differencing.
 
-Each page is cut into blocks of text; blocks inside menus, headers, footers, sidebars, adverts, forms,
-comments and the like are marked as furniture by their markup. What a site repeats from page to page
-without marking it is found by differencing: pages of a host are ordered by url path, each is paired
-with its neighbours there, lines are aligned by longest common subsequence, and shared lines go.
-Lines inside an article or main element take part in the alignment but stay: two articles of a site may
-well share a sentence.
+Each page is cut into blocks of text; blocks that their markup names as menus, headers, footers, sidebars,
+adverts, forms, comments and the like go at once. What a site repeats from page to page without naming it is
+found by differencing: pages of a host are ordered by url path, each is paired with the nearest others there
+that are no copies of it, lines are aligned by longest common subsequence, and shared lines go, also
+those inside an article or main element. There half of the neighbours, three or more, have to share a line, for
+two articles of a site may well quote one passage; elsewhere one is enough.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lower_ascii
+from weftline.llm.common import lower_ascii, ship
 
 #: Elements whose text is never shown, or is never main text.
 HIDDEN = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "head", "select", "textarea"}
@@ -34,14 +35,18 @@ BLOCKS = {
 }
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words in class, id or role that mark furniture.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|ads?|advert(?:s|isement)?|"
-    r"banner|promo|sponsor(?:ed)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommended|"
-    r"comments?|replies|reply|disqus|search|pagination|pager|toolbar|copyright|legal|contentinfo|complementary|alert|toc)(?:$|[\s_\d-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words in class, id or role that mark furniture where a name begins or ends with one.
+STRONG = {
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "widget", "ad", "ads", "advert", "advertisement", "promo", "sponsor",
+    "sponsored", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "login", "social", "related", "recommended", "comment", "comments",
+    "replies", "disqus", "pagination", "pager", "toolbar", "copyright", "contentinfo", "complementary",
+}
+#: Words that mark furniture only alone or beside a word for the whole page: an article has its own header.
+WEAK = {"header", "footer", "masthead", "banner", "share", "sharing", "search", "legal", "alert", "toc", "reply"}
+WHOLE = {"site", "page", "global", "top", "bottom", "main", "wrapper", "wrap", "container", "inner", "outer", "bar", "box", "area", "block", "section", "sticky", "fixed"}
+#: Words by which a name speaks of something that is elsewhere (with-sidebar) or absent (no-ads).
+ABOUT = {"with", "has", "no", "without", "not", "is", "by"}
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
@@ -49,28 +54,57 @@ _SPACE = re.compile(r"\s+")
 SPAN_PAGES = 200
 #: Spans at most: their bounds and ends go to every task.
 MOST_SPANS = 4_096
-#: Neighbours on either side that a page is compared with.
-NEIGHBOURS = 2
-#: A neighbour that shares more than this part of a page's text is a copy of it, not another page of its site.
+#: Neighbours on either side that a page is compared with: the nearest of other content.
+NEIGHBOURS = 4
+#: A neighbour that shares more than this part of a page's own text is a copy of it, not another page of its site.
 COPY_SHARE = 0.5
+#: Own text is what under half of the neighbours share, if that is at least this part of the page; else all of it.
+OWN_SHARE = 0.1
+#: Elements that close one of their kind that is open, unless one of BARRIERS was opened after it.
+CLOSES_OWN = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+BARRIERS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"} | FURNITURE
+
+
+def names_furniture(names: str) -> bool:
+    """Whether a class, id or role names something that is not main text."""
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_\d]+", name) if x]
+        if not parts or ABOUT & set(parts):
+            continue
+        if parts[0] in STRONG or parts[-1] in STRONG:
+            return True
+        if WEAK & set(parts) and all(x in WEAK or x in WHOLE for x in parts):
+            return True
+    return False
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, marked, safe) of each block in page order; marked: inside furniture, safe: inside an article. Tags that are not closed
-    end with what encloses them; a page cut off in the middle keeps what there is."""
+    """(text, marked, inside) of each block in page order; marked: inside furniture, inside: in an article or main
+    element, whose own header is no furniture. Tags that are not closed end with what encloses them; a page cut
+    off in the middle keeps what there is. Linear in the page, however deep its elements stand."""
     page = page or ""
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, furniture, article
+    places: dict[str, list[int]] = {}  # where elements of a name are open
+    barriers: list[int] = []
     buf: list[str] = []
-    hidden = marked = safe = False
+    hidden = marked = inside = False
 
     def flush() -> None:
         if buf:
             text = _SPACE.sub(" ", _html.unescape("".join(buf))).strip()
             if text:
-                out.append((text, marked, safe))
+                out.append((text, marked, inside))
             buf.clear()
 
+    def close(k: int) -> None:
+        nonlocal hidden, marked, inside
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+        while barriers and barriers[-1] >= k:
+            barriers.pop()
+        hidden, marked, inside = stack[-1][1:] if stack else (False, False, False)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -87,41 +121,37 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if name is None:
             continue
         name = name.lower()
+        open_at = places.get(name)
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCKS or any(x[2] != (stack[k - 1][2] if k else False) for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    hidden, marked, safe = stack[-1][1:] if stack else (False, False, False)
-                    break
-            else:
-                if name in BLOCKS:
+            if open_at:
+                k = open_at[-1]
+                if name in BLOCKS or any(x[2] != (stack[k - 1][2] if k else False) for x in stack[k:]):
                     flush()
+                close(k)
+            elif name in BLOCKS:
+                flush()
             continue
         if name in BLOCKS:
             flush()
         if name in VOID or m[3].endswith("/"):
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these close one of their kind that is open
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    hidden, marked, safe = stack[-1][1:] if stack else (False, False, False)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body", *FURNITURE):
-                    break
+        if name in CLOSES_OWN and open_at and open_at[-1] > (barriers[-1] if barriers else -1):
+            close(open_at[-1])
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, at)
             at = end.end()
             continue
-        low = name in FURNITURE or any(MARKS.search(next(g for g in a if g) if any(a) else "") for a in _ATTR.findall(m[3]))
+        low = name in FURNITURE and not (name == "header" and inside)
+        low = low or any(names_furniture(next((g for g in a if g), "")) for a in _ATTR.findall(m[3]))
         if name in ("html", "body", "article", "main"):
             low = False
         if (low and not marked) or name in HIDDEN:
             flush()
-        hidden, marked, safe = hidden or name in HIDDEN, marked or low, safe or name in ("article", "main")
-        stack.append((name, hidden, marked, safe))
+        hidden, marked, inside = hidden or name in HIDDEN, marked or low, inside or name in ("article", "main")
+        if name in BARRIERS:
+            barriers.append(len(stack))
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, hidden, marked, inside))
     flush()
     return out
 
@@ -159,94 +189,150 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return got
 
 
-def difference(own: list[str], other: list[str]) -> set[int]:
-    """The lines of own to delete after a comparison with a neighbour; none if that is a copy."""
-    hit = shared_lines(own, other)
-    total = sum(map(len, own))
-    return hit if sum(len(own[i]) for i in hit) <= COPY_SHARE * total else set()
+def difference(own: list[str], inside: list[bool], others: list[list[str]]) -> set[int]:
+    """The lines of own to delete after a comparison with its neighbours, which all differ from it.
+
+    Lines that at least half of the neighbours, three or more, share are the site's. A neighbour that shares most of
+    the rest is a copy and deletes nothing. Of the others one is enough to delete a line outside an article; inside
+    only the site's lines go.
+    Where hardly anything but the site's lines is left, the neighbours are taken for edited copies.
+    """
+    hits = [shared_lines(own, o) for o in others]
+    if not any(hits):
+        return set()
+    size = [len(s) for s in own]
+    votes = Counter(j for h in hits for j in h)
+    site = {j for j, v in votes.items() if v > 2 and 2 * v >= len(others)}
+    rest = sum(size) - sum(size[j] for j in site)
+    if rest < OWN_SHARE * sum(size):
+        site, rest = set(), sum(size)
+    good = [h for h in hits if sum(size[j] for j in h - site) <= COPY_SHARE * rest]
+    return {j for h in good for j in h if j in site or not inside[j]}
 
 
-def _ranges(keys: DataFrame, span_pages: int) -> tuple[list[tuple], set[tuple], set[tuple]]:
-    """Where the spans of the order of keys begin, but for the first; the keys of the pages that also go to
-    the span before theirs, and to the one after. At most MOST_SPANS, so that these lists are small."""
+def _ranges(keys: DataFrame, span_pages: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """Where the spans of the order of keys (with content, a digest) begin, but for the first; and the other spans
+    that the key of a page also goes to: those that lack neighbours before or after them without it, one page of
+    each run of equal content. At most MOST_SPANS, so that these lists are small."""
     spans = min(MOST_SPANS, max(1, -(-keys.count() // span_pages)))
-    cols = keys.columns
+    cols = [c for c in keys.columns if c != "content"]
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, last, n = [], [], 0
+        first: list[tuple] = []
+        last: list[tuple] = []
+        before = None
         for b in batches:
-            rows = list(b.itertuples(index=False, name=None))
-            first = (first + rows[:NEIGHBOURS])[:NEIGHBOURS]
-            last = (last + rows[-NEIGHBOURS:])[-NEIGHBOURS:]
-            n += len(rows)
-        if n:
-            yield pd.DataFrame([(n, *x, at) for part, at in ((first, 0), (last, 1)) for x in part], columns=["n", *cols, "at"])
-
-    found = keys.repartitionByRange(spans, *cols).sortWithinPartitions(*cols).mapInPandas(ends, "n long, host string, path string, u string, k long, at int")
-    parts: dict[int, list] = {}
+            for row in b.itertuples(index=False, name=None):
+                if row[-1] != before:
+                    before = row[-1]
+                    if len(first) < NEIGHBOURS:
+                        first.append(row)
+                    last = [*last[1 - NEIGHBOURS :], row]
+        rows = [(*x, at) for part, at in ((first, 0), (last, 1)) for x in part]
+        if rows:
+            yield pd.DataFrame(rows, columns=[*cols, "content", "at"]).astype({"content": "int64"})
+
+    keys = keys.select(*cols, F.coalesce("content", F.lit(0)).alias("content"))
+    found = keys.repartitionByRange(spans, *cols).sortWithinPartitions(*cols).mapInPandas(ends, "host string, path string, u string, k long, content long, at int")
+    parts: dict[int, tuple[list, list]] = {}
     for r in found.withColumn("part", F.spark_partition_id()).collect():
-        parts.setdefault(r.part, [r.n, [], []])[1 + r.at].append((r.host, r.path, r.u, r.k))
-    # Each span needs as many pages as a page has neighbours on a side; a smaller one joins the one before it.
-    whole: list[list] = []
-    for n, first, last in sorted(parts.values(), key=lambda x: x[1][0]):
-        if whole and min(n, whole[-1][0]) < NEIGHBOURS:
-            m, f, z = whole[-1]
-            whole[-1] = [m + n, sorted(f + first)[:NEIGHBOURS], sorted(z + last)[-NEIGHBOURS:]]
-        else:
-            whole.append([n, first, last])
-    return [min(x[1]) for x in whole[1:]], {k for x in whole[1:] for k in x[1]}, {k for x in whole[:-1] for k in x[2]}
+        parts.setdefault(r.part, ([], []))[r.at].append(((r.host, r.path, r.u, r.k), r.content))
+    whole = sorted(parts.values(), key=lambda x: x[0][0])
+    also: dict[tuple, list[int]] = {}
+    for side, order in ((1, range(len(whole))), (0, range(len(whole) - 1, -1, -1))):
+        near: list[tuple] = []  # the pages nearest to the span, of different content
+        for s in order:
+            for key, _ in near:
+                also.setdefault(key, []).append(s)
+            for page in whole[s][side] if side else whole[s][side][::-1]:
+                near = [*[x for x in near if x[1] != page[1]][1 - NEIGHBOURS :], page]
+    return [x[0][0][0] for x in whole[1:]], also
+
+
+class _Host:
+    """Pages of a host in path order, as runs of equal content; a run is settled when its neighbours are known."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[list[str], list[bool], list[tuple]]] = []
+        self.next = 0
+
+    def add(self, lines: list[str], inside: list[bool], member: tuple | None) -> list[tuple]:
+        if not self.runs or self.runs[-1][0] != lines or self.runs[-1][1] != inside:
+            self.runs.append((lines, inside, []))
+        if member:
+            self.runs[-1][2].append(member)
+        return self.settled(NEIGHBOURS)
+
+    def settled(self, ahead: int) -> list[tuple]:
+        """(id, url, text) of the runs that have so many others after them."""
+        out = []
+        while len(self.runs) - self.next > ahead:
+            lines, inside, members = self.runs[self.next]
+            if members:
+                near: list[list[str]] = []
+                for other in self.runs[max(0, self.next - NEIGHBOURS) : self.next + NEIGHBOURS + 1]:
+                    if other[0] != lines and other[0] not in near:
+                        near.append(other[0])
+                gone = difference(lines, inside, near)
+                text = "\n".join(s for j, s in enumerate(lines) if j not in gone)
+                out += [(*m, text, len(text)) for m in members]
+            self.next += 1
+            if self.next > NEIGHBOURS:
+                del self.runs[0]
+                self.next -= 1
+        return out
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", span_pages: int = SPAN_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of every row.
 
     All pages are ordered by host, path, url and id and cut there into spans of about span_pages; the
-    pages at a span's ends are also sent to the span beyond, so that neighbours meet at every size and a
-    host with a third of all pages is many groups. Pages that are equal to their neighbour but for the url are
-    copies and delete nothing. Null html gives an empty text; null urls form a host of their own;
-    equal rows are kept; no rows give none.
+    pages next to a span, one of each content, are also sent to it, so that neighbours meet at every size and a
+    host with a third of all pages is many spans. Each span is read in order, a window of pages at a time. Pages
+    that are equal but for the url are copies: they have the same neighbours, and none is another's. Null html
+    gives an empty text; null urls form a host of their own; equal rows are kept; no rows give none.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     u = F.coalesce("url", F.lit(""))
     base = base.withColumn("host", lower_ascii(F.regexp_extract(u, r"(?s)^.*?://([^/?#]*)", 1)))
     base = base.withColumn("path", F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1))
     base = base.select("id", "url", "html", F.struct("host", "path", u.alias("u"), F.coalesce("id", F.lit(-(2**63))).alias("k")).alias("key"))
-    bounds, befores, afters = _ranges(base.select("key.*"), span_pages)
+    ship(pages.sparkSession)
+    bounds, also = _ranges(base.select("key.*", F.xxhash64("html").alias("content")), span_pages)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [[(t, safe) for t, marked, safe in blocks(x.as_py()) if not marked] for x in b.column(2)]
+            got = [[(t, inside) for t, marked, inside in blocks(x.as_py()) if not marked] for x in b.column(2)]
             keys = [tuple(x.values()) for x in b.column(3).to_pylist()]
             rows = []  # row, span, ghost
             for i, k in enumerate(keys):
-                home = bisect_right(bounds, k)
-                rows.append((i, home, False))
-                if k in befores:
-                    rows.append((i, home - 1, True))
-                if k in afters:
-                    rows.append((i, home + 1, True))
+                rows.append((i, bisect_right(bounds, k), False))
+                rows += [(i, span, True) for span in also.get(k, ())]
             take = pa.array([x[0] for x in rows], pa.int64())
             lines = pa.array([[x[0] for x in page] for page in got], pa.list_(pa.string())).take(take)
-            safe = pa.array([[x[1] for x in page] for page in got], pa.list_(pa.bool_())).take(take)
-            host, path = (pa.array([k[n] for k in keys], pa.string()).take(take) for n in (0, 1))
+            inside = pa.array([[x[1] for x in page] for page in got], pa.list_(pa.bool_())).take(take)
             span, ghost = pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), host, path, span, ghost, lines, safe], ["id", "url", "host", "path", "span", "ghost", "lines", "safe"])
-
-    cut = base.mapInArrow(strip, "id long, url string, host string, path string, span int, ghost boolean, lines array<string>, safe array<boolean>")
-
-    def compare(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["host", "path", "url", "id"], na_position="first", kind="stable")
-        pages, safe, hosts, ghost = [list(x) for x in t["lines"]], list(t["safe"]), list(t["host"]), t["ghost"].to_numpy(bool)
-        texts = []
-        for i, own in enumerate(pages):
-            if ghost[i]:
-                continue
-            gone: set[int] = set()
-            for k in range(max(0, i - NEIGHBOURS), min(len(pages), i + NEIGHBOURS + 1)):
-                if k != i and hosts[k] == hosts[i] and pages[k] != own and not all(safe[i]):
-                    gone |= difference(own, pages[k])
-            texts.append("\n".join(s for j, s in enumerate(own) if safe[i][j] or j not in gone))
-        t = t[~ghost]
-        return pd.DataFrame({id_col: t["id"].to_numpy(), "url": t["url"].to_numpy(), "text": texts, "n_chars": [len(x) for x in texts]})
-
-    return cut.groupBy("span").applyInPandas(compare, f"{id_col} long, url string, text string, n_chars long")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(3).take(take), span, ghost, lines, inside], ["id", "url", "key", "span", "ghost", "lines", "inside"])
+
+    cut = base.mapInArrow(strip, "id long, url string, key struct<host string, path string, u string, k long>, span int, ghost boolean, lines array<string>, inside array<boolean>")
+    out = f"{id_col} long, url string, text string, n_chars long"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], [id_col, "url", "text", "n_chars"])
+
+        now, host = None, _Host()
+        for b in batches:
+            done: list[tuple] = []
+            ids, urls, ghosts = (b.column(k).to_pylist() for k in (0, 1, 4))
+            for k, (key, span) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
+                place = (span, key["host"].as_py())
+                if place != now:
+                    done += host.settled(0)
+                    now, host = place, _Host()
+                done += host.add(b.column(5)[k].as_py(), b.column(6)[k].as_py(), None if ghosts[k] else (ids[k], urls[k]))
+            yield packed(done)
+        yield packed(host.settled(0))
+
+    return cut.repartition("span").sortWithinPartitions("span", "key", "ghost").mapInArrow(compare, out)
