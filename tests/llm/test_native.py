@@ -74,8 +74,25 @@ def test_aliases_carry_blocks_and_allows_win(spark):
     again = {r.page_id: r.verdict for r in url_filter.filter_urls(df, redirects=known).collect()}
     assert again[11] == again[12] == "block"
     assert url_filter.filter_urls(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.match_rule(F.lit("h"), F.lit("p"), [("allow", str(i), "/") for i in range(url_filter.MAX_RULES + 1)])
+    tabled = defaultdict(list)
+    for r in url_filter.filter_urls(df, compiled=0).collect():
+        tabled[r.page_id].append((r.rule, r.verdict))
+    assert tabled == got
+
+
+def test_long_rule_lists(spark):
+    import random
+
+    rnd = random.Random(4)
+    part = lambda: rnd.choice(["a", "b", "net", "org"])
+    rules = [(rnd.choice(["allow", "block"]), ".".join(part() for _ in range(rnd.randrange(1, 4))), "/" + "/".join(part() for _ in range(rnd.randrange(3)))) for _ in range(url_filter.MAX_RULES + 100)]
+    rows = [(".".join(part() for _ in range(rnd.randrange(1, 5))), "/" + "/".join(part() for _ in range(4))) for _ in range(300)] + [("", ""), ("", "/a"), ("a", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, host string, path string")
+    got = {r.i: r.hit and tuple(r.hit) for r in url_filter.match_rules(df, rules).collect()}
+    assert len(got) == len(rows)
+    for i, (host, path) in enumerate(rows):
+        fits = [(len(h + p), -k, h + p, v) for k, (v, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else None)
 
 
 def test_components(spark):

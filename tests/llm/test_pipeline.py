@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline as cp
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from weftline.llm import queries, simhash
 
 from tests.llm.test_python_style import brute_repeats
@@ -34,6 +35,22 @@ def test_toxic_documents_go(spark, docs):
     assert ids == {i for i, x in q.items() if not x} and len(ids) < len(q)
 
 
+def test_stages_keep_clashing_columns_and_odd_rows(spark, docs):
+    """Null ids, texts and sources, equal rows, and columns named like the operators' own."""
+    extra = [(None, None, None, None, None), (7000, "", "en", "s", 0), (7001, "A b c", "en", None, 5), (7001, "A b c", "en", None, 5)]
+    d = docs.union(spark.createDataFrame(extra, docs.schema))
+    clash = ["t", "n_bytes", "spans", "kept", "marks", "k1", "k2", "n_removed", "row", "__row", "__2", "component", "id", "size", "parts", "copy", "toxic", "a.b"]
+    for k, c in enumerate(clash):
+        d = d.withColumn(c, F.lit(k))
+    for name, stage in cp.STAGES[:4]:
+        got = stage(spark, d, SF)
+        assert got.columns == d.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == k for r in rows for k, c in enumerate(clash)), name
+        assert stage(spark, d.limit(0), SF).count() == 0 or name == "toxicity"
+    assert sum(r.doc_id == 7001 for r in cp.drop_near_duplicates(spark, d, SF).collect()) == 1
+
+
 def test_one_of_each_group_stays(spark, docs):
     rnd = random.Random(8)
     base = [r.text for r in docs.where("n_chars > 1500").orderBy("doc_id").limit(12).collect()]

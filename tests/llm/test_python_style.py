@@ -71,6 +71,20 @@ def test_repeats(spark, docs, small):
     assert sorted((str(r.doc_id), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
     for r in got:
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(b - a for a, b in r.spans) == r.n_removed
+    both = suffix_dedup.without_repeats(df, 400, shorter=200, **how).collect()
+    assert sorted((str(r.doc_id), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in both) == want
+    short = sorted((str(r[0]), x[1]) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 200), strict=True))
+    assert sorted((str(r.doc_id), r.n_in_passages) for r in both) == short
+
+
+def test_repeats_by_shuffle_joins(spark, docs, monkeypatch):
+    want = sorted(suffix_dedup.without_repeats(docs, 300, shorter=100).select("doc_id", "n_removed", "n_in_passages").collect())
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(suffix_dedup.without_repeats(docs, 300, shorter=100).select("doc_id", "n_removed", "n_in_passages").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_repeats_of_nothing(spark, docs):

@@ -48,13 +48,15 @@ def lower_ascii(c: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. It is named by spark.checkpoint.dir; only where
-    that is unset (tests, local mode) a temporary folder takes its place."""
+    that is unset in local mode (tests) a temporary folder takes its place."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()

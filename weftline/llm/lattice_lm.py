@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, steady_reads
 
 FOLDS = 10
 CHUNK_BYTES = 16_000_000
@@ -85,6 +85,7 @@ def _chunk_rows(chunk: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBat
 
 def postings(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per chunk and distinct word; the row with a null word describes the chunk's documents."""
+    steady_reads(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0

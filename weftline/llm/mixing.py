@@ -146,5 +146,5 @@ class Mix:
         words = F.regexp_extract_all(d["text"], F.lit(WORD), F.lit(0))
         part = F.concat_ws(" ", F.flatten(F.transform(got["parts"], lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["words"].cast("int")))))
         text = F.when(got["whole"], d["text"]).otherwise(part)
-        cols = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else d[c] for c in self.docs.columns]
+        cols = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else d[f"`{c}`"] for c in self.docs.columns]
         return j.select(*cols)

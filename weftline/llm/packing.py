@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, running_offsets, spread
+from weftline.llm.common import materialize, running_offsets, spread, steady_reads
 
 CAPACITY = 2048
 END = 0
@@ -110,6 +110,7 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, paths: tuple[str, str | None] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the tokens of each text and one end, cut to capacity."""
     paths = paths or default_paths()
+    steady_reads(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*paths)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import steady_reads
+
 #: Labelled rows that the rules are learned from, at most about.
 MAX_TRAIN = 24_000
 WINDOW = 8
@@ -78,6 +80,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 def stats(docs: DataFrame) -> DataFrame:
     """(doc_id, counts...) of every row."""
+    steady_reads(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,7 +13,7 @@ from weftline.llm.lattice_lm import lattice_scores
 from weftline.llm.mixing import Mix
 from weftline.llm.packing import pack
 from weftline.llm.simhash import hex_digits, near_duplicates
-from weftline.llm.suffix_dedup import without_repeats
+from weftline.llm.suffix_dedup import PASSAGE, without_repeats
 from weftline.llm.url_filter import filter_urls
 
 
@@ -26,8 +26,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    d = without_repeats(documents(spark, sf_dir).select("doc_id", "text"), shorter=PASSAGE)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_in_passages")
 
 
 def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ own_key AS (SELECT u, translate(regexp_extract(regexp_replace(u, '(?s)#.*$', '')
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(own, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN parts ON parts.u = url LEFT JOIN hit ON hit.u = url LEFT JOIN own_key k ON k.u = url LEFT JOIN comp ON node = key LEFT JOIN votes USING (component)"""
 
-#: Every window of 400 bytes of every text, counted by digest.
+#: Every window of 400 bytes of every text, counted by digest; and those of 200 bytes.
 OP2_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
 n AS (SELECT r, doc_id, b, octet_length(b) AS n, hex(b) AS x FROM d),
 w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT r, x, unnest(range(0, greatest(n - 399, 0))) AS i FROM n)),
@@ -116,7 +116,11 @@ k AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
 v AS (SELECT r, k, min(i) AS a, max(i) + 400 AS z FROM k GROUP BY 1, 2),
 o AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM v),
 q AS (SELECT o.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM o JOIN n USING (r) GROUP BY 1)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM n LEFT JOIN q USING (r)"""
+w2 AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, greatest(n - 199, 0))) AS i FROM n)),
+s2 AS (SELECT r, i FROM w2 WHERE m IN (SELECT m FROM w2 GROUP BY m HAVING count(*) > 1)),
+g2 AS (SELECT r, least(200, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -200)) AS more FROM s2),
+p2 AS (SELECT r, sum(more)::BIGINT AS n_in_passages FROM g2 GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256, coalesce(n_in_passages, 0) AS n_in_passages FROM n LEFT JOIN q USING (r) LEFT JOIN p2 USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, steady_reads
 from weftline.llm.graph import connected_components
 
 SEED = 42
@@ -64,6 +64,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
+    steady_reads(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
@@ -273,6 +275,7 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR, b
     a large bucket that are not connected by then are compared exactly with all others of it, block by
     block. component is the smallest row of a group.
     """
+    steady_reads(docs.sparkSession)
     rows = docs.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("weftline"), F.octet_length("text"), "text").alias("k2")]
 

@@ -25,9 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, steady_reads
 
 LENGTH = 400
+#: Bytes of a passage of over 50 words: what nearly every one has.
+PASSAGE = 200
 GRAM = 32
 BATCH_BYTES = 2_000_000
 #: Small enough for a shard's arrays to stay in a processor's cache.
@@ -306,7 +308,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
             order = np.argsort(h)
             order = order[np.concatenate([[True], h[order[1:]] != h[order[:-1]]])]
             h, seg, pos = h[order], seg[order], pos[order]
-            part = (h >> np.uint64(60)).astype(int)  # sixteen ranges of each run
+            # Ranges of each run, sixteen and more: they grow as the root of the number of runs, and so do the groups.
+            bits = 4 + (salts[parts[0][1]].bit_length() - 1) // 2
+            part = (h >> np.uint64(64 - bits)).astype(int)
             for r in np.unique(part):
                 m = part == r
                 ids = np.array([(h1[k], h2[k]) for k in seg[m]], "<i8")
@@ -351,31 +355,65 @@ def covered(marks: list[dict], n: int, length: int) -> np.ndarray:
     return np.column_stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)])
 
 
+def longest_run(marks: list[dict], length: int) -> int:
+    """The bytes of the longest run that windows at the marked starts cover."""
+    pairs = [np.array([[m["start"], m["start"] + m["size"] - length]]) if m["runs"] is None else np.frombuffer(m["runs"], "<i4").reshape(-1, 2) + m["start"] for m in marks]
+    best = begin = end = 0
+    for a, b in sorted(np.concatenate(pairs).tolist()):
+        begin = a if a > end else begin
+        end = max(end, b + length)
+        best = max(best, end - begin)
+    return best
+
+
+def nested_intervals(docs: DataFrame, length: int, shorter: int, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed documents, intervals, intervals of `shorter`). A string of `length` bytes that repeats lies in both
+    places in a run of repeated shorter ones, so only texts with such a run are searched for it."""
+    keyed, short = repeated_intervals(docs, shorter, **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["k1", "k2"]).filter(pa.array([longest_run(m.as_py(), shorter) >= length for m in b.column(2)], pa.bool_()))
+
+    asked = materialize(short.select("k1", "k2", "marks").mapInArrow(run, "k1 long, k2 long"))
+    some = keyed.join(_by_size(asked, F.lit(0)), ["k1", "k2"], "left_semi").select(F.col("t").alias("text"))
+    return keyed, repeated_intervals(some, length, **how)[1], short
+
+
 #: Names of results and working columns.
-_TAKEN = {"spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "t", "k1", "k2", "marks"}
+_TAKEN = {"spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "t", "k1", "k2", "marks", "n_in_passages", "short"}
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **how) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, shorter: int | None = None, **how) -> DataFrame:
     """Every row of docs (but its text) with spans (removed byte ranges), n_bytes, n_removed, n_spans,
-    kept_sha256, and kept: the bytes that stay, or with as_text their text without halves of characters.
+    kept_sha256, and kept: the bytes that stay, or with as_text their text without halves of characters. With
+    shorter also n_in_passages: the bytes that repeated strings of so many bytes cover.
 
     Windows are judged on the texts as they are, so all occurrences of a repeated passage go. Null texts
     count as empty; a row that repeats another is another document, so both lose all windows; texts of
     fewer than `length` bytes lose nothing; ids play no part and may be null or repeated. Columns of docs
     with the name of a result or of a working column are left out.
     """
+    steady_reads(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in _TAKEN])
-    keyed, marks = repeated_intervals(docs, length, **how)
-    marks = _by_size(marks, F.aggregate("marks", F.lit(0), lambda a, m: a + 24 + F.coalesce(F.length(m["runs"]), F.lit(0))))
-    joined = keyed.join(marks, ["k1", "k2"], "left").drop("k1", "k2")
+
+    def sized(m: DataFrame) -> DataFrame:
+        return _by_size(m, F.aggregate("marks", F.lit(0), lambda a, m: a + 24 + F.coalesce(F.length(m["runs"]), F.lit(0))))
+
+    if shorter is None:
+        keyed, marks = repeated_intervals(docs, length, **how)
+        joined = keyed.join(sized(marks), ["k1", "k2"], "left")
+    else:
+        keyed, marks, short = nested_intervals(docs, length, shorter, **how)
+        joined = keyed.join(sized(marks), ["k1", "k2"], "left").join(sized(short).withColumnRenamed("marks", "short"), ["k1", "k2"], "left")
     names = [c for c in docs.columns if c != "text"]
     schema = joined.select(*names).schema
+    width = len(names)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ms = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
             cols: list[list] = [[] for _ in range(6)]
-            for t, m in zip(texts, ms, strict=True):
+            for t, m in zip(b.column(width), b.column(width + 1), strict=True):
                 raw = t.as_buffer().to_pybytes()
                 spans = covered(m.as_py(), len(raw), length) if m.is_valid else np.zeros((0, 2), int)
                 at, kept = 0, []
@@ -388,8 +426,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False
                     c.append(v)
             types = [pa.list_(pa.list_(pa.int64())), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()]
             new = [pa.array(c, ty) for c, ty in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *new], [*b.schema.names[:-2], "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            heads = [*b.schema.names[:width], "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            if shorter is not None:
+                inside = [covered(m.as_py(), n, shorter) if m.is_valid else np.zeros((0, 2), int) for m, n in zip(b.column(width + 2), cols[1], strict=True)]
+                new.append(pa.array([int((x[:, 1] - x[:, 0]).sum()) for x in inside], pa.int64()))
+                heads.append("n_in_passages")
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], heads)
 
     out = "spans array<array<bigint>>, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept " + ("string" if as_text else "binary")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return joined.select(*names, "t", "marks").mapInArrow(remove, f"{head}, {out}")
+    out += "" if shorter is None else ", n_in_passages bigint"
+    return joined.select(*names, "t", "marks", *([] if shorter is None else ["short"])).mapInArrow(remove, f"{head}, {out}")

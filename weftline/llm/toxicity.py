@@ -17,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, steady_reads
 
-#: Labelled rows and features that fitting uses at most; both bound what reaches the driver.
+#: Labelled rows that fitting uses at most; they bound what reaches the driver, features included.
 MAX_TRAIN = 24_000
-MAX_FEATURES = 4_000
 #: Least evidence (log-likelihood ratio) for a word to become a feature.
 MIN_EVIDENCE = 15.0
 #: Lengths of the beginnings of words that are features.
@@ -90,7 +89,7 @@ def choose(seen: list[tuple[str, int, int]], nb: int, ng: int) -> list[str]:
             with np.errstate(divide="ignore", invalid="ignore"):
                 g2 += np.where(part > 0, 2 * part * np.log(part / expect), 0)
     good = np.flatnonzero((g2 >= MIN_EVIDENCE) & (a * ng > b * nb))
-    return [x[1] for x in sorted((-g2[i], seen[i][0]) for i in good)[:MAX_FEATURES]]
+    return [x[1] for x in sorted((-g2[i], seen[i][0]) for i in good)]
 
 
 def choose_words(docs: list[Counter], toxic: np.ndarray) -> list[str]:
@@ -159,6 +158,7 @@ def best_cut(p: np.ndarray, toxic: np.ndarray, cost: float = 10.0) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, grade_col: str | None = None) -> OrdinalModel:
     """Fits on at most about max_train labelled rows, chosen by a hash of doc_id. Rows with a null label
     or id are left out. Only telling features and counts of these rows reach the driver."""
+    steady_reads(docs.sparkSession)
     y = F.col(grade_col or "toxic").cast("int")
     lab = labels.select(F.col("doc_id").cast("long").alias("l_id"), y.alias("l_y")).where("l_id is not null and l_y is not null")
     n = lab.count()
@@ -204,6 +204,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     Null and empty texts score as a text without telling words; equal rows are scored each.
     """
+    steady_reads(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +219,10 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns and the text untouched."""
+    """The rows of docs that are not rejected, with all their columns and the text untouched. Null and empty
+    texts stay, and so does each of equal rows that are not rejected."""
+    steady_reads(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def toxic(text: pd.Series) -> pd.Series:
         return text.map(lambda t: model.grades(t)[1] > model.cut)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import lower_ascii
 from weftline.llm.graph import connected_components
 
-#: (verdict, host, path). A rule list is compiled into one expression, so its length is checked.
+#: (verdict, host, path).
 RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -21,6 +21,7 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+#: Rules that are compiled into one expression at most; a longer list becomes a table.
 MAX_RULES = 500
 
 
@@ -37,8 +38,6 @@ def url_path(url: Column) -> Column:
 def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null. Among rules of one text the
     first in the list counts."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; compile them in several passes")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in reversed(sorted(rules, key=lambda r: -len(r[1] + r[2]))):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -46,6 +45,26 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
+def match_rules(df: DataFrame, rules: list[tuple[str, str, str]], most: int = MAX_RULES) -> DataFrame:
+    """df (host, path) with hit: struct(rule, verdict) of the longest rule that fits, else null. A list of over
+    `most` rules is grouped by host; a row is joined with the hosts above its own, one per label, each an equi-join
+    key, so no row meets more rules than those of its hosts."""
+    if len(rules) <= most:
+        return df.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
+    spark = df.sparkSession
+    numbered = spark.createDataFrame([(i, v, h, p) for i, (v, h, p) in enumerate(rules)], "i long, verdict string, h string, p string")
+    text = F.concat("h", "p")
+    table = numbered.groupBy("h").agg(F.collect_list(F.struct(F.length(text).alias("n"), (-F.col("i")).alias("i"), text.alias("rule"), "verdict", "p")).alias("rules"))
+    named = df.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = named.select("host", "path", F.explode(above).alias("h")).join(table, "h")
+    fits = F.filter("rules", lambda r: F.col("path").startswith(r["p"]))
+    best = met.select("host", "path", F.array_max(fits).alias("best")).where("best is not null")
+    best = best.groupBy("host", "path").agg(F.max("best").alias("best")).select("host", "path", F.struct("best.rule", "best.verdict").alias("hit"))
+    return df.join(best, ["host", "path"], "left")
+
+
 def url_key(url: Column) -> Column:
     """A url without its fragment, scheme and host in lower case: what a server is asked for."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
@@ -97,6 +116,7 @@ def filter_urls(
     rules: list[tuple[str, str, str]] = RULES,
     redirects: DataFrame | None = None,
     id_col: str = "page_id",
+    compiled: int = MAX_RULES,
 ) -> DataFrame:
     """Judges every row of pages (id, url, html).
 
@@ -116,7 +136,7 @@ def filter_urls(
 
     def judged(df: DataFrame, url: str) -> DataFrame:
         parts = df.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
-        hit = parts.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
+        hit = match_rules(parts, rules, compiled)
         return hit.withColumn("rule", F.col("hit.rule")).withColumn("own", F.col("hit.verdict")).drop("hit")
 
     votes = judged(comp, "node").groupBy("component").agg(
