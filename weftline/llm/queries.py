@@ -115,7 +115,7 @@ g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400
 k AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
 v AS (SELECT r, k, min(i) AS a, max(i) + 400 AS z FROM k GROUP BY 1, 2),
 o AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM v),
-q AS (SELECT o.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM o JOIN n USING (r) GROUP BY 1)
+q AS (SELECT o.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM o JOIN n USING (r) GROUP BY 1),
 w2 AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, greatest(n - 199, 0))) AS i FROM n)),
 s2 AS (SELECT r, i FROM w2 WHERE m IN (SELECT m FROM w2 GROUP BY m HAVING count(*) > 1)),
 g2 AS (SELECT r, least(200, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -200)) AS more FROM s2),

@@ -252,8 +252,8 @@ def _by_size(df: DataFrame, size: Column) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, intervals): documents with their 128-bit text keys, and for each key the packed
-    (first, last) starts of the windows that occur elsewhere."""
+    """(keyed documents, spans): documents with their 128-bit text keys, and for each key the maximal runs
+    (a, b) of bytes that windows which occur elsewhere cover."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("t", text).withColumns({c: k for c, k in zip(("k1", "k2"), text_key(F.col("t")), strict=True)})
     segs = materialize(all_segments(keyed.where(F.octet_length("t") >= length), length, gram))
@@ -340,44 +340,35 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     every = kinds.where("n > 1").select("anchor", "h1", "h2", F.lit(None).cast("binary").alias("runs"))  # null: all of it
     marks = partial.union(every)
     placed = cand.join(marks, ["anchor", "h1", "h2"]).select("k1", "k2", F.struct("start", "size", "runs").alias("mark"))
-    return keyed, materialize(placed.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks")))
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [covered(m, length) for m in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["k1", "k2", "spans"])
 
-def covered(marks: list[dict], n: int, length: int) -> np.ndarray:
-    """(begin, end) of the maximal runs of bytes that windows at the marked starts cover."""
-    pairs = [np.array([[m["start"], m["start"] + m["size"] - length]]) if m["runs"] is None else np.frombuffer(m["runs"], "<i4").reshape(-1, 2) + m["start"] for m in marks]
-    edge = np.zeros(n + 1, np.int32)
-    for a, b in np.concatenate(pairs):
-        edge[a] += 1
-        edge[b + length] -= 1
-    inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
-    step = np.diff(inside)
-    return np.column_stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)])
+    every = placed.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
+    return keyed, materialize(every.mapInArrow(merge, "k1 long, k2 long, spans array<struct<a:int,b:int>>"))
 
 
-def longest_run(marks: list[dict], length: int) -> int:
-    """The bytes of the longest run that windows at the marked starts cover."""
+def covered(marks: list[dict], length: int) -> list[tuple[int, int]]:
+    """(begin, end) of the maximal runs of bytes that windows at the marked starts cover."""
     pairs = [np.array([[m["start"], m["start"] + m["size"] - length]]) if m["runs"] is None else np.frombuffer(m["runs"], "<i4").reshape(-1, 2) + m["start"] for m in marks]
-    best = begin = end = 0
-    for a, b in sorted(np.concatenate(pairs).tolist()):
-        begin = a if a > end else begin
-        end = max(end, b + length)
-        best = max(best, end - begin)
-    return best
+    p = np.concatenate(pairs)
+    p = p[np.argsort(p[:, 0], kind="stable")]
+    begin, end = p[:, 0], np.maximum.accumulate(p[:, 1] + length)
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    return list(zip(begin[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)].tolist(), strict=True))
 
 
-def nested_intervals(docs: DataFrame, length: int, shorter: int, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keyed documents, intervals, intervals of `shorter`). A string of `length` bytes that repeats lies in both
+def nested_intervals(docs: DataFrame, length: int, shorter: int, **how) -> tuple[DataFrame, DataFrame]:
+    """(keyed documents, spans with those of `shorter` as short). A string of `length` bytes that repeats lies in both
     places in a run of repeated shorter ones, so only texts with such a run are searched for it."""
     keyed, short = repeated_intervals(docs, shorter, **how)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select(["k1", "k2"]).filter(pa.array([longest_run(m.as_py(), shorter) >= length for m in b.column(2)], pa.bool_()))
-
-    asked = materialize(short.select("k1", "k2", "marks").mapInArrow(run, "k1 long, k2 long"))
+    long_run = F.exists("spans", lambda x: x["b"] - x["a"] >= length)
+    asked = materialize(short.where(long_run).select("k1", "k2"))
     some = keyed.join(_by_size(asked, F.lit(0)), ["k1", "k2"], "left_semi").select(F.col("t").alias("text"))
-    return keyed, repeated_intervals(some, length, **how)[1], short
+    _, spans = repeated_intervals(some, length, **how)
+    return keyed, materialize(short.withColumnRenamed("spans", "short").join(spans, ["k1", "k2"], "left"))
 
 
 #: Names of results and working columns.
@@ -397,15 +388,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False
     steady_reads(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in _TAKEN])
 
-    def sized(m: DataFrame) -> DataFrame:
-        return _by_size(m, F.aggregate("marks", F.lit(0), lambda a, m: a + 24 + F.coalesce(F.length(m["runs"]), F.lit(0))))
-
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)) * 16
     if shorter is None:
-        keyed, marks = repeated_intervals(docs, length, **how)
-        joined = keyed.join(sized(marks), ["k1", "k2"], "left")
+        keyed, spans = repeated_intervals(docs, length, **how)
+        spans = _by_size(spans, size("spans"))
     else:
-        keyed, marks, short = nested_intervals(docs, length, shorter, **how)
-        joined = keyed.join(sized(marks), ["k1", "k2"], "left").join(sized(short).withColumnRenamed("marks", "short"), ["k1", "k2"], "left")
+        keyed, spans = nested_intervals(docs, length, shorter, **how)
+        spans = _by_size(spans, size("spans") + size("short"))
+    joined = keyed.join(spans.withColumnRenamed("spans", "marks"), ["k1", "k2"], "left")
     names = [c for c in docs.columns if c != "text"]
     schema = joined.select(*names).schema
     width = len(names)
@@ -415,21 +405,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False
             cols: list[list] = [[] for _ in range(6)]
             for t, m in zip(b.column(width), b.column(width + 1), strict=True):
                 raw = t.as_buffer().to_pybytes()
-                spans = covered(m.as_py(), len(raw), length) if m.is_valid else np.zeros((0, 2), int)
+                spans = [[x["a"], x["b"]] for x in m.as_py() or ()]
                 at, kept = 0, []
-                for x, y in spans.tolist():
+                for x, y in spans:
                     kept.append(raw[at:x])
                     at = y
                 kept = b"".join([*kept, raw[at:]])
-                row = (spans.tolist(), len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept)
+                row = (spans, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             types = [pa.list_(pa.list_(pa.int64())), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()]
             new = [pa.array(c, ty) for c, ty in zip(cols, types, strict=True)]
             heads = [*b.schema.names[:width], "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             if shorter is not None:
-                inside = [covered(m.as_py(), n, shorter) if m.is_valid else np.zeros((0, 2), int) for m, n in zip(b.column(width + 2), cols[1], strict=True)]
-                new.append(pa.array([int((x[:, 1] - x[:, 0]).sum()) for x in inside], pa.int64()))
+                new.append(pa.array([sum(x["b"] - x["a"] for x in s.as_py() or ()) for s in b.column(width + 2)], pa.int64()))
                 heads.append("n_in_passages")
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], heads)
 
