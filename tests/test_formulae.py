@@ -95,6 +95,14 @@ def test_periods():
     assert day(temporal.period("in March 2023", now)) == ("2023-03-01", "2023-03-31")
     assert day(temporal.period("a couple of days ago", now)) == ("2024-06-09", "2024-06-11")
     assert day(temporal.period("last month", now)) == ("2024-05-01", "2024-05-31")
+    for said in ("la semaine dernière", "La semana  pasada", "letzte Woche", "la settimana scorsa"):
+        assert day(temporal.period(said, now)) == ("2024-06-03", "2024-06-09")
+    assert day(temporal.period("el año pasado", now)) == day(temporal.period("l'année dernière", now)) == ("2023-01-01", "2023-12-31")
+    assert day(temporal.period("im März 2023", now)) == day(temporal.period("marzo 2023", now)) == ("2023-03-01", "2023-03-31")
+    assert day(temporal.period("in dicembre 2023", now)) == ("2023-12-01", "2023-12-31")
+    assert day(temporal.period("a few weeks ago", now)) == ("2024-05-08", "2024-05-29")
+    assert [day(temporal.period("last weekend", datetime(2024, 6, d)))[0] for d in range(7, 11)] == ["2024-06-01", "2024-06-01", "2024-06-08", "2024-06-08"]
+    assert day(temporal.period("last month", datetime(2024, 1, 9))) == ("2023-12-01", "2023-12-31")
     assert temporal.period("anything", now) is None
 
 

@@ -58,7 +58,7 @@ def test_structured_documents():
     ops = [
         {"op": "append_block", "section_id": "stop-conditions", "block": {"type": "paragraph", "text": "more"}},
         {"op": "replace_block", "section_id": "stop-conditions", "index": 9, "block": {"type": "paragraph", "text": "?"}},
-        {"op": "add_section", "heading": "New", "after": "stop-conditions"},
+        {"op": "add_section", "heading": "New", "after_section_id": "stop-conditions"},
         {"op": "remove_section", "section_id": "nothing"},
         {"op": "fly", "section_id": "new"},
     ]
@@ -66,6 +66,24 @@ def test_structured_documents():
     new, skipped = docmodel.apply(doc, ops)
     assert [s["id"] for s in new["sections"]] == ["stop-conditions", "new", "stop-conditions-2"] and len(skipped) == 3
     assert docmodel.render(doc) == before and new["sections"][2] == doc["sections"][1]
+    para = lambda t: {"type": "paragraph", "text": t}
+    more = [
+        {"op": "rename_section", "section_id": "stop-conditions", "new_heading": "Go"},
+        {"op": "add_section", "heading": "Own id", "new_id": "stop-conditions", "blocks": [para("x")], "level": 3},
+        {"op": "add_section", "heading": "Nowhere", "after_section_id": "nothing"},
+        {"op": "insert_block", "section_id": "stop-conditions", "index": 2, "block": para("end")},
+        {"op": "insert_block", "section_id": "stop-conditions", "index": 9, "block": para("?")},
+        {"op": "remove_block", "section_id": "stop-conditions", "index": 0},
+        {"op": "replace_section_blocks", "section_id": "stop-conditions-2", "blocks": [para("all")]},
+        {"op": "append_block", "section_id": "stop-conditions"},
+        {"op": "rename_section", "section_id": "stop-conditions"},
+        {"op": "remove_section", "section_id": "stop-conditions-3"},
+    ]
+    new, skipped = docmodel.apply(doc, more)
+    assert [(s["id"], s["heading"]) for s in new["sections"]] == [("stop-conditions", "Go"), ("stop-conditions-2", "Stop Conditions")]
+    assert [b.get("text") for b in new["sections"][0]["blocks"]] == [None, "end"] and new["sections"][1]["blocks"] == [para("all")]
+    assert [x.split(":")[0] for x in skipped] == ["2", "4", "7", "8"]
+    assert docmodel.render(doc) == before
 
 
 def test_spaced_sample(spark):
@@ -107,3 +125,25 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_recall_of_odd_questions(spark):
+    from datetime import datetime
+
+    from weftline.operators import search
+    from weftline.plans.recall import recall
+    from weftline.plans.registry import SearchConfig
+
+    rows = [(k, t, [1.0, k / 10], "world", None, datetime(2024, 1, 1 + k), 1) for k, t in enumerate(["A fox", "the dog", "", "fox, fox!"])]
+    u = spark.createDataFrame(rows, "id long, text string, embedding array<float>, fact_type string, tags array<string>, event_date timestamp_ntz, proof_count int")
+    assert {r.id for r in search.bm25(u, ["fox", "?"]).collect()} == {0, 3} and search.bm25(u, ["?"]).count() == 0
+    ask = lambda q, **how: [r.id for r in recall(u, q, [0.0, 1.0], datetime(2024, 1, 5), **how).collect()]
+    assert set(ask("fox?")) == set(ask("FOX")) >= {0, 3}
+    for bad in ("???", "", "word " * 501):
+        with pytest.raises(ValueError):
+            ask(bad)
+    assert ask("what happened yesterday?", config=SearchConfig(retrieval="temporal")) == [3]
+    assert ask("what happened?", config=SearchConfig(retrieval="temporal")) == []
+    assert ask("fox", config=SearchConfig(retrieval="temporal"), window=(datetime(2024, 1, 3), datetime(2024, 1, 3))) == [2]
+    none = u.limit(0).select("id", "embedding")
+    assert search.lsh_neighbours(none, none, 3).count() == 0

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import calendar
 import re
+import unicodedata
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column
@@ -84,40 +84,67 @@ def relative_day(text: Column, on: Column) -> Column:
     return out
 
 
-#: Names of months.
-MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m}
+#: What a phrase names, as calendar units from the present one (first, last), in English, Spanish,
+#: Italian, French and German, without accents. The first line that matches counts.
+PERIODS = [
+    ("day", -1, -1, r"yesterday|ayer|ieri|hier|gestern"),
+    ("day", 0, 0, r"today|hoy|oggi|aujourd'?hui|heute"),
+    ("day", -3, -1, r"couple (of )?days? ago"),
+    ("day", -5, -2, r"few days? ago"),
+    ("day", -21, -7, r"couple (of )?weeks? ago"),
+    ("day", -35, -14, r"few weeks? ago"),
+    ("day", -90, -30, r"couple (of )?months? ago"),
+    ("day", -150, -60, r"few months? ago"),
+    ("week", -1, -1, r"last week|la semana pasada|la settimana scorsa|la semaine derniere|letzte woche"),
+    ("month", -1, -1, r"last month|el mes pasado|il mese scorso|le mois dernier|letzten? monat"),
+    ("year", -1, -1, r"last year|el ano pasado|l'anno scorso|l'annee derniere|letztes? jahr"),
+    ("weekend", -1, -1, r"last weekend|el fin de semana pasado|lo scorso fine settimana|le week-?end dernier|letztes? wochenende"),
+]
+#: Names of the months in the same languages.
+MONTHS = [
+    "january enero gennaio janvier januar",
+    "february febrero febbraio fevrier februar",
+    "march marzo mars marz",
+    "april abril aprile avril",
+    "may mayo maggio mai",
+    "june junio giugno juin juni",
+    "july julio luglio juillet juli",
+    "august agosto aout",
+    "september septiembre settembre septembre",
+    "october octubre ottobre octobre oktober",
+    "november noviembre novembre",
+    "december diciembre dicembre decembre dezember",
+]
+_MONTH_OF = {name: k for k, names in enumerate(MONTHS) for name in names.split()}
+_PHRASES = [(unit, first, last, re.compile(r"\b(" + words.replace(" ", r"\s+") + r")\b")) for unit, first, last, words in PERIODS]
+_MONTH_YEAR = re.compile(r"\b(" + "|".join(sorted(_MONTH_OF, key=len, reverse=True)) + r")\s+(\d{4})\b")
+
+
+def _unit_start(unit: str, day: date, shift: int) -> date:
+    """Where the unit that is `shift` after that of a day begins. Of weekends, the last before the day is number -1."""
+    if unit == "day":
+        return day + timedelta(shift)
+    if unit == "week":
+        return day + timedelta(7 * shift - day.weekday())
+    if unit == "weekend":
+        return day + timedelta(7 * shift + 7 - ((day.weekday() - 6) % 7 + 1))
+    year, month = divmod(12 * day.year + (day.month - 1 if unit == "month" else 0) + shift * (1 if unit == "month" else 12), 12)
+    return date(year, month + 1, 1)
 
 
 def period(query: str, now: datetime) -> tuple[datetime, datetime] | None:
-    """The time window that a question names (yesterday, last week, June 2023), on the driver."""
-    q, day = query.lower(), now.date()
-
-    def span(a: date, b: date) -> tuple[datetime, datetime]:
-        return datetime.combine(a, time.min), datetime.combine(b, time.max)
-
-    if re.search(r"\byesterday\b", q):
-        return span(day - timedelta(1), day - timedelta(1))
-    if re.search(r"\btoday\b", q):
-        return span(day, day)
-    # "A couple" is 1 to 3 of a unit ago, "a few" 2 to 5; a month counts 30 days.
-    for unit, days in (("day", 1), ("week", 7), ("month", 30)):
-        if re.search(rf"\bcouple\s+(of\s+)?{unit}s?\s+ago\b", q):
-            return span(day - timedelta(3 * days), day - timedelta(days))
-        if re.search(rf"\bfew\s+{unit}s?\s+ago\b", q):
-            return span(day - timedelta(5 * days), day - timedelta(2 * days))
-    if re.search(r"\blast weekend\b", q):
-        saturday = day - timedelta((day.weekday() + 2) % 7 or 7)
-        return span(saturday, saturday + timedelta(1))
-    if re.search(r"\blast week\b", q):
-        monday = day - timedelta(day.weekday() + 7)
-        return span(monday, monday + timedelta(6))
-    if re.search(r"\blast month\b", q):
-        end = day.replace(day=1) - timedelta(1)
-        return span(end.replace(day=1), end)
-    if re.search(r"\blast year\b", q):
-        return span(date(day.year - 1, 1, 1), date(day.year - 1, 12, 31))
-    m = re.search(rf"\b({'|'.join(MONTHS)})\s+(\d{{4}})\b", q)
-    if m:
-        year, month = int(m[2]), MONTHS[m[1]]
-        return span(date(year, month, 1), date(year, month, calendar.monthrange(year, month)[1]))
-    return None
+    """The time window that a question names (yesterday, la semana pasada, Juni 2023), on the driver; accents
+    and case do not count."""
+    folded = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+    for unit, first, last, phrase in _PHRASES:
+        if phrase.search(folded):
+            low = _unit_start(unit, now.date(), first)
+            high = low + timedelta(2) if unit == "weekend" else _unit_start(unit, now.date(), last + 1)
+            break
+    else:
+        named = _MONTH_YEAR.search(folded)
+        if not named or not int(named[2]):
+            return None
+        low = date(int(named[2]), _MONTH_OF[named[1]] + 1, 1)
+        high = _unit_start("month", low, 1)
+    return datetime.combine(low, time.min), datetime.combine(high, time.min) - timedelta(microseconds=1)

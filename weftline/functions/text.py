@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What words are made of.
+WORD_CHAR = r"[\p{L}\p{N}_]"
 _NOT_WORD = r"[^\p{L}\p{N}_\s]"
 
 
@@ -18,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normalise(text), r"\s+"), lambda t: t != "")
 
 
+def words(query: str) -> list[str]:
+    """The words of a question, on the driver, by the rule of tokens()."""
+    return re.sub(r"[^\w\s]", " ", query.lower()).split()
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each word, padded by two spaces before and one after it."""
     padded = F.transform(tokens(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

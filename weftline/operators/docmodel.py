@@ -7,7 +7,6 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -87,51 +86,68 @@ def render(doc: dict) -> str:
     return "\n\n".join(out)
 
 
+#: Operations on blocks, with the highest index each takes: None for no index, else how far beyond the last block.
+_BLOCK_OPS = {"append_block": None, "insert_block": 1, "replace_block": 0, "remove_block": 0}
+_SECTION_OPS = {"remove_section", "rename_section", "replace_section_blocks"}
+
+
+def _refusal(op: dict, ids: list[str], blocks: list) -> str | None:
+    """Why an operation cannot be applied."""
+    kind, at = op.get("op"), op.get("index")
+    if kind == "add_section":
+        after = op.get("after_section_id")
+        if not op.get("heading"):
+            return "no heading"
+        return f"unknown after_section_id: {after}" if after is not None and after not in ids else None
+    if kind not in _BLOCK_OPS and kind not in _SECTION_OPS:
+        return f"unknown operation {kind}"
+    if op.get("section_id") not in ids:
+        return f"unknown section_id: {op.get('section_id')}"
+    if kind == "rename_section" and not isinstance(op.get("new_heading"), str):
+        return "no new_heading"
+    beyond = _BLOCK_OPS.get(kind)
+    if beyond is not None and not (isinstance(at, int) and 0 <= at < len(blocks) + beyond):
+        return f"index out of range: {at}"
+    if kind in ("append_block", "insert_block", "replace_block") and not isinstance(op.get("block"), dict):
+        return "no block"
+    return None
+
+
 def apply(doc: dict, operations: list[dict]) -> tuple[dict, list[str]]:
     """A new document with the operations applied in order, and why others were skipped.
 
-    Operations: append_block, insert_block, replace_block, remove_block, add_section, remove_section,
-    rename_section, replace_section_blocks. Sections that none names stay as they are.
+    Blocks: append_block, insert_block, replace_block, remove_block (section_id, index, block). Sections: add_section
+    (heading, level, blocks, after_section_id, new_id), remove_section, rename_section (new_heading; the id stays),
+    replace_section_blocks (blocks). Sections that none names stay as they are, and so does doc.
     """
     new, skipped = copy.deepcopy(doc), []
-    for n, op in enumerate(operations):
-        kind, by_id = op.get("op"), {s["id"]: s for s in new["sections"]}
-        target = by_id.get(op.get("section_id"))
-        if kind == "add_section":
-            if not op.get("heading"):
-                skipped.append(f"{n}: no heading")
-                continue
-            s = {"id": slug(op["heading"], set(by_id)), "heading": op["heading"], "level": op.get("level", 2), "blocks": op.get("blocks", [])}
-            after = next((i for i, x in enumerate(new["sections"]) if x["id"] == op.get("after")), len(new["sections"]) - 1)
-            new["sections"].insert(after + 1, s)
-            continue
-        if target is None:
-            skipped.append(f"{n}: unknown section {op.get('section_id')}")
-            continue
-        at, blocks = op.get("index"), target["blocks"]
-        if kind in ("replace_block", "remove_block") and not (isinstance(at, int) and 0 <= at < len(blocks)) or kind == "insert_block" and not (isinstance(at, int) and 0 <= at <= len(blocks)):
-            skipped.append(f"{n}: no block {at}")
+    sections = new["sections"]
+    for n, op in enumerate(copy.deepcopy(operations)):
+        ids = [s["id"] for s in sections]
+        where = ids.index(op["section_id"]) if op.get("section_id") in ids else None
+        blocks = sections[where]["blocks"] if where is not None else []
+        if why := _refusal(op, ids, blocks):
+            skipped.append(f"{n}: {why}")
             continue
-        if kind in ("append_block", "insert_block", "replace_block") and not isinstance(op.get("block"), dict):
-            skipped.append(f"{n}: no block given")
-            continue
-        match kind:
-            case "append_block":
+        match op["op"], op.get("index"):
+            case "add_section", _:
+                own = slug(op.get("new_id") or op["heading"], set(ids))
+                after = op.get("after_section_id")
+                sections.insert(len(ids) if after is None else ids.index(after) + 1, {"id": own, "heading": op["heading"], "level": op.get("level", 2), "blocks": op.get("blocks", [])})
+            case "append_block", _:
                 blocks.append(op["block"])
-            case "insert_block":
+            case "insert_block", at:
                 blocks.insert(at, op["block"])
-            case "replace_block":
+            case "replace_block", at:
                 blocks[at] = op["block"]
-            case "remove_block":
+            case "remove_block", at:
                 del blocks[at]
-            case "remove_section":
-                new["sections"].remove(target)
-            case "rename_section":
-                target["heading"] = op.get("heading") or target["heading"]
-            case "replace_section_blocks":
-                target["blocks"] = op.get("blocks", [])
-            case _:
-                skipped.append(f"{n}: unknown operation {kind}")
+            case "remove_section", _:
+                del sections[where]
+            case "rename_section", _:
+                sections[where]["heading"] = op["new_heading"]
+            case "replace_section_blocks", _:
+                sections[where]["blocks"] = op.get("blocks", [])
     return new, skipped
 
 
@@ -149,9 +165,3 @@ def apply_operations(doc: pd.Series, operations: pd.Series) -> pd.Series:
         return json.dumps({"document": new, "skipped": skipped}, ensure_ascii=False)
 
     return pd.Series([one(d, o) for d, o in zip(doc, operations, strict=True)])
-
-
-def heading_slug(c: Column) -> Column:
-    from weftline.functions.text import slug as expression
-
-    return expression(c)

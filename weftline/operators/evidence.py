@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scores import token_estimate
 from weftline.functions.text import normalise, tokens
-from weftline.operators.rows import first_seen, prefix_budget, ranked, top_per
+from weftline.operators.rows import first_seen, prefix_budget, top_per
 
 
 def overlap(text: Column, terms: list[str]) -> Column:
@@ -27,15 +27,37 @@ def bundles(facts: DataFrame, terms: list[str], per_bundle: int = 2, most: int =
     return best.join(kept.select("bundle", F.col("head.rank").alias("first_rank")), "bundle").select("bundle", "first_rank", "place", "id", "score")
 
 
-def snippets(turns: DataFrame, terms: list[str], least: int = 2, around: int = 1) -> DataFrame:
-    """Turns (conv_id, turn, text) that score at least `least` (5 x overlap), with their neighbours; turns that
-    an earlier window of the conversation covers start none: (conv_id, turn, low, high, score)."""
-    s = turns.withColumn("score", 5 * overlap(F.col("text"), terms)).where(F.col("score") >= least)
-    w = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")
-    r = s.withColumn("n", F.row_number().over(w))
-    before = F.transform(F.filter(F.collect_list(F.struct("n", "turn")).over(w.rowsBetween(Window.unboundedPreceding, -1)), lambda x: x["n"].isNotNull()), lambda x: x["turn"])
-    free = r.withColumn("covered", F.exists(before, lambda t: F.abs(t - F.col("turn")) <= around)).where(~F.col("covered"))
-    return free.select("conv_id", "turn", (F.col("turn") - around).alias("low"), (F.col("turn") + around).alias("high"), "score")
+def snippets(
+    turns: DataFrame, terms: list[str], *, per_document: int = 2, most: int | None = 16, chars: int = 1800, total_chars: int | None = 18_000, least: int = 2,
+    signal: str = "[0-9]", numeric: bool = False, covered: DataFrame | None = None, order: str = "conv_id",
+) -> DataFrame:
+    """Turns (conv_id, turn, text) that answer a question, each with its neighbours as one window: (conv_id, turn,
+    place, score, body).
+
+    A turn scores 5 for each term and 2 for a signal, and needs `least`. Where a conversation has turns with terms,
+    only they count; turns with a signal alone are asked for by numeric questions, and only where no covered turn
+    (conv_id, turn) has a term. Windows of equal words stand once. Of each conversation the best few are taken, and
+    these in turns, first the best of every one, in its order, until there are `most` or their characters are spent;
+    None sets no such end.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    body = F.substr(F.concat_ws("\n", F.lag("text").over(w), "text", F.lead("text").over(w)), F.lit(1), F.lit(chars))
+    s = turns.withColumn("body", body).withColumn("overlap", overlap(F.col("text"), terms))
+    s = s.withColumn("score", 5 * F.col("overlap") + 2 * F.col("text").rlike(signal).cast("long")).where(F.col("score") >= least)
+    if covered is not None:
+        s = s.join(covered.select("conv_id", "turn", F.lit(True).alias("seen")), ["conv_id", "turn"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    else:
+        s = s.withColumn("seen", F.lit(False))
+    said = F.max(F.col("overlap") > 0).over(Window.partitionBy("conv_id"))
+    s = s.withColumn("said", said).where(~F.col("seen") & ((F.col("overlap") > 0) | (F.lit(numeric) & ~F.col("said"))))
+    best = [F.desc("score"), F.desc("overlap"), F.asc("turn")]
+    s = s.withColumn("norm", F.trim(F.regexp_replace(F.lower("body"), "[^A-Za-z0-9_]+", " "))).where("body <> ''")
+    top = top_per(first_seen(s, ["conv_id", "norm"], best), ["conv_id"], best, per_document, "place")
+    if most is not None:
+        top = top.orderBy("place", order).limit(most)
+    if total_chars is not None:
+        top = prefix_budget(top.withColumn("all", F.lit(1)), ["all"], [F.asc("place"), F.asc(order)], F.length("body"), total_chars)
+    return top.select("conv_id", "turn", "place", "score", "body")
 
 
 def appendix(facts: DataFrame, sessions: int = 6, per_session: int = 3) -> DataFrame:
@@ -63,12 +85,12 @@ def attach_chunks(facts: DataFrame, chunks: DataFrame, max_tokens: int) -> DataF
     return prefix_budget(j, ["all"], [F.asc("rank"), F.asc("chunk_id")], F.col("tokens"), max_tokens).select("chunk_id", "rank", "tokens", "spent")
 
 
-def packet(facts: DataFrame) -> DataFrame:
-    """Ranked facts as one text: a numbered line each, with its date."""
+def packet(facts: DataFrame, by: list[str]) -> DataFrame:
+    """Ranked facts as one text for each answer (by): a numbered line each, with its date. An answer's facts are few."""
     when = F.date_format(F.coalesce("occurred_start", "occurred_end"), "yyyy-MM-dd")
     line = F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), F.concat(F.lit("["), when, F.lit("]")), "text")
     rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    return facts.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("packet"))
+    return facts.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("packet"))
 
 
 def observation_entities(observations: DataFrame, unit_entities: DataFrame) -> DataFrame:
@@ -81,11 +103,3 @@ def observations_of_document(observations: DataFrame, units: DataFrame, document
     """Observations that have a source in a document."""
     mine = units.where(F.col("document_id") == document_id).select(F.col("id").alias("source_id"))
     return observations.select("id", F.explode("source_ids").alias("source_id")).join(mine, "source_id", "left_semi").select("id").distinct()
-
-
-def interleave(rows: DataFrame, group: str, first: str, order: list[Column], budget_chars: int) -> DataFrame:
-    """Rows of several groups in turns, the group with the best first row leading, until a character budget."""
-    r = ranked(rows, [group], order, "turn")
-    lead = Window.partitionBy(group)
-    r = r.withColumn("lead", F.min(first).over(lead)).withColumn("all", F.lit(1))
-    return prefix_budget(r, ["all"], [F.asc("turn"), F.asc("lead"), F.asc(group)], F.length("text"), budget_chars)

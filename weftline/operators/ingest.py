@@ -104,6 +104,48 @@ def change_kind(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.where("after > 0").select("doc_id", kind.alias("kind"), reason.alias("reason"), "unchanged", "changed")
 
 
+def document_changes(docs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, kind, reason, unchanged, changed, added, removed) for each row of docs (doc_id, document_exists,
+    updated_at, requested_at, policy_compatible, old_hash, new_hash), from its chunks (doc_id, chunk_index,
+    content_hash). Stored state that is unsafe or ambiguous means full; a delta needs an unchanged chunk."""
+    missing = lambda c: F.col(c).isNull() | (F.col(c) == "")
+
+    def shape(chunks: DataFrame, side: str) -> DataFrame:
+        return chunks.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias(f"{side}_n"), (F.count(F.lit(1)) > F.count_distinct("chunk_index")).alias(f"{side}_twice"), F.bool_or(missing("content_hash")).alias(f"{side}_bare")
+        )
+
+    one = lambda c, name: c.groupBy("doc_id", "chunk_index").agg(F.min("content_hash").alias(name), F.lit(True).alias(f"{name}_in"))
+    both = F.col("o_in") & F.col("n_in")
+    same = F.coalesce(F.col("o") == F.col("n"), F.lit(False))
+    j = one(old, "o").join(one(new, "n"), ["doc_id", "chunk_index"], "full").groupBy("doc_id").agg(
+        F.count_if(same).alias("unchanged"), F.count_if(both & ~same).alias("changed"), F.count_if(F.col("o_in").isNull()).alias("added"), F.count_if(F.col("n_in").isNull()).alias("removed")
+    )
+    d = docs.join(shape(old, "o"), "doc_id", "left").join(shape(new, "n"), "doc_id", "left").join(j, "doc_id", "left").na.fill(0, ["unchanged", "changed", "added", "removed"])
+    moved = F.col("changed") + F.col("added") + F.col("removed")
+    # The reasons, in the order in which they are looked for.
+    reasons = [
+        ("full", "document_not_found", ~F.col("document_exists")),
+        ("stale_skip", "document_updated_after_request_started", F.col("updated_at") > F.col("requested_at")),
+        ("full", "chunk_policy_incompatible", ~F.col("policy_compatible")),
+        ("full", "missing_document_content_hash", missing("old_hash") | missing("new_hash")),
+        ("full", "no_existing_chunks", F.col("o_n").isNull()),
+        ("full", "duplicate_existing_chunk_index", F.col("o_twice")),
+        ("full", "missing_existing_chunk_hash", F.col("o_bare")),
+        ("full", "duplicate_new_chunk_index", F.col("n_twice")),
+        ("full", "missing_new_chunk_hash", F.col("n_bare")),
+        ("full", "document_hash_mismatch_without_chunk_changes", (moved == 0) & (F.col("old_hash") != F.col("new_hash"))),
+        ("metadata_only", "same_chunks", moved == 0),
+        ("full", "no_unchanged_chunks", F.col("unchanged") == 0),
+    ]
+    found = F.lit(None)
+    for kind, reason, test in reasons:
+        hit = F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason")))
+        found = F.coalesce(found, hit) if kind != "full" or reason != "document_not_found" else hit
+    found = F.coalesce(found, F.struct(F.lit("delta").alias("kind"), F.lit("some_chunks_changed").alias("reason")))
+    return d.withColumn("found", found).select("doc_id", "found.kind", "found.reason", "unchanged", "changed", "added", "removed")
+
+
 def stale_requests(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Requests older than their document's last update are skipped: adds stale."""
     d = docs.select("doc_id", "updated_at")

@@ -62,12 +62,18 @@ def semantic_links(neighbours: DataFrame) -> DataFrame:
 
 
 def entity_links(unit_entities: DataFrame, new_units: DataFrame, most: int = 10) -> DataFrame:
-    """Links in both directions between new units and the other units of their entities, up to `most` of the
-    newest other units per entity (by id)."""
-    new = unit_entities.join(new_units, "unit_id", "left_semi")
-    touched = unit_entities.join(new.select("entity_id").distinct(), "entity_id", "left_semi")
-    recent = top_per(touched, ["entity_id"], [F.desc("unit_id")], most).select("entity_id", F.col("unit_id").alias("other"))
-    one = new.join(recent, "entity_id").where("unit_id <> other").select(F.col("unit_id").alias("from_id"), F.col("other").alias("to_id"), "entity_id")
+    """Links in both directions between units of one entity. Of each entity the newest units by id count, `most` and as
+    many as are new in all; of these, new units link with the `most` oldest that were there before, and the `most`
+    oldest new ones with each other. So a unit has few partners, however many units an entity has."""
+    new = new_units.select("unit_id").distinct().withColumn("new", F.lit(True))
+    marked = unit_entities.join(new, "unit_id", "left").select("entity_id", "unit_id", F.coalesce("new", F.lit(False)).alias("new"))
+    touched = marked.join(marked.where("new").select("entity_id").distinct(), "entity_id", "left_semi")
+    recent = top_per(touched, ["entity_id"], [F.desc("unit_id")], most + new.count()).drop("rank")
+    other = top_per(recent, ["entity_id", "new"], [F.asc("unit_id")], most).select("entity_id", F.col("unit_id").alias("other"), F.col("new").alias("other_new"))
+    one = recent.where("new").join(other, "entity_id").where("unit_id <> other")
+    among = other.where("other_new").select("entity_id", F.col("other").alias("unit_id"))
+    one = one.where("not other_new").select("entity_id", "unit_id", "other").union(one.where("other_new").join(among, ["entity_id", "unit_id"], "left_semi").select("entity_id", "unit_id", "other"))
+    one = one.select(F.col("unit_id").alias("from_id"), F.col("other").alias("to_id"), "entity_id")
     both = one.union(one.select("to_id", "from_id", "entity_id")).distinct()
     return both.withColumn("link_type", F.lit("entity")).withColumn("weight", F.lit(1.0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scores
@@ -56,9 +56,14 @@ def cross_encode(df: DataFrame, text: Column, scorer: Callable[[pd.Series], pd.S
     return df.withColumn("ce", raw if normalised else scores.sigmoid(raw))
 
 
-def rerank_by_rank(df: DataFrame, n: Column) -> DataFrame:
-    """ce from the fused rank alone, 1 down to 0.1."""
-    return df.withColumn("ce", scores.rank_score(F.col("rank") - 1, n))
+def unranked(df: DataFrame) -> DataFrame:
+    """The same ce for all: what follows decides."""
+    return df.withColumn("ce", F.lit(0.5))
+
+
+def rerank_by_rank(df: DataFrame) -> DataFrame:
+    """ce from the fused rank alone, 1 down to 0.1 for the last of the candidates, which are few."""
+    return df.withColumn("ce", scores.rank_score(F.col("rank") - 1, F.count(F.lit(1)).over(Window.partitionBy())))
 
 
 def rank_changes(before: DataFrame, after: DataFrame) -> DataFrame:

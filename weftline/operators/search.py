@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import temporal
-from weftline.functions.text import tokens
+from weftline.functions.text import WORD_CHAR, tokens
 from weftline.functions.vector import cosine
 from weftline.operators.rows import top_per
 
@@ -34,24 +37,22 @@ def inverted_index(units: DataFrame) -> DataFrame:
 def bm25(units: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, bm25) of every unit with at least one term. Texts without words count in no average.
 
-    Only the query's terms are exploded: each text is one row until it has matched, so nothing but the
-    matching terms is shuffled.
+    One pass counts texts, words and the texts of each term, another scores. Words are found where they stand, and
+    only the query's terms leave their text, so nothing else is shuffled.
     """
-    asked = sorted(set(terms))
-    t = units.select("id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    n, avg = t.where("length > 0").agg(F.count(F.lit(1)), F.avg("length")).first()
+    asked = sorted(w for w in set(terms) if re.fullmatch(r"\w+", w))
+    none = units.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    if not asked:
+        return none
+    low = F.lower("text")
+    found = F.regexp_extract_all(low, F.lit(rf"(?<!{WORD_CHAR})(?:{'|'.join(asked)})(?!{WORD_CHAR})"), F.lit(0))
+    t = units.select("id", F.regexp_count(low, F.lit(f"{WORD_CHAR}+")).alias("length"), found.alias("found"))
+    n, avg, *df = t.agg(F.count_if(F.col("length") > 0), F.avg(F.when(F.col("length") > 0, F.col("length"))), *[F.count_if(F.array_contains("found", w)) for w in asked]).first()
     if not n:
-        return units.select("id", F.lit(0.0).alias("bm25")).limit(0)
-
-    def times(w: str) -> Column:
-        return F.size(F.filter("words", lambda x: x == w))
-
-    tf = F.explode(F.array(*[F.struct(F.lit(w).alias("term"), times(w).alias("tf")) for w in asked]))
-    hit = t.select("id", "length", tf.alias("h")).select("id", "length", "h.*").where("tf > 0")
-    df = {r.term: r["count"] for r in hit.groupBy("term").count().collect()}  # a row per query term
+        return none
+    hit = t.select("id", "length", F.explode("found").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.lit(0.0)
-    for w in asked:
-        c = df.get(w, 0)
+    for w, c in zip(asked, df, strict=True):
         idf = F.when(F.col("term") == w, F.ln(F.lit(1 + (n - c + 0.5) / (c + 0.5)))).otherwise(idf)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(avg))))
     return hit.groupBy("id").agg(F.sum(part).alias("bm25"))
@@ -148,10 +149,14 @@ def lsh_buckets(units: DataFrame, planes: list[list[list[float]]], parts: int =
     return units.where("embedding is not null").select("id", "embedding").mapInPandas(place, "table int, bucket long, id long, embedding array<float>")
 
 
-def lsh_neighbours(units: DataFrame, queries: DataFrame, k: int, bits: int = 4, tables: int = 10, seed: int = 11) -> DataFrame:
+def lsh_neighbours(units: DataFrame, queries: DataFrame, k: int, bits: int | None = None, tables: int = 10, seed: int = 11) -> DataFrame:
     """Approximate nearest units of each query: equi-join of buckets, exact similarity, top k. Recall is
-    measured against the exact answer; more tables raise it."""
-    first = units.select("embedding").first()
+    measured against the exact answer; more tables raise it. Without bits, buckets hold about 64 units at every
+    size."""
+    first = units.where("embedding is not null").select("embedding").first()
+    if first is None:
+        return queries.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    bits = bits or max(4, round(math.log2(units.count() / 64 + 1)))
     planes = hyperplanes(len(first[0]), bits, tables, seed)
     q = lsh_buckets(queries, planes).withColumnsRenamed({"id": "query_id", "embedding": "query_vector"})
     pairs = q.join(lsh_buckets(units, planes), ["table", "bucket"]).where("id <> query_id").dropDuplicates(["query_id", "id"])

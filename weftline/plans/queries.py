@@ -76,10 +76,9 @@ def bm25_topk(spark, sf):
 
 @query(f"""WITH t AS (SELECT doc_id, {WORDS.format('text')} AS words FROM documents),
 f AS (SELECT doc_id, unnest(words) AS term FROM t), g AS (SELECT term, doc_id, count(*) AS tf FROM f GROUP BY ALL)
-SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM g GROUP BY term HAVING count(*) >= 5""")
+SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM g GROUP BY term""")
 def inverted_index(spark, sf):
-    g = search.inverted_index(text_units(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return g.where("df >= 5")
+    return search.inverted_index(text_units(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def _tags(mode: str, test: str) -> None:
@@ -188,11 +187,11 @@ def range_join_window(spark, sf):
 
 
 @query(with_tables("time_units", rest="""p AS (SELECT a.id AS from_id, b.id AS to_id, round(exp(-(abs(epoch_us(a.event_date) - epoch_us(b.event_date)) / 1e6) / 86400.0), 6) AS weight
-FROM time_units a JOIN time_units b ON a.bank_id = b.bank_id AND a.fact_type = b.fact_type AND a.id <> b.id AND abs(epoch_us(a.event_date) - epoch_us(b.event_date)) <= 86400000000 WHERE a.id % 100 = 0),
+FROM time_units a JOIN time_units b ON a.bank_id = b.bank_id AND a.fact_type = b.fact_type AND a.id <> b.id AND abs(epoch_us(a.event_date) - epoch_us(b.event_date)) <= 86400000000),
 r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id) AS rank FROM p) SELECT from_id, to_id, weight, rank FROM r WHERE rank <= 10"""))
 def decayed_neighbours(spark, sf):
     u = time_units(spark, sf)
-    return links.decayed_neighbours(u, u.where("id % 100 = 0"), ["bank_id", "fact_type"]).select("from_id", "to_id", "weight", "rank")
+    return links.decayed_neighbours(u, u, ["bank_id", "fact_type"]).select("from_id", "to_id", "weight", "rank")
 
 
 TEMPORAL_SQL = NEAR_SQL.format(part="bank_id, fact_type", units="time_units", on=TWO, side=5) + ", tl AS (SELECT from_id, to_id, round(greatest(0.3, 1 - hours / 24), 6) AS weight FROM r WHERE rank <= 5)"
@@ -218,13 +217,17 @@ def semantic_links(spark, sf):
     return links.semantic_links(search.exact_neighbours(vector_units(spark, sf), 5, 0.3))
 
 
-@query(with_tables("unit_entities", rest="""n AS (SELECT * FROM unit_entities WHERE unit_id % 200 = 0),
-t AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY unit_id DESC) AS k FROM unit_entities WHERE entity_id IN (SELECT entity_id FROM n)),
-o AS (SELECT n.unit_id AS from_id, t.unit_id AS to_id, entity_id FROM n JOIN t USING (entity_id) WHERE t.k <= 10 AND n.unit_id <> t.unit_id)
+@query(with_tables("unit_entities", rest="""n AS (SELECT DISTINCT o_orderkey AS unit_id FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderkey IN (SELECT unit_id FROM unit_entities)),
+m AS (SELECT entity_id, unit_id, unit_id IN (SELECT unit_id FROM n) AS fresh FROM unit_entities), t AS (SELECT * FROM m WHERE entity_id IN (SELECT entity_id FROM m WHERE fresh)),
+k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY unit_id DESC) <= 10 + (SELECT count(*) FROM n)),
+z AS (SELECT *, row_number() OVER (PARTITION BY entity_id, fresh ORDER BY unit_id) AS place FROM k),
+o AS (SELECT a.unit_id AS from_id, b.unit_id AS to_id, entity_id FROM z a JOIN z b USING (entity_id) WHERE a.fresh AND a.unit_id <> b.unit_id AND b.place <= 10 AND (NOT b.fresh OR a.place <= 10))
 SELECT from_id, to_id, entity_id FROM o UNION SELECT to_id, from_id, entity_id FROM o"""))
 def entity_links(spark, sf):
+    """The orders of 1998 on are the new units."""
     ue = unit_entities(spark, sf)
-    return links.entity_links(ue, ue.where("unit_id % 200 = 0").select("unit_id").distinct()).select("from_id", "to_id", "entity_id")
+    new = table(spark, sf, "orders").where(F.col("o_orderdate").cast("date") >= "1998-01-01").select(F.col("o_orderkey").alias("unit_id"))
+    return links.entity_links(ue, new.join(ue, "unit_id", "left_semi")).select("from_id", "to_id", "entity_id")
 
 
 CAUSAL_SQL = """c AS (SELECT id AS from_id, fact_type, lag(id) OVER (PARTITION BY document_id ORDER BY event_date, id) AS to_id, (id % 10 + 1) / 10.0 AS weight FROM time_units),
@@ -241,16 +244,16 @@ def _causal(spark, sf):
 
 
 @query("""WITH f AS (SELECT l_orderkey AS d, l_linenumber AS p, l_orderkey * 10 + l_linenumber AS id FROM lineitem), c AS (SELECT d, id, p, unnest([p - 1, p - 2, p, p + 1]) AS target FROM f)
-SELECT DISTINCT c.id AS from_id, f.id AS to_id, 'caused_by' AS link_type, 1.0::DOUBLE AS weight FROM c JOIN f ON f.d = c.d AND f.p = c.target WHERE c.target < c.p AND c.d % 20 = 0""")
+SELECT DISTINCT c.id AS from_id, f.id AS to_id, 'caused_by' AS link_type, 1.0::DOUBLE AS weight FROM c JOIN f ON f.d = c.d AND f.p = c.target WHERE c.target < c.p""")
 def causal_links(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
+    li = table(spark, sf, "lineitem")
     p = F.col("l_linenumber").cast("long")
     f = li.select(F.col("l_orderkey").alias("document_id"), (F.col("l_orderkey") * 10 + p).alias("id"), p.alias("position"), F.array(p - 1, p - 2, p, p + 1).alias("causes"))
     return links.causal_links(f)
 
 
 @query(with_tables("time_units", rest=TEMPORAL_SQL + """, v AS (SELECT * FROM tl WHERE from_id % 3 <> 0 AND to_id % 3 <> 0)
-SELECT from_id, to_id, weight FROM v WHERE (from_id, to_id) NOT IN (SELECT (from_id, to_id) FROM tl WHERE from_id % 2 = 0)"""))
+SELECT from_id, to_id, weight FROM v WHERE NOT EXISTS (SELECT 1 FROM tl WHERE tl.from_id % 2 = 0 AND tl.from_id = v.from_id AND tl.to_id = v.to_id)"""))
 def link_insert(spark, sf):
     t = temporal_links(spark, sf)
     return links.insert_links(t.where("from_id % 2 = 0"), t.union(t), time_units(spark, sf).where("id % 3 <> 0")).select("from_id", "to_id", "weight")
@@ -295,23 +298,23 @@ def causal_expand(spark, sf):
     return graph.causal_expansion(c.where("from_id % 7 = 0").select(F.col("from_id").alias("id")).distinct(), c, 40)
 
 
-@query(with_tables("time_units", rest=CAUSAL_SQL + """, d AS (SELECT unnest(range(0, 100)) AS from_id), a AS (SELECT * FROM cl WHERE from_id < 100),
-g AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id, link_type) AS rank FROM a) SELECT from_id, to_id, weight, rank FROM g WHERE rank <= 20"""))
+@query(with_tables("time_units", rest=CAUSAL_SQL + """,
+g AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id, link_type) AS rank FROM cl) SELECT from_id, to_id, weight, rank FROM g WHERE rank <= 20"""))
 def causal_memory_links(spark, sf):
     from weftline.plans.registry import get
 
-    return get("causal", "memory_links")(spark.range(100), _causal(spark, sf), None, 20).select("from_id", "to_id", "weight", "rank")
+    return get("causal", "memory_links")(time_units(spark, sf).select("id"), _causal(spark, sf), None, 20).select("from_id", "to_id", "weight", "rank")
 
 
-@query(with_tables("time_units", rest=TEMPORAL_SQL + """, b AS (SELECT from_id, to_id, max(weight) AS weight FROM (SELECT * FROM tl UNION ALL SELECT to_id, from_id, weight FROM tl) WHERE from_id < 60 GROUP BY ALL),
+@query(with_tables("time_units", rest=TEMPORAL_SQL + """, b AS (SELECT from_id, to_id, max(weight) AS weight FROM (SELECT * FROM tl UNION ALL SELECT to_id, from_id, weight FROM tl) GROUP BY ALL),
 h AS (SELECT b.*, abs(epoch_us(u.event_date) - epoch_us(v.event_date)) / 3.6e9 AS h FROM b JOIN time_units u ON u.id = from_id JOIN time_units v ON v.id = to_id),
 w AS (SELECT from_id, to_id, round(greatest(weight, CASE WHEN h <= 24 THEN greatest(0.3, 1 - h / 24) ELSE 0.0 END), 6) AS weight FROM h),
 g AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id) AS rank FROM w) SELECT * FROM g WHERE rank <= 5"""))
 def causal_temporal(spark, sf):
-    return graph.temporal_causal(spark.range(60), temporal_links(spark, sf), time_units(spark, sf), 5)
+    return graph.temporal_causal(time_units(spark, sf).select("id"), temporal_links(spark, sf), time_units(spark, sf), 5)
 
 
-HC_SQL = """, d AS (SELECT unnest(range(0, 60)) AS from_id), x AS (SELECT from_id, to_id, 'causes' AS link_type, weight FROM sl WHERE from_id % 3 = 0),
+HC_SQL = """, d AS (SELECT id AS from_id FROM vector_units), x AS (SELECT from_id, to_id, 'causes' AS link_type, weight FROM sl WHERE from_id % 3 = 0),
 a AS (SELECT * FROM x WHERE from_id IN (SELECT from_id FROM d) UNION ALL SELECT from_id, to_id, 'semantic', weight * 0.5 FROM sl WHERE from_id IN (SELECT from_id FROM d) AND from_id NOT IN (SELECT from_id FROM x)),
 g AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id, link_type) AS rank FROM a) SELECT from_id, to_id, link_type, round(weight, 6) AS weight, rank FROM g WHERE rank <= 3"""
 
@@ -320,7 +323,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to
 def causal_hybrid(spark, sf):
     s = semantic_links(spark, sf)
     every = s.union(s.where("from_id % 3 = 0").withColumn("link_type", F.lit("causes")))
-    return graph.hybrid_causal(spark.range(60), every, 3).select("from_id", "to_id", "link_type", F.round("weight", 6).alias("weight"), "rank")
+    return graph.hybrid_causal(vector_units(spark, sf).select("id"), every, 3).select("from_id", "to_id", "link_type", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query(with_tables("vector_units", rest=KNN_SQL + """, m AS (SELECT id FROM vector_units WHERE document_id IN (SELECT document_id FROM vector_units WHERE id IN (1,2,3,4,5))),
@@ -423,10 +426,15 @@ def combined_score(spark, sf):
     return time_units(spark, sf).select("id", F.round(s, 6).alias("score"))
 
 
-@query(f"WITH {LISTS_SQL}, f AS (SELECT id, sum(1.0 / (60 + rank)) AS s FROM l GROUP BY 1), r AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM f) SELECT id, round(1.0 - 0.9 * (rank - 1) / 29, 6) AS ce FROM r WHERE rank <= 30")
+@query(f"WITH {LISTS_SQL}, f AS (SELECT id, sum(1.0 / (60 + rank)) AS s FROM l GROUP BY 1), r AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM f) SELECT id, round(1.0 - 0.9 * (rank - 1) / greatest((SELECT count(*) FROM r WHERE rank <= 70) - 1, 1), 6) AS ce FROM r WHERE rank <= 70")
+def rrf_only_scores(spark, sf):
+    top = rerank.fuse(_lists(spark, sf)).where("rank <= 70")
+    return rerank.rerank_by_rank(top).select("id", F.round("ce", 6).alias("ce"))
+
+
+@query(f"WITH {LISTS_SQL} SELECT DISTINCT id, 0.5::DOUBLE AS ce FROM l")
 def passthrough_scores(spark, sf):
-    top = rerank.fuse(_lists(spark, sf)).where("rank <= 30")
-    return rerank.rerank_by_rank(top, F.lit(30)).select("id", F.round("ce", 6).alias("ce"))
+    return rerank.unranked(rerank.fuse(_lists(spark, sf))).select("id", "ce")
 
 
 @query()
@@ -491,7 +499,7 @@ def jaro_winkler_join(spark, sf):
 
 
 def _mentions(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 120")
+    p = table(spark, sf, "part")
     day = F.expr("timestamp_ntz'2024-01-10 00:00:00'")
     return p.select(F.col("p_partkey").alias("mention_id"), F.initcap("p_name").alias("name"), (day + F.make_dt_interval((F.col("p_partkey") % 9).cast("int"))).alias("seen"), F.array(F.col("p_brand")).alias("nearby"))
 
@@ -504,18 +512,18 @@ def entity_resolution(spark, sf):
     return entities.resolve(_mentions(spark, sf), e, near)
 
 
-@query("""WITH m AS (SELECT p_partkey AS i, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, p_partkey % 9 AS d FROM part WHERE p_partkey <= 120),
+@query("""WITH m AS (SELECT p_partkey AS i, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, p_partkey % 9 AS d FROM part),
 f AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY d, i) AS k FROM m) SELECT lower(name) AS key, name FROM f WHERE k = 1 AND lower(name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey <= 20)""")
 def new_entities(spark, sf):
     e = table(spark, sf, "part").where("p_partkey <= 20").select(F.col("p_name").alias("name"))
     return entities.new_entities(_mentions(spark, sf), e).select("key", "name")
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: trim(x) <> '')[1:6] AS w FROM conversations WHERE turn IN (1, 2)),
+@query(r"""WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: trim(x) <> '') AS w FROM conversations WHERE turn IN (1, 2)),
 r AS (SELECT conv_id AS id, turn, unnest(w) AS name, generate_subscripts(w, 1) AS pos FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY id, lower(name) ORDER BY turn, pos) AS k FROM r)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn, pos) AS position, name FROM f WHERE k = 1""")
 def entity_merge(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("names", F.slice(F.filter(F.split("text", r"\s+"), lambda x: F.trim(x) != ""), 1, 6)).select(F.col("conv_id").alias("id"), "turn", "names")
+    c = table(spark, sf, "conversations").withColumn("names", F.filter(F.split("text", r"\s+"), lambda x: F.trim(x) != "")).select(F.col("conv_id").alias("id"), "turn", "names")
     return entities.merge_names(c.where("turn = 1"), c.where("turn = 2"))
 
 
@@ -550,6 +558,33 @@ def delta_change_kind(spark, sf):
     return ingest.change_kind(ingest.fixed_chunks(d, 500), ingest.fixed_chunks(n, 500))
 
 
+CHANGE_SQL = """ch AS (SELECT doc_id, chunk_index, md5(chunk_text) AS h FROM c),
+oc AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 17 = 0 AND chunk_index = 0 THEN NULL ELSE h END AS h FROM ch WHERE doc_id % 13 <> 0 UNION ALL SELECT doc_id, chunk_index, h FROM ch WHERE doc_id % 19 = 0 AND chunk_index = 0),
+nc AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 5 = 0 OR (doc_id % 5 = 1 AND chunk_index = 0) THEN h || 'x' WHEN doc_id % 23 = 0 AND chunk_index = 0 THEN '' ELSE h END AS h FROM ch UNION ALL SELECT doc_id, chunk_index, h FROM ch WHERE doc_id % 29 = 0 AND chunk_index = 0),
+d AS (SELECT doc_id, doc_id % 11 <> 0 AS there, doc_id % 7 = 0 AS late, doc_id % 31 <> 0 AS fits, CASE WHEN doc_id % 37 <> 0 THEN 'a' END AS oh, CASE WHEN doc_id % 4 = 0 THEN 'b' ELSE 'a' END AS nh FROM documents),
+x AS (SELECT doc_id, count(*) AS n, count(DISTINCT chunk_index) AS k, count(nullif(h, '')) AS m FROM oc GROUP BY 1), y AS (SELECT doc_id, count(*) AS n, count(DISTINCT chunk_index) AS k, count(nullif(h, '')) AS m FROM nc GROUP BY 1),
+j AS (SELECT doc_id, count(*) FILTER (o.h = n.h) AS unchanged, count(*) FILTER (o.chunk_index IS NOT NULL AND n.chunk_index IS NOT NULL AND o.h IS DISTINCT FROM n.h) AS changed, count(*) FILTER (o.chunk_index IS NULL) AS added, count(*) FILTER (n.chunk_index IS NULL) AS removed
+ FROM (SELECT DISTINCT ON (doc_id, chunk_index) * FROM oc ORDER BY doc_id, chunk_index, h) o FULL JOIN (SELECT DISTINCT ON (doc_id, chunk_index) * FROM nc ORDER BY doc_id, chunk_index, h) n USING (doc_id, chunk_index) GROUP BY 1),
+r AS (SELECT d.doc_id, CASE WHEN NOT there THEN 'document_not_found' WHEN late THEN 'document_updated_after_request_started' WHEN NOT fits THEN 'chunk_policy_incompatible' WHEN oh IS NULL THEN 'missing_document_content_hash'
+ WHEN x.n IS NULL THEN 'no_existing_chunks' WHEN x.n > x.k THEN 'duplicate_existing_chunk_index' WHEN x.m < x.n THEN 'missing_existing_chunk_hash' WHEN y.n > y.k THEN 'duplicate_new_chunk_index' WHEN y.m < y.n THEN 'missing_new_chunk_hash'
+ WHEN changed + added + removed = 0 AND oh <> nh THEN 'document_hash_mismatch_without_chunk_changes' WHEN changed + added + removed = 0 THEN 'same_chunks' WHEN unchanged = 0 THEN 'no_unchanged_chunks' ELSE 'some_chunks_changed' END AS reason
+ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN j USING (doc_id))
+SELECT doc_id, CASE reason WHEN 'document_updated_after_request_started' THEN 'stale_skip' WHEN 'same_chunks' THEN 'metadata_only' WHEN 'some_chunks_changed' THEN 'delta' ELSE 'full' END AS kind, reason FROM r"""
+
+
+@query("WITH " + CHUNK_SQL.format(n=500, src="documents") + ", " + CHANGE_SQL)
+def document_change_reasons(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    i, k, h = F.col("doc_id"), F.col("chunk_index"), F.col("content_hash")
+    c = ingest.fixed_chunks(d, 500).select("doc_id", "chunk_index", F.md5("chunk_text").alias("content_hash"))
+    old = c.where(i % 13 != 0).withColumn("content_hash", F.when((i % 17 == 0) & (k == 0), None).otherwise(h)).union(c.where((i % 19 == 0) & (k == 0)))
+    new = c.withColumn("content_hash", F.when((i % 5 == 0) | (i % 5 == 1) & (k == 0), F.concat(h, F.lit("x"))).when((i % 23 == 0) & (k == 0), "").otherwise(h)).union(c.where((i % 29 == 0) & (k == 0)))
+    t = lambda s: F.lit(s).cast(NTZ)
+    docs = d.select("doc_id", (i % 11 != 0).alias("document_exists"), F.when(i % 7 == 0, t("2024-01-03")).otherwise(t("2024-01-01")).alias("updated_at"), t("2024-01-02").alias("requested_at"), (i % 31 != 0).alias("policy_compatible"),
+        F.when(i % 37 != 0, "a").alias("old_hash"), F.when(i % 4 == 0, "b").otherwise("a").alias("new_hash"))
+    return ingest.document_changes(docs, old, new).select("doc_id", "kind", "reason")
+
+
 @query("SELECT doc_id, (doc_id % 3 = 0 AND doc_id % 7 <> 0) AS stale FROM documents")
 def stale_skip(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
@@ -821,9 +856,24 @@ def evidence_bundles(spark, sf):
     return evidence.bundles(f, TERMS, 2, 40)
 
 
-@query()
+@query(rf"""WITH s AS (SELECT conv_id, turn, concat_ws(chr(10), lag(text) OVER w, text, lead(text) OVER w)[:1800] AS body, {OVERLAP.format('text')} AS overlap, regexp_matches(text, '[0-9]')::INT AS signal FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, turn, body, overlap, 5 * overlap + 2 * signal AS score, trim(regexp_replace(lower(body), '[^A-Za-z0-9_]+', ' ', 'g')) AS norm FROM s WHERE overlap > 0),
+o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, norm ORDER BY score DESC, overlap DESC, turn) = 1)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, overlap DESC, turn) AS place, score, sha256(body) AS digest FROM o QUALIFY place <= 2""")
 def source_snippets(spark, sf):
-    return evidence.snippets(table(spark, sf, "conversations"), TERMS, 5)
+    s = evidence.snippets(table(spark, sf, "conversations"), TERMS, most=None, total_chars=None)
+    return s.select("conv_id", "turn", "place", "score", F.sha2("body", 256).alias("digest"))
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, concat_ws(chr(10), lag(text) OVER w, text, lead(text) OVER w)[:1800] AS body, {OVERLAP.format('text')} AS overlap, regexp_matches(text, '[0-9]')::INT AS signal FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, turn, body, overlap, 5 * overlap + 2 * signal AS score, trim(regexp_replace(lower(body), '[^A-Za-z0-9_]+', ' ', 'g')) AS norm FROM s WHERE overlap > 0),
+o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, norm ORDER BY score DESC, overlap DESC, turn) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, overlap DESC, turn) AS place FROM o QUALIFY place <= 2),
+b AS (SELECT *, row_number() OVER (ORDER BY place, conv_id) AS n, sum(length(body)) OVER (ORDER BY place, conv_id ROWS UNBOUNDED PRECEDING) AS spent FROM p)
+SELECT conv_id, turn, place FROM b WHERE n <= 16 AND spent <= 6000""")
+def snippet_budget(spark, sf):
+    """The first snippets of the conversations in turns, within a budget."""
+    return evidence.snippets(table(spark, sf, "conversations"), TERMS, total_chars=6000).select("conv_id", "turn", "place")
 
 
 @query(with_tables("text_units", rest="""f AS (SELECT id, (id // 7)::VARCHAR AS session, (id * 31) % 1009 AS rank FROM text_units), h AS (SELECT session, min(rank) AS first_rank FROM f GROUP BY 1 ORDER BY 2, 1 LIMIT 6),
@@ -855,16 +905,16 @@ def chunk_attachment(spark, sf):
     return evidence.attach_chunks(f, c, 9000)
 
 
-@query("WITH f AS (SELECT event_id AS rank, event_type AS text, CASE WHEN event_id % 3 <> 0 THEN ts END AS s, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 1 DAY END AS e FROM events WHERE event_id < 40) SELECT string_agg(concat_ws(' ', rank || '.', '[' || strftime(coalesce(s, e), '%Y-%m-%d') || ']', text), chr(10) ORDER BY rank) AS packet FROM f")
+@query("WITH f AS (SELECT event_id AS rank, user_id AS document_id, event_type AS text, CASE WHEN event_id % 3 <> 0 THEN ts END AS s, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 1 DAY END AS e FROM events) SELECT document_id, string_agg(concat_ws(' ', rank || '.', '[' || strftime(coalesce(s, e), '%Y-%m-%d') || ']', text), chr(10) ORDER BY rank) AS packet FROM f GROUP BY 1")
 def evidence_packet(spark, sf):
     i, t = F.col("id"), F.col("event_date")
-    f = time_units(spark, sf).where("id < 40").select(i.alias("rank"), F.col("fact_type").alias("text"), F.when(i % 3 != 0, t).alias("occurred_start"), F.when(i % 2 == 0, t + F.make_dt_interval(F.lit(1))).alias("occurred_end"))
-    return evidence.packet(f)
+    f = time_units(spark, sf).select("document_id", i.alias("rank"), F.col("fact_type").alias("text"), F.when(i % 3 != 0, t).alias("occurred_start"), F.when(i % 2 == 0, t + F.make_dt_interval(F.lit(1))).alias("occurred_end"))
+    return evidence.packet(f, ["document_id"])
 
 
-@query(with_tables("unit_entities", rest=OBS_SQL + ", f AS (SELECT id, unnest(source_ids) AS unit_id FROM ob WHERE id < 200) SELECT DISTINCT id, entity_id FROM f JOIN unit_entities USING (unit_id)"))
+@query(with_tables("unit_entities", rest=OBS_SQL + ", f AS (SELECT id, unnest(source_ids) AS unit_id FROM ob) SELECT DISTINCT id, entity_id FROM f JOIN unit_entities USING (unit_id)"))
 def observation_entities(spark, sf):
-    return evidence.observation_entities(_observations(spark, sf).where("id < 200"), unit_entities(spark, sf))
+    return evidence.observation_entities(_observations(spark, sf), unit_entities(spark, sf))
 
 
 @query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey // 40 = 7")
@@ -900,7 +950,7 @@ def tenant_keys(spark, sf):
 
 @query()
 def webhook_deliveries(spark, sf):
-    e = time_units(spark, sf).where("id < 500").select(F.col("id").alias("event_id"), F.col("fact_type").alias("event_type"), "bank_id", F.col("props").alias("payload"))
+    e = time_units(spark, sf).select(F.col("id").alias("event_id"), F.col("fact_type").alias("event_type"), "bank_id", F.col("props").alias("payload"))
     h = spark.createDataFrame([("h1", "b1", ["click", "view"], "s1", True), ("h2", "b1", ["error"], "s2", False), ("h3", "b2", ["click"], "s3", True)], "hook_id string, bank_id string, event_types array<string>, secret string, enabled boolean")
     return store.deliveries(e, h)
 
@@ -956,7 +1006,7 @@ h AS (SELECT id, length, term, len(list_filter(words, lambda x: x = term)) AS tf
 b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))), 6) AS bm FROM h JOIN df USING (term), s WHERE tf > 0 GROUP BY id),
 lex AS (SELECT id, row_number() OVER (ORDER BY bm DESC, id) AS rank FROM b QUALIFY rank <= 50),
 f AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS s FROM (SELECT * FROM sem UNION ALL SELECT * FROM lex) GROUP BY 1), r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM f),
-c AS (SELECT id, round((1.0 - 0.9 * (rank - 1) / 299) * (1 + 0.2 * (greatest(0.1, least(1.0, 1 - (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(event_date)) / 8.64e10 / 365)) - 0.5)) * (1 + 0.1 * (CASE WHEN proof >= 1 THEN greatest(0.0, least(1.0, 0.5 + ln(proof) / 10)) ELSE 0.5 END - 0.5)), 6) AS score, ceil(length(text) / 4.0)::BIGINT AS tokens FROM r JOIN u USING (id) WHERE rank <= 300),
+c AS (SELECT id, round(0.5 * (1 + 0.2 * (greatest(0.1, least(1.0, 1 - (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(event_date)) / 8.64e10 / 365)) - 0.5)) * (1 + 0.1 * (CASE WHEN proof >= 1 THEN greatest(0.0, least(1.0, 0.5 + ln(proof) / 10)) ELSE 0.5 END - 0.5)), 6) AS score, ceil(length(text) / 4.0)::BIGINT AS tokens FROM r JOIN u USING (id) WHERE rank <= 300),
 z AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS spent, row_number() OVER (ORDER BY score DESC, id) AS rank FROM c) SELECT id, rank, score, tokens FROM z WHERE spent <= 8000"""
 
 
@@ -964,4 +1014,20 @@ z AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDI
 def recall_hybrid(spark, sf):
     d, v = text_units(spark, sf), vector_units(spark, sf)
     u = v.select("id", "embedding", "fact_type").join(d.select("id", "text", "tags", "event_date"), "id").withColumn("proof_count", F.col("id") % 5)
-    return recall(u, "the of que", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"])
+    return recall(u, "The, of que?", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"])
+
+
+TIMED_SQL = RECALL_SQL.replace("['the','of','que']", "['the','of','que','in','january','2024']").replace("UNION ALL SELECT * FROM lex)", "UNION ALL SELECT * FROM lex UNION ALL SELECT * FROM tim)")
+TIMED_SQL = TIMED_SQL.replace("f AS (SELECT id, round(sum(", """tx AS (SELECT u.id, e.label % 3 AS k, u.event_date, """ + SIM.replace("embedding::", "u.embedding::", 1) + """ AS similarity, round(1 - least(abs(epoch_us(u.event_date) - (1704067200000000 + 1706745599999999) / 2) / 8.64e10 / ((1706745599999999 - 1704067200000000) / 8.64e10 / 2), 1.0), 9) AS near
+ FROM u JOIN embeddings e ON e.vec_id = u.id WHERE u.event_date >= TIMESTAMP '2024-01-01' AND u.event_date < TIMESTAMP '2024-02-01'),
+tn AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_date DESC, id) AS d FROM tx), tk AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY similarity DESC, id) AS r FROM tn WHERE d <= 50 AND similarity >= 0.1),
+tim AS (SELECT id, row_number() OVER (ORDER BY near DESC, similarity DESC, id) AS rank FROM tk WHERE r <= 10 QUALIFY rank <= 50),
+f AS (SELECT id, round(sum(""", 1).replace(" * (1 + 0.1 * (CASE WHEN proof", " * (1 + 0.2 * (coalesce((SELECT near FROM tx WHERE tx.id = r.id), 0.5) - 0.5)) * (1 + 0.1 * (CASE WHEN proof", 1)
+
+
+@query("WITH " + TIMED_SQL)
+def recall_temporal(spark, sf):
+    """A question that names a month: an arm of its entry points, and a boost for what falls into it."""
+    d, v = text_units(spark, sf), vector_units(spark, sf)
+    u = v.select("id", "embedding", "fact_type").join(d.select("id", "text", "tags", "event_date"), "id").withColumn("proof_count", F.col("id") % 5)
+    return recall(u, "The, of que, in January 2024?", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"])

@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import scores
 from weftline.functions.tags import visible
+from weftline.functions.temporal import best_micros, overlaps, period, proximity
+from weftline.functions.text import words
 from weftline.operators import graph, rerank, search
 from weftline.operators.rows import prefix_budget, ranked
 from weftline.plans.registry import SearchConfig, get, register
 
 
+def bounds(window: tuple[datetime, datetime]) -> tuple[Column, Column]:
+    low, high = (F.lit(t).cast("timestamp_ntz") for t in window)
+    return low, high
+
+
+def timed(units: DataFrame) -> DataFrame:
+    """Units with the three times; those that are missing are null, but for the mention, which is the event's date."""
+    none = F.lit(None).cast("timestamp_ntz")
+    missing = {"occurred_start": none, "occurred_end": none, "mentioned_at": F.col("event_date")}
+    return units.withColumns({c: v for c, v in missing.items() if c not in units.columns})
+
+
 @register("retrieval", "semantic_bm25")
-def semantic_bm25(units: DataFrame, query: list[float], terms: list[str], limit: int) -> DataFrame:
+def semantic_bm25(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None) -> DataFrame:
     """(source, id, rank) of the semantic and the lexical arm."""
     s = search.semantic_arm(units, query, limit).select("id", "similarity")
     s = ranked(s.withColumn("all", F.lit(1)), ["all"], [F.desc("similarity"), F.asc("id")])
@@ -25,8 +39,10 @@ def semantic_bm25(units: DataFrame, query: list[float], terms: list[str], limit:
 
 
 @register("retrieval", "temporal")
-def temporal(units: DataFrame, query: list[float], low, high, limit: int) -> DataFrame:
-    e = search.temporal_entries(units, query, F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))
+def temporal(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """(source, id, rank) of the entry points in a time window; none without one."""
+    low, high = bounds(window or (datetime.min, datetime.min))
+    e = search.temporal_entries(units if window else units.limit(0), query, low, high).withColumn("proximity", F.round("proximity", 9))
     r = ranked(e.drop("rank").withColumn("all", F.lit(1)), ["all"], [F.desc("proximity"), F.desc("similarity"), F.asc("id")]).where(F.col("rank") <= limit)
     return r.select(F.lit("temporal").alias("source"), "id", "rank")
 
@@ -43,17 +59,17 @@ for _name in ("rrf", "weighted", "simple"):
 
 
 @register("reranking", "passthrough")
-def passthrough(fused: DataFrame, n: int, query: str) -> DataFrame:
-    return rerank.rerank_by_rank(fused, F.lit(n))
+def passthrough(fused: DataFrame, query: str) -> DataFrame:
+    return rerank.unranked(fused)
 
 
 @register("reranking", "rrf_only")
-def rrf_only(fused: DataFrame, n: int, query: str) -> DataFrame:
-    return rerank.rerank_by_rank(fused, F.lit(n))
+def rrf_only(fused: DataFrame, query: str) -> DataFrame:
+    return rerank.rerank_by_rank(fused)
 
 
 @register("reranking", "cross_encoder")
-def cross_encoder(fused: DataFrame, n: int, query: str) -> DataFrame:
+def cross_encoder(fused: DataFrame, query: str) -> DataFrame:
     text = rerank.pair_text(F.col("text"), F.lit(""), F.col("event_date"))
     return rerank.cross_encode(fused, text, rerank.lexical_scorer(query))
 
@@ -94,26 +110,36 @@ def recall(
     tag_groups: list | None = None,
     links: DataFrame | None = None,
     unit_entities: DataFrame | None = None,
+    window: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """Facts that answer a query, best first, within a budget of tokens: id, rank, score, tokens.
 
-    units: id, text, embedding, fact_type, tags, event_date, proof_count. Filters hold in every arm. The
-    candidates are the best 300 of the fusion, so the windows after it see few rows.
+    units: id, text, embedding, fact_type, tags, event_date, proof_count, and the times of what they tell where they
+    are known. Filters hold in every arm. A time window, given or else named by the query, adds an arm of its entry
+    points and boosts the facts inside. The candidates are the best 300 of the fusion, so the windows after it see
+    few rows.
     """
-    terms = query.lower().split()
-    if not terms or len(terms) > 500:
-        raise ValueError("a query has 1 to 500 words")
-    seen = units.where(visible(F.col("tags"), tags, tags_match, tag_groups))
-    lists = get("retrieval", config.retrieval)(seen, vector, terms, limit)
+    terms = sorted({w for q in get("query_rewriting", config.query_rewriting)(query) for w in words(q)})
+    if not words(query) or max(len(words(query)), -(-len(query) // 4)) > 500:
+        raise ValueError("a query has 1 to 500 tokens")
+    window = window or period(query, now)
+    seen = timed(units.where(visible(F.col("tags"), tags, tags_match, tag_groups)))
+    lists = get("retrieval", config.retrieval)(seen, vector, terms, limit, window)
+    if window and config.retrieval != "temporal":
+        lists = lists.union(get("retrieval", "temporal")(seen, vector, terms, limit, window))
     if links is not None and unit_entities is not None:
         seeds = search.semantic_arm(seen, vector, 20).orderBy(F.desc("similarity"), "id").limit(20).select("id")
         g = get("graph_retrieval", config.graph_retrieval)(seeds, links, unit_entities, limit)
         r = ranked(g.withColumn("all", F.lit(1)), ["all"], [F.desc(F.round("activation", 6)), F.asc("id")])
         lists = lists.union(r.select(F.lit("graph"), "id", "rank"))
     fused = get("fusion", config.fusion)(lists).where(F.col("rank") <= candidates)
-    rows = fused.join(seen.select("id", "text", "event_date", "proof_count"), "id")
-    scored = get("reranking", config.reranking)(rows, candidates, query)
-    score = scores.combined(F.col("ce"), F.col("event_date"), F.lit(now).cast("timestamp_ntz"), F.lit(None).cast("double"), F.col("proof_count"))
+    timely = F.lit(None).cast("double")
+    if window:
+        when, (low, high) = [F.col(c) for c in ("occurred_start", "occurred_end", "mentioned_at")], bounds(window)
+        timely = F.when(overlaps(*when, low, high), proximity(best_micros(*when), low, high))
+    rows = fused.join(seen.select("id", "text", "event_date", "proof_count", timely.alias("timely")), "id")
+    scored = get("reranking", config.reranking)(rows, query)
+    score = scores.combined(F.col("ce"), F.col("event_date"), F.lit(now).cast("timestamp_ntz"), F.col("timely"), F.col("proof_count"))
     best = scored.withColumn("score", F.round(score, 6)).withColumn("tokens", scores.token_estimate(F.col("text"))).withColumn("all", F.lit(1))
     order = [F.desc("score"), F.asc("id")]
     kept = prefix_budget(best, ["all"], order, F.col("tokens"), max_tokens)
