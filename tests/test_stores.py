@@ -147,3 +147,22 @@ def test_recall_of_odd_questions(spark):
     assert ask("fox", config=SearchConfig(retrieval="temporal"), window=(datetime(2024, 1, 3), datetime(2024, 1, 3))) == [2]
     none = u.limit(0).select("id", "embedding")
     assert search.lsh_neighbours(none, none, 3).count() == 0
+
+
+def test_halving():
+    from weftline.operators.consolidate import halving
+
+    def work(batch):
+        if any(x % 5 == 0 for x in batch):
+            raise RuntimeError
+        return [x * 2 for x in batch]
+
+    done, failed = halving(list(range(1, 18)), work)
+    assert done == [2 * x for x in range(1, 18) if x % 5] and failed == [5, 10, 15]
+    assert halving([], work) == ([], [])
+
+
+def test_policy_fingerprints_ignore_order():
+    from weftline.operators.ingest import policy_fingerprint
+
+    assert policy_fingerprint(a=1, b="x") == policy_fingerprint(b="x", a=1) != policy_fingerprint(a=2, b="x")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,3 +115,28 @@ def stale_models(models: DataFrame, units: DataFrame) -> DataFrame:
 
 def freshness(pending: Column) -> Column:
     return F.when(pending == 0, "up_to_date").when(pending < 10, "slightly_stale").otherwise("stale")
+
+
+def rounds(units: DataFrame, part: list[str], order: list, size: int, most: int) -> DataFrame:
+    """Units with the round that takes them, `size` of each part in a round; those beyond `most` rounds wait for the
+    next run: round is null and requeued is true."""
+    r = ranked(units, part, order, "place")
+    n = F.ceil(F.col("place") / size).cast("long")
+    return r.withColumn("round", F.when(n <= most, n)).withColumn("requeued", n > most).drop("place")
+
+
+def halving(batch: list, work: Callable[[list], list]) -> tuple[list, list]:
+    """(results, failed): work on a batch; where it raises, on its halves, down to single items, which fail."""
+    results, failed, open_batches = [], [], [list(batch)]
+    while open_batches:
+        now = open_batches.pop()
+        if not now:
+            continue
+        try:
+            results += work(now)
+        except Exception:  # noqa: BLE001  whatever a model or store raises
+            if len(now) == 1:
+                failed += now
+            else:
+                open_batches += [now[len(now) // 2 :], now[: len(now) // 2]]
+    return results, failed

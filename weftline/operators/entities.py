@@ -114,3 +114,11 @@ def merge_names(extracted: DataFrame, declared: DataFrame) -> DataFrame:
     from weftline.operators.rows import ranked
 
     return ranked(kept, ["id"], [F.asc("block"), F.asc("at")], "position").select("id", "position", "name")
+
+
+def fold_mentions(known: DataFrame, mentions: DataFrame) -> DataFrame:
+    """known (entity_id, mention_count, last_seen) with mentions (entity_id, event_date) added: counts grow, the last
+    date never goes back. Null counts are 0 and null dates give way; mentions of unknown entities are left out."""
+    m = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("more"), F.max("event_date").alias("latest"))
+    j = known.join(m, "entity_id", "left")
+    return j.select("entity_id", (F.coalesce("mention_count", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("mention_count"), F.greatest("last_seen", "latest").alias("last_seen"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -251,3 +252,30 @@ def embed(units: DataFrame, dim: int = 64) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "embedding": out})
 
     return units.select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+
+
+def plan_digests(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunks, digest): a digest of a document's chunks (chunk_index, content_hash) in order."""
+    each = F.struct("chunk_index", F.concat_ws(":", F.col("chunk_index").cast("string"), "content_hash").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(each)), lambda x: x["line"])
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
+def policy_fingerprint(**settings: object) -> str:
+    """A digest of the settings that chunks depend on, whatever order they come in."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()).hexdigest()
+
+
+def manifests(plans: DataFrame, policy: str) -> DataFrame:
+    """(doc_id, manifest): the JSON that a projection of a document is stored with."""
+    body = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(policy).alias("policy"), F.col("doc_id").cast("string").alias("document"), "chunks", "digest"))
+    return plans.select("doc_id", body.alias("manifest"))
+
+
+def units_of_items(items: DataFrame, units: DataFrame) -> DataFrame:
+    """(item, unit_ids, status) for each item: the units (unit_id, item, synthetic) that come from it, in order, without
+    synthetic ones. status: ok, missing (no unit), or duplicate (a unit that stands twice)."""
+    own = units.where(~F.coalesce("synthetic", F.lit(False))).groupBy("item", "unit_id").agg(F.count(F.lit(1)).alias("times"))
+    g = own.groupBy("item").agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"), F.max("times").alias("times"))
+    status = F.when(F.col("times").isNull(), "missing").when(F.col("times") > 1, "duplicate").otherwise("ok")
+    return items.select("item").distinct().join(g, "item", "left").select("item", F.coalesce("unit_ids", F.array().cast("array<long>")).alias("unit_ids"), status.alias("status"))

@@ -64,3 +64,10 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...]
     both = was.join(fresh, key, "full")
     pick = lambda c: F.coalesce(F.col(f"__o.{c}"), F.col(f"__n.{c}")) if c in keep else F.when(F.col("__n").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(f"__o.{c}"))
     return both.select(*key, *[pick(c).alias(c) for c in rest]).select(*old.columns)
+
+
+def unzip(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows from arrays side by side: the k-th of each array make a row; shorter arrays end in nulls. Other columns
+    are repeated."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.arrays_zip(*columns)))

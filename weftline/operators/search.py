@@ -34,8 +34,8 @@ def inverted_index(units: DataFrame) -> DataFrame:
     return flat.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(units: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, bm25) of every unit with at least one term. Texts without words count in no average.
+def bm25(units: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, every: bool = False) -> DataFrame:
+    """(id, bm25) of every unit with at least one term, or with every one. Texts without words count in no average.
 
     One pass counts texts, words and the texts of each term, another scores. Words are found where they stand, and
     only the query's terms leave their text, so nothing else is shuffled.
@@ -55,7 +55,8 @@ def bm25(units: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -
     for w, c in zip(asked, df, strict=True):
         idf = F.when(F.col("term") == w, F.ln(F.lit(1 + (n - c + 0.5) / (c + 0.5)))).otherwise(idf)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(avg))))
-    return hit.groupBy("id").agg(F.sum(part).alias("bm25"))
+    scored = hit.groupBy("id").agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("terms"))
+    return (scored.where(F.col("terms") == len(asked)) if every else scored).drop("terms")
 
 
 def temporal_entries(units: DataFrame, query: list[float], low: Column, high: Column, newest: int = 50, closest: int = 10, threshold: float = 0.1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.vector import cosine
-from weftline.operators import evidence, graph, ingest, listing, search
+from weftline.operators import consolidate, entities, evidence, graph, ingest, listing, rows, search
 from weftline.plans import queries as q
 from weftline.plans.queries import CHUNK_SQL, KNN_SQL, OBS_SQL, SIM, TASK_SQL, query
 from weftline.sources.fixtures import table, text_units, time_units, unit_entities, vector_units, with_tables
@@ -216,3 +216,51 @@ def graph_view_of_document(spark, sf):
 def cooccurrence_dates(spark, sf):
     d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderdate").alias("event_date"))
     return graph.cooccurrence(unit_entities(spark, sf), d).where("n >= 2").select("e1", "e2", "n", F.date_format("last", "yyyy-MM-dd").alias("last_day"))
+
+
+@query("SELECT o_custkey AS id, unnest(list(o_orderkey ORDER BY o_orderkey)) AS order_id, unnest(list(o_orderkey % 7 ORDER BY o_orderkey)) AS weekday FROM orders GROUP BY 1")
+def bulk_rows(spark, sf):
+    pair = F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") % 7).alias("d"))))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(pair.alias("p"))
+    return rows.unzip(o.select("id", F.col("p.o_orderkey").alias("order_id"), F.col("p.d").alias("weekday")), ["order_id", "weekday"])
+
+
+@query("""WITH k AS (SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS c, CASE WHEN p_partkey % 4 <> 0 THEN DATE '1996-06-01' END AS s FROM part),
+m AS (SELECT l_partkey AS entity_id, count(*) AS n, max(l_shipdate)::DATE AS d FROM lineitem GROUP BY 1)
+SELECT entity_id, (coalesce(c, 0) + coalesce(n, 0))::BIGINT AS mention_count, strftime(greatest(s, d), '%Y-%m-%d') AS last_seen FROM k LEFT JOIN m USING (entity_id)""")
+def mention_stats(spark, sf):
+    p, i = table(spark, sf, "part"), F.col("p_partkey")
+    k = p.select(i.alias("entity_id"), F.when(i % 3 != 0, F.col("p_size")).cast("long").alias("mention_count"), F.when(i % 4 != 0, F.lit("1996-06-01").cast("date")).alias("last_seen"))
+    m = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_shipdate").cast("date").alias("event_date"))
+    return entities.fold_mentions(k, m).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd"))
+
+
+@query("SELECT event_id AS id, CASE WHEN n <= 60 THEN ((n + 19) // 20)::BIGINT END AS round, n > 60 AS requeued FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS n FROM events)")
+def consolidation_rounds(spark, sf):
+    return consolidate.rounds(time_units(spark, sf), ["bank_id"], [F.asc("event_date"), F.asc("id")], 20, 3).select("id", "round", "requeued")
+
+
+POLICY = ingest.policy_fingerprint(size=1000, kind="fixed")
+
+
+@query("WITH " + CHUNK_SQL.format(n=1000, src="documents") + f""", p AS (SELECT doc_id, count(*) AS chunks, sha256(string_agg(chunk_index || ':' || sha256(chunk_text), chr(10) ORDER BY chunk_index)) AS digest FROM c GROUP BY 1)
+SELECT doc_id, '{{"version":1,"policy":"{POLICY}","document":"' || doc_id || '","chunks":' || chunks || ',"digest":"' || digest || '"}}' AS manifest FROM p""")
+def projection_manifests(spark, sf):
+    return ingest.manifests(ingest.plan_digests(ingest.fixed_chunks(table(spark, sf, "documents"), 1000)), POLICY)
+
+
+@query("""WITH u AS (SELECT event_id AS unit_id, user_id AS item FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, user_id FROM events WHERE event_id % 97 = 0 AND event_type <> 'view'),
+g AS (SELECT item, unit_id, count(*) AS n FROM u GROUP BY 1, 2), i AS (SELECT DISTINCT user_id + (CASE WHEN event_id % 101 = 0 THEN 1000000 ELSE 0 END) AS item FROM events),
+s AS (SELECT item, string_agg(unit_id::VARCHAR, ',' ORDER BY unit_id) AS units, max(n) AS n FROM g GROUP BY 1)
+SELECT item, coalesce(units, '') AS units, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM i LEFT JOIN s USING (item)""")
+def units_of_items(spark, sf):
+    t = time_units(spark, sf)
+    u = t.select(F.col("id").alias("unit_id"), F.col("document_id").alias("item"), (F.col("fact_type") == "view").alias("synthetic"))
+    i = t.select((F.col("document_id") + F.when(F.col("id") % 101 == 0, 1_000_000).otherwise(0)).alias("item"))
+    got = ingest.units_of_items(i, u.union(u.where("unit_id % 97 = 0")))
+    return got.select("item", F.array_join(F.transform("unit_ids", lambda x: x.cast("string")), ",").alias("units"), "status")
+
+
+@query(f"WITH {q.BM25_SQL}, e AS (SELECT id FROM h WHERE tf > 0 GROUP BY 1 HAVING count(*) = 2) SELECT id, round(bm25, 6) AS bm25 FROM b JOIN e USING (id)".replace("['the','of','que','der']", "['the','of']"))
+def bm25_every_term(spark, sf):
+    return search.bm25(text_units(spark, sf), ["the", "of"], every=True).select("id", F.round("bm25", 6).alias("bm25"))
