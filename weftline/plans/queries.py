@@ -599,7 +599,12 @@ def conversation_exchanges(spark, sf):
     return ingest.exchanges(table(spark, sf, "conversations")).select("conv_id", "turn", "exchange")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT conv_id, text, greatest(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 1)::BIGINT AS exchange FROM conversations),
+e AS (SELECT conv_id, exchange, sum(length(text))::BIGINT AS n FROM x GROUP BY 1, 2),
+r(conv_id, exchange, start, size, segment) AS (SELECT conv_id, exchange, exchange, n, 1::BIGINT FROM e WHERE exchange = 1 UNION ALL
+ SELECT e.conv_id, e.exchange, CASE WHEN r.size + e.n > 600 THEN e.exchange ELSE r.start END, CASE WHEN r.size + e.n > 600 THEN e.n ELSE r.size + e.n END, r.segment + (r.size + e.n > 600)::BIGINT
+ FROM r JOIN e ON e.conv_id = r.conv_id AND e.exchange = r.exchange + 1)
+SELECT conv_id, segment, min(start) AS first, max(exchange) AS last, max(size) AS n_chars, max(size) > 600 AS oversized FROM r GROUP BY 1, 2""")
 def conversation_segments(spark, sf):
     return ingest.segments(table(spark, sf, "conversations"), 600)
 
