@@ -117,8 +117,8 @@ def test_components(spark):
 
 
 def brute_canon(t):
-    t = unicodedata.normalize("NFKC", t or "")
-    return re.sub(r"[\s\x1c-\x1f\x85]+", " ", t.casefold()).strip(" ")
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
+    return re.sub(r"[\s\x1c-\x1f\x85]+", " ", t).strip(" ")
 
 
 def brute_edits(rows):
@@ -132,6 +132,29 @@ def brute_edits(rows):
     return sorted(out, key=str)
 
 
+def test_many_ranges(spark):
+    bounds = [3 * i - 900 for i in range(1500)]
+    keys = [-(2**63), -901, *range(-900, 3700, 7), 2**62]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n in (0, 1, 256, 257, 1500):
+        got = {r[0]: r[1] for r in df.select("k", fingerprints._bucket(F.col("k"), bounds[:n])).collect()}
+        assert got == {k: sum(b <= k for b in bounds[:n]) for k in keys}
+
+
+def test_edits_over_many_ranges(spark):
+    rows = [(5 * i % 4001 - 700, f"text {i} " * (i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.edited_pairs(df, 900).select("id", "n_chars", F.sha2("edited", 256)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([r[:3] for r in brute_edits(rows)], key=str)
+
+
+def test_folded_text_is_composed_again(spark):
+    texts = ["\u01f0\u0323", "J\u030c\u0323", "\u1e96 \u1f52", "\u0390", "\u03b9\u0308\u0301", "a\u0345\u0301"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.canon for r in fingerprints.digests(df).collect()}
+    assert got == {i: brute_canon(t) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("buckets", [1, 4, 40])
 def test_fingerprints(spark, buckets):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

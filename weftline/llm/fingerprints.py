@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ _FOLD = ("com.ibm.icu.lang.UCharacter", "foldCase")
 _LOWEST = -(2**63)
 #: Digests of two or more rows up to which their list (40 bytes each) is broadcast.
 BROADCAST_GROUPS = 500_000
+#: Ranges of ids: about this many rows in each, up to so many ranges.
+RANGE_ROWS, MAX_RANGES = 1500, 65_536
+#: Bounds that one tree of comparisons holds.
+_LEAVES = 256
 #: Size up to which the representatives' texts are broadcast.
 BROADCAST_BYTES = 48_000_000
 
@@ -22,11 +28,11 @@ def _icu(method: tuple[str, str], c: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, full case folding, every run of white space one space, no space at the ends. Null counts
+    """NFKC, full case folding, NFKC of what folding takes apart, every run of white space one space, no space at the ends. Null counts
     as empty. Texts of ASCII only need no ICU."""
     t = F.coalesce(text, F.lit(""))
     plain = F.octet_length(t) == F.length(t)
-    t = F.when(plain, F.lower(t)).otherwise(_icu(_FOLD, _icu(_COMPOSE, t)))
+    t = F.when(plain, F.lower(t)).otherwise(_icu(_COMPOSE, _icu(_FOLD, _icu(_COMPOSE, t))))
     return F.trim(F.regexp_replace(t, r"[\s\p{Z}\x1C-\x1F\x85]+", " "))
 
 
@@ -76,25 +82,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.join(groups, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "group_id")
 
 
+def _longs(values: list, kind: str) -> Column:
+    """An array as one constant, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below key, as a balanced tree of comparisons."""
+    """The number of bounds at or below key. A balanced tree of comparisons holds up to _LEAVES bounds; of more it
+    finds the list that key falls into, whose members at or below key are counted."""
     if not bounds:
         return F.lit(0)
+    step = -(-len(bounds) // _LEAVES)
+    lists = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    firsts = bounds if step == 1 else [x[0] for x in lists[1:]]
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(key < firsts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+    at = tree(0, len(firsts))
+    if step == 1:
+        return at
+    inside = F.element_at(_longs(lists, "array<array<bigint>>"), at + 1)
+    return at * step + F.size(F.filter(inside, lambda x: x <= key))
 
 
 def edited_pairs(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its successor in descending id order (after the last the first) and its
     edited text: the last half of its code points replaced by as many from the successor's start.
 
-    Ids are cut into ranges at approximate quantiles (at most 512, so their bounds are small); the
+    Ids are cut into ranges at approximate quantiles, as many as the rows need (bounds of 8 bytes each); the
     first document of each range is also sent to the range before it. Thus the texts move once and
     no window spans more than a range. Rows of one id are ordered by text; null ids come last.
     """
@@ -105,16 +124,16 @@ def edited_pairs(docs: DataFrame, buckets: int | None = None, id_col: str = "doc
     )
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("k"))
     if buckets is None:
-        buckets = int(min(512, max(16, ids.count() // 1500)))
-    cuts = ids.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 20_000)).first()[0] or []
+        buckets = int(min(MAX_RANGES, max(16, ids.count() // RANGE_ROWS)))
+    cuts = ids.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], max(20_000, 4 * buckets))).first()[0] or []
     cuts = sorted(set(cuts))
     tops = {r[0]: r[1] for r in ids.groupBy(_bucket(F.col("k"), cuts).alias("b")).agg(F.max("k")).collect()}
     order = sorted(tops, reverse=True)  # descending ids
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the range that ends where b begins
     home = _bucket(F.col("k"), cuts)
     if order:
-        prior = F.element_at(F.array(*[F.lit(before.get(i, -1)) for i in range(len(cuts) + 1)]), F.col("b") + 1)
-        is_top = F.col("k").isin([int(x) for x in tops.values()])
+        prior = F.element_at(_longs([before.get(i, -1) for i in range(len(cuts) + 1)], "array<int>"), F.col("b") + 1)
+        is_top = F.col("k") == F.element_at(_longs([tops.get(i) for i in range(len(cuts) + 1)], "array<bigint>"), F.col("b") + 1)
         places = F.when(is_top, F.array(F.struct(F.col("b"), F.lit(0).alias("ghost")), F.struct(prior.alias("b"), F.lit(1).alias("ghost"))))
         places = places.otherwise(F.array(F.struct(F.col("b"), F.lit(0).alias("ghost"))))
         d = d.withColumn("b", home).select("id", "k", "text", F.explode(places).alias("at")).select("id", "k", "text", "at.b", "at.ghost")
