@@ -26,6 +26,12 @@ def cosine(a: Column, b: list[float] | Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def l2(a: Column, b: list[float] | Column) -> Column:
+    """Euclidean distance in double precision; null if the lengths differ or a part is null."""
+    parts = F.zip_with(a, as_array(b), lambda x, y: x.cast("double") - y.cast("double"))
+    return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     """x within bounds; null stays null (greatest and least would skip it)."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))

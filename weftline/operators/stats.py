@@ -94,6 +94,34 @@ def tag_counts(units: DataFrame, pattern: str | None = None) -> DataFrame:
     return t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tag_page(units: DataFrame, pattern: str | None, offset: int, size: int) -> DataFrame:
+    """A page of tags, the most frequent first, with the number of all that match."""
+    t = tag_counts(units, pattern)
+    page = t.orderBy(F.desc("n"), "tag").offset(offset).limit(size)
+    return page.join(F.broadcast(t.agg(F.count(F.lit(1)).alias("total")))).orderBy(F.desc("n"), "tag")  # the total is one row
+
+
+def audit_rows(log: DataFrame, when: Column, low: str | None = None, high: str | None = None, **equal: str | None) -> DataFrame:
+    """Log rows in [low, high) whose columns have given values, such as action and transport; None asks nothing."""
+    if low is not None:
+        log = log.where(when >= F.lit(low).cast("timestamp_ntz"))
+    if high is not None:
+        log = log.where(when < F.lit(high).cast("timestamp_ntz"))
+    for c, v in equal.items():
+        log = log if v is None else log.where(F.col(c) == v)
+    return log
+
+
+def operation_states(tasks: DataFrame) -> DataFrame:
+    """Per bank: tasks of each state, consolidations that wait or failed, and when the last one was done."""
+    states = ["pending", "processing", "completed", "failed", "cancelled"]
+    c, s = F.col("operation") == "consolidation", F.col("status")
+    return tasks.groupBy("bank_id").agg(
+        *[F.count_if(s == k).alias(k) for k in states], F.count_if(c & (s == "pending")).alias("pending_consolidation"),
+        F.count_if(c & (s == "failed")).alias("failed_consolidation"), F.max(F.when(c & (s == "completed"), F.col("created_at"))).alias("last_consolidated_at"),
+    )
+
+
 def accuracy(results: DataFrame, category: str) -> DataFrame:
     """Results (correct, invalid) by category: an invalid answer counts as wrong; valid_accuracy leaves it out."""
     valid = ~F.col("invalid")

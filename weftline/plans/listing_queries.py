@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.vector import cosine
-from weftline.operators import consolidate, entities, evidence, graph, ingest, listing, rows, search
+from weftline.functions.vector import cosine, l2
+from weftline.operators import consolidate, entities, evidence, graph, ingest, listing, rows, search, stats
 from weftline.plans import queries as q
 from weftline.plans.queries import CHUNK_SQL, KNN_SQL, OBS_SQL, SIM, TASK_SQL, query
 from weftline.sources.fixtures import table, text_units, time_units, unit_entities, vector_units, with_tables
@@ -264,3 +264,28 @@ def units_of_items(spark, sf):
 @query(f"WITH {q.BM25_SQL}, e AS (SELECT id FROM h WHERE tf > 0 GROUP BY 1 HAVING count(*) = 2) SELECT id, round(bm25, 6) AS bm25 FROM b JOIN e USING (id)".replace("['the','of','que','der']", "['the','of']"))
 def bm25_every_term(spark, sf):
     return search.bm25(text_units(spark, sf), ["the", "of"], every=True).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(with_tables("text_units", rest="t AS (SELECT unnest(tags) AS tag FROM text_units), g AS (SELECT tag, count(*) AS n FROM t WHERE tag ILIKE 'S%' GROUP BY 1) SELECT tag, n, (SELECT count(*) FROM g) AS total FROM g ORDER BY n DESC, tag LIMIT 5 OFFSET 2"))
+def tag_pages(spark, sf):
+    return stats.tag_page(text_units(spark, sf), "s*", 2, 5)
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND 'b' || (user_id % 5) = 'b2' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20'")
+def audit_listing(spark, sf):
+    return stats.audit_rows(time_units(spark, sf), F.col("event_date"), "2024-01-03", "2024-01-20", fact_type="click", bank_id="b2").select("id")
+
+
+@query(f"""WITH {TASK_SQL} SELECT bank_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled,
+ count(*) FILTER (status = 'pending' AND operation = 'consolidation') AS pending_consolidation, count(*) FILTER (status = 'failed' AND operation = 'consolidation') AS failed_consolidation,
+ strftime(max(created_at) FILTER (status = 'completed' AND operation = 'consolidation'), '%Y-%m-%d %H:%M:%S') AS last_consolidated_at FROM task GROUP BY 1""")
+def operation_states(spark, sf):
+    return stats.operation_states(q._tasks(spark, sf)).withColumn("last_consolidated_at", F.date_format("last_consolidated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("WITH o AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 3), d AS (SELECT vec_id AS id, sqrt(list_sum(list_transform(list_zip(embedding, v), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS l2 FROM embeddings, o) SELECT id, round(l2, 6) AS l2 FROM d ORDER BY d.l2, id LIMIT 10")
+def l2_topk(spark, sf):
+    u = vector_units(spark, sf)
+    asked = u.where("id = 3").select("embedding").first()[0]
+    near = u.select("id", l2(F.col("embedding"), list(asked)).alias("l2")).orderBy("l2", "id").limit(10)
+    return near.withColumn("l2", F.round("l2", 6))
