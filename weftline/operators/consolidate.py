@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.tags import tag_filter
-from weftline.operators.rows import ranked
+from weftline.operators.rows import join_same, ranked, starts_of
 
 
 def batches(units: DataFrame, size: int = 8) -> DataFrame:
-    """Units with tag_key and batch: in time order, only units of exactly equal tags go together."""
+    """Units with tag_key and batch: in time order, only units of exactly equal tags go together.
+
+    Places are counted within days, and days by their totals, so that units of one tag spread over many tasks.
+    """
     key = F.concat_ws(",", F.sort_array(F.coalesce("tags", F.array().cast("array<string>"))))
-    r = ranked(units.withColumn("tag_key", key), ["tag_key"], [F.asc("event_date"), F.asc("id")], "n")
-    return r.withColumn("batch", F.floor((F.col("n") - 1) / size).cast("long")).drop("n")
+    keyed = units.withColumn("tag_key", key).withColumn("__day", F.to_date("event_date"))
+    r = ranked(keyed, ["tag_key", "__day"], [F.asc("event_date"), F.asc("id")], "__n")
+    totals = keyed.groupBy("tag_key", "__day").agg(F.count(F.lit(1)).alias("__total"))
+    starts = starts_of(totals, ["tag_key"], "__day", "__total", "__start").drop("__total")
+    place = F.col("__start") + F.col("__n") - 1
+    return join_same(r, starts, ["tag_key", "__day"]).withColumn("batch", F.floor(place / size).cast("long")).drop("__day", "__n", "__start")
 
 
 def scopes(units: DataFrame, how: str) -> DataFrame:

@@ -9,18 +9,44 @@ from weftline.functions.temporal import decay_weight, link_weight, micros
 from weftline.operators.rows import top_per
 
 
-def nearest_in_time(units: DataFrame, k: int, part: list[str], each_side: int | None = None) -> DataFrame:
+def with_edges(base: DataFrame, part: list[str], n: int) -> DataFrame:
+    """Rows (id, part, t, cut, guest) with guests in each cut of a part: the n rows before its first and after its last.
+
+    Only the n first and n last rows of each cut meet in a window per part. Those next to a cut there are those next
+    to it in the whole part, since a cut of fewer than n rows is there with all of them.
+    """
+    own = Window.partitionBy(*part, "cut")
+    ends = base.withColumn("a", F.row_number().over(own.orderBy("t", "id"))).withColumn("z", F.row_number().over(own.orderBy(F.desc("t"), F.desc("id"))))
+    w = Window.partitionBy(*part).orderBy("t", "id")
+    row = F.struct("id", "t")
+    near = ends.where((F.col("a") <= n) | (F.col("z") <= n)).select(
+        *part, "cut", "a", "z", F.collect_list(row).over(w.rowsBetween(-n, -1)).alias("before"), F.collect_list(row).over(w.rowsBetween(1, n)).alias("after")
+    )
+    none = F.array().cast("array<struct<id:bigint,t:bigint>>")
+    both = F.concat(F.when(F.col("a") == 1, F.col("before")).otherwise(none), F.when(F.col("z") == 1, F.col("after")).otherwise(none))
+    guests = near.where("a = 1 or z = 1").select(*part, "cut", F.explode(both).alias("o"))
+    return base.select("id", *part, "t", "cut", F.lit(False).alias("guest")).union(guests.select("o.id", *part, "o.t", "cut", F.lit(True)))
+
+
+def nearest_in_time(units: DataFrame, k: int, part: list[str], each_side: int | None = None, rows: int = 1_000_000) -> DataFrame:
     """(from_id, to_id, hours): for each unit the k nearest of its part by time, looked for among the
     each_side before it and after it in (time, id) order.
 
-    A window per part sees each unit's neighbours by position, so no join is needed and the cost is
-    linear: frames of each_side rows either way.
+    A window sees each unit's neighbours by position, so no join is needed and the cost is linear: frames of each_side
+    rows either way. Over `rows` units, time is cut into equal lengths that hold as many in the mean, and each cut gets
+    copies of the rows next to it, so that a part of a third of all units spreads over many tasks.
     """
     n = each_side or k
-    base = units.where("event_date is not null").select("id", *part, micros(F.col("event_date")).alias("t"))
-    w = Window.partitionBy(*part).orderBy("t", "id")
+    base = units.where("event_date is not null").select(F.col("id").cast("long").alias("id"), *part, micros(F.col("event_date")).alias("t"))
+    total, low, high = base.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
+    split = total > rows
+    if split:
+        length = max(1, (high - low + 1) // -(-total // rows))
+        base = with_edges(base.withColumn("cut", F.floor((F.col("t") - low) / length)), part, n)
+    w = Window.partitionBy(*part, *(["cut"] if split else [])).orderBy("t", "id")
     around = F.struct("id", "t")
-    sided = base.select("id", "t", F.concat(F.collect_list(around).over(w.rowsBetween(-n, -1)), F.collect_list(around).over(w.rowsBetween(1, n))).alias("near"))
+    beside = F.concat(F.collect_list(around).over(w.rowsBetween(-n, -1)), F.collect_list(around).over(w.rowsBetween(1, n)))
+    sided = base.select("id", "t", beside.alias("near"), (F.col("guest") if split else F.lit(False)).alias("guest")).where("not guest")
     flat = sided.select(F.col("id").alias("from_id"), "t", F.explode("near").alias("o")).select("from_id", F.col("o.id").alias("to_id"), (F.abs(F.col("o.t") - F.col("t")) / 3.6e9).alias("hours"))
     return top_per(flat, ["from_id"], [F.asc("hours"), F.asc("to_id")], k)
 

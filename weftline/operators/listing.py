@@ -61,7 +61,8 @@ def source_facts(observations: DataFrame, units: DataFrame, per_observation: int
 def entity_state(mentions: DataFrame, budget: int) -> DataFrame:
     """(entity_id, id, rank, text): what recalled entities' observations say, newest first, a budget each."""
     rows = mentions.withColumn("tokens", token_estimate(F.col("text")))
-    kept = prefix_budget(rows, ["entity_id"], [F.desc("event_date"), F.asc("id")], F.col("tokens"), budget)
+    days_back = F.coalesce(-F.unix_date(F.to_date("event_date")), F.lit(2**31 - 1))
+    kept = prefix_budget(rows, ["entity_id"], [F.desc("event_date"), F.asc("id")], F.col("tokens"), budget, days_back)
     return ranked(kept, ["entity_id"], [F.desc("event_date"), F.asc("id")])
 
 
@@ -152,7 +153,3 @@ def clear_observations(units: DataFrame, observations: DataFrame, bank: str) ->
     gone = observations.where(F.col("bank_id") == bank)
     again = units.join(gone.select(F.explode("source_ids").alias("id")).distinct(), "id", "left_semi").select("id")
     return gone.select("id"), again
-
-
-def newest_first(df: DataFrame, part: list[str], when: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(F.desc_nulls_last(when), "id")).cast("long"))

@@ -15,8 +15,32 @@ def top_per(df: DataFrame, part: list[str], order: list[Column], k: int, out: st
     return ranked(df, part, order, out).where(F.col(out) <= k)
 
 
-def prefix_budget(df: DataFrame, part: list[str], order: list[Column], cost: Column, most: int) -> DataFrame:
-    """Rows in order until their running cost exceeds a budget; the first row over ends the list."""
+def join_same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows of a with those of b that agree in all keys, nulls with nulls. Without keys b is one row of totals."""
+    other = b.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return a.join(other, on, how).drop(*[f"__of_{k}" for k in keys])
+
+
+def starts_of(totals: DataFrame, part: list[str], cut: str, size: str, out: str) -> DataFrame:
+    """totals (part, cut, size) with out: the sum of size over the earlier cuts of the part."""
+    before = Window.partitionBy(*part).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+
+def prefix_budget(df: DataFrame, part: list[str], order: list[Column], cost: Column, most: int, cut: Column | None = None) -> DataFrame:
+    """Rows in order until their running cost exceeds a budget; the first row over ends the list. Costs are not negative.
+
+    cut is a coarse key that grows with the order (nulls first). Cuts that begin beyond the budget are then found by
+    their totals, and their rows never reach the window, however large a part is.
+    """
+    if cut is not None:
+        tagged = df.withColumn("__cut", cut)
+        totals = tagged.groupBy(*part, "__cut").agg(F.sum(cost).alias("__total"))
+        near = starts_of(totals, part, "__cut", "__total", "__start").where(F.col("__start") <= most).drop("__total", "__start")
+        df = join_same(tagged, near, [*part, "__cut"], "left_semi").drop("__cut")
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= most)
 
@@ -42,10 +66,11 @@ def first_seen(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def min_max(df: DataFrame, score: str, out: str, part: list[str]) -> DataFrame:
-    """Scores scaled to 0..1 within each part; equal scores give 0.5."""
-    w = Window.partitionBy(*part)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn(out, F.when(high == low, F.lit(0.5)).otherwise((F.col(score) - low) / (high - low)))
+    """Scores scaled to 0..1 within each part; equal scores give 0.5, null scores null."""
+    ends = df.groupBy(*part).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    scaled = F.when(high == low, F.when(F.col(score).isNotNull(), F.lit(0.5))).otherwise((F.col(score) - low) / (high - low))
+    return join_same(df, ends, part, "left").withColumn(out, scaled).drop("__low", "__high")
 
 
 def classify_changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

@@ -121,10 +121,6 @@ def hydrate(hits: DataFrame, units: DataFrame, threshold: float = 0.3) -> DataFr
     return hits.where(F.col("similarity") >= threshold).join(units, "id").orderBy("rank")
 
 
-def stale_hits(hits: DataFrame, units: DataFrame) -> DataFrame:
-    return hits.join(units.select("id"), "id", "left_anti")
-
-
 def hyperplanes(dim: int, bits: int, tables: int, seed: int) -> list[list[list[float]]]:
     """Sign projections for an index of buckets; one list of `bits` normals for each table."""
     import numpy as np
@@ -150,6 +146,18 @@ def lsh_buckets(units: DataFrame, planes: list[list[list[float]]], parts: int =
     return units.where("embedding is not null").select("id", "embedding").mapInPandas(place, "table int, bucket long, id long, embedding array<float>")
 
 
+def lsh_update(index: DataFrame, planes: list[list[list[float]]], changed: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """The buckets of lsh_buckets after units changed or came (id, embedding) and others went (id). A changed unit whose
+    vector is null leaves the index; deletion wins over a change of the same id. Ids that are not there are no error."""
+    gone = [d.select("id") for d in (changed, deleted) if d is not None]
+    for d in gone:
+        index = index.join(d, "id", "left_anti").select("table", "bucket", "id", "embedding")
+    if changed is None:
+        return index
+    fresh = changed if deleted is None else changed.join(deleted.select("id"), "id", "left_anti")
+    return index.unionByName(lsh_buckets(fresh, planes))
+
+
 def lsh_neighbours(units: DataFrame, queries: DataFrame, k: int, bits: int | None = None, tables: int = 10, seed: int = 11) -> DataFrame:
     """Approximate nearest units of each query: equi-join of buckets, exact similarity, top k. Recall is
     measured against the exact answer; more tables raise it. Without bits, buckets hold about 64 units at every
@@ -169,7 +177,7 @@ def exact_neighbours(units: DataFrame, k: int, threshold: float, block: int = 10
     """(from_id, to_id, similarity): the k most similar other units of each, at or over a threshold.
 
     Vectors travel as blocks, and pairs of blocks are multiplied as matrices: the work is all pairs, but
-    no pair under the threshold becomes a row. Beyond a few million vectors use lsh_neighbours.
+    no pair under the threshold becomes a row. neighbours() leaves it for an index where it would be too much.
     """
     import numpy as np
     import pandas as pd
@@ -196,3 +204,13 @@ def exact_neighbours(units: DataFrame, k: int, threshold: float, block: int = 10
 
     near = pairs.mapInPandas(multiply, "from_id long, to_id long, similarity double")
     return top_per(near, ["from_id"], [F.desc("similarity"), F.asc("to_id")], k)
+
+
+def neighbours(units: DataFrame, k: int, threshold: float, exact_to: int = 200_000, tables: int = 10) -> DataFrame:
+    """(from_id, to_id, similarity, rank): the k most similar other units of each, at or over a threshold. Up to
+    exact_to units all pairs are compared; beyond it those of one bucket are, so the work grows with the units and some
+    neighbours can be missed, as with any approximate index."""
+    if units.count() <= exact_to:
+        return exact_neighbours(units, k, threshold)
+    near = lsh_neighbours(units, units.select("id", "embedding"), k, tables=tables).where(F.col("similarity") >= threshold)
+    return near.select(F.col("query_id").alias("from_id"), F.col("id").alias("to_id"), "similarity", "rank")

@@ -214,7 +214,7 @@ sl AS (SELECT from_id, to_id, least(greatest(similarity, 0.0), 1.0) AS weight FR
 
 @query(with_tables("vector_units", rest=KNN_SQL + " SELECT from_id, to_id, 'semantic' AS link_type, weight FROM sl"))
 def semantic_links(spark, sf):
-    return links.semantic_links(search.exact_neighbours(vector_units(spark, sf), 5, 0.3))
+    return links.semantic_links(search.neighbours(vector_units(spark, sf), 5, 0.3))
 
 
 @query(with_tables("unit_entities", rest="""n AS (SELECT DISTINCT o_orderkey AS unit_id FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderkey IN (SELECT unit_id FROM unit_entities)),
@@ -454,7 +454,7 @@ def rank_changes(spark, sf):
 @query("""WITH d AS (SELECT doc_id AS id, lang, ceil(length(text) / 4.0)::BIGINT AS tokens, sum(ceil(length(text) / 4.0)::BIGINT) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM documents) SELECT * FROM d WHERE spent <= 20000""")
 def token_budget(spark, sf):
     d = text_units(spark, sf).withColumn("tokens", scores.token_estimate(F.col("text")))
-    return prefix_budget(d, ["lang"], [F.asc("id")], F.col("tokens"), 20_000).select("id", "lang", "tokens", "spent")
+    return prefix_budget(d, ["lang"], [F.asc("id")], F.col("tokens"), 20_000, F.floor(F.col("id") / 1024)).select("id", "lang", "tokens", "spent")
 
 
 @query("SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS turn FROM documents QUALIFY turn <= 20")

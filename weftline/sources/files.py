@@ -145,6 +145,36 @@ def convert_files(files: DataFrame, chain: list[str], name: str = "path", conten
     return files.withColumn("__c", run(F.col(content), F.col(name))).select(*files.columns, "__c.*")
 
 
+def _blob(spark: SparkSession, root: str, name: str):
+    """(file system, path) of a blob; names stay inside the root."""
+    if not name or name.startswith("/") or ".." in name.split("/"):
+        raise ValueError(f"not a name inside the store: {name!r}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def put_blob(spark: SparkSession, root: str, name: str, data: bytes) -> str:
+    """Stores one blob on any Hadoop file system, in place of one of that name, and returns its address."""
+    fs, path = _blob(spark, root, name)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return fs.makeQualified(path).toString()
+
+
+def has_blob(spark: SparkSession, root: str, name: str) -> bool:
+    fs, path = _blob(spark, root, name)
+    return fs.exists(path)
+
+
+def drop_blob(spark: SparkSession, root: str, name: str) -> bool:
+    """Deletes a blob; false where there was none."""
+    fs, path = _blob(spark, root, name)
+    return fs.delete(path, False)
+
+
 def read_files(spark: SparkSession, path: str, chain: list[str], pattern: str = "*") -> DataFrame:
     """Files of any Hadoop file system as text."""
     return convert_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path), chain)
