@@ -14,14 +14,27 @@ from weftline.operators.rows import first_seen, top_per
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """(a, b, similarity): names whose trigram sets overlap by Jaccard. An inverted trigram equi-join: no pair
-    without a common trigram is looked at."""
-    a = left.select(F.col("name").alias("a")).distinct().withColumn("ga", trigrams(F.col("a")))
-    b = right.select(F.col("name").alias("b")).distinct().withColumn("gb", trigrams(F.col("b")))
-    fa = a.select("a", F.size("ga").alias("na"), F.explode("ga").alias("g"))
-    fb = b.select("b", F.size("gb").alias("nb"), F.explode("gb").alias("g"))
-    both = fa.join(fb, "g").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-    return both.withColumn("similarity", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    """(a, b, similarity): names whose trigram sets overlap by Jaccard.
+
+    An equi-join on the rarer trigrams of each name: two sets of this overlap cannot differ in all of them, so the
+    commonest are never joined. A pair is taken where its rarest common trigram joins it, hence once, without a
+    shuffle of pairs.
+    """
+    a, b = left.select("name").distinct(), right.select("name").distinct()
+    seen = a.union(b).select(F.explode(trigrams(F.col("name"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare_first(names: DataFrame, name: str, grams: str) -> DataFrame:
+        flat = names.select("name", F.explode(trigrams(F.col("name"))).alias("g")).join(seen, "g")
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"])
+        sets = flat.groupBy(F.col("name").alias(name)).agg(in_order.alias(grams))
+        # The margin of 1e-6 covers the rounding of similarities.
+        needed = F.ceil(F.lit(threshold - 1e-6) * F.size(grams)).cast("int")
+        return sets.select(name, grams, F.explode(F.slice(grams, F.lit(1), F.size(grams) - F.greatest(needed, F.lit(1)) + 1)).alias("g"))
+
+    common = F.array_intersect("ga", "gb")
+    met = rare_first(a, "a", "ga").join(rare_first(b, "b", "gb"), "g").withColumn("common", common).where(F.element_at("common", 1) == F.col("g"))
+    n = F.size("common")
+    return met.withColumn("similarity", F.round(n / (F.size("ga") + F.size("gb") - n), 6)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:

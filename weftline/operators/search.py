@@ -37,26 +37,29 @@ def inverted_index(units: DataFrame) -> DataFrame:
 def bm25(units: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, every: bool = False) -> DataFrame:
     """(id, bm25) of every unit with at least one term, or with every one. Texts without words count in no average.
 
-    One pass counts texts, words and the texts of each term, another scores. Words are found where they stand, and
-    only the query's terms leave their text, so nothing else is shuffled.
+    One pass over the texts leaves a row of counts for each, which is shuffled once and read twice: for the totals and
+    for the scores.
     """
     asked = sorted(w for w in set(terms) if re.fullmatch(r"\w+", w))
-    none = units.select("id", F.lit(0.0).alias("bm25")).limit(0)
     if not asked:
-        return none
+        return units.select("id", F.lit(0.0).alias("bm25")).limit(0)
     low = F.lower("text")
-    found = F.regexp_extract_all(low, F.lit(rf"(?<!{WORD_CHAR})(?:{'|'.join(asked)})(?!{WORD_CHAR})"), F.lit(0))
-    t = units.select("id", F.regexp_count(low, F.lit(f"{WORD_CHAR}+")).alias("length"), found.alias("found"))
-    n, avg, *df = t.agg(F.count_if(F.col("length") > 0), F.avg(F.when(F.col("length") > 0, F.col("length"))), *[F.count_if(F.array_contains("found", w)) for w in asked]).first()
-    if not n:
-        return none
-    hit = t.select("id", "length", F.explode("found").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = F.lit(0.0)
-    for w, c in zip(asked, df, strict=True):
-        idf = F.when(F.col("term") == w, F.ln(F.lit(1 + (n - c + 0.5) / (c + 0.5)))).otherwise(idf)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(avg))))
-    scored = hit.groupBy("id").agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("terms"))
-    return (scored.where(F.col("terms") == len(asked)) if every else scored).drop("terms")
+    # First letters turn most places away before the costlier parts are tried.
+    first = "".join(sorted({w[0] for w in asked}))
+    whole = rf"(?=[{first}])(?<!{WORD_CHAR})(?:{'|'.join(asked)})(?!{WORD_CHAR})"
+    found = units.select("id", F.regexp_count(low, F.lit(f"{WORD_CHAR}+")).alias("length"), F.regexp_extract_all(low, F.lit(whole), F.lit(0)).alias("found"))
+    # One reference for each term: Spark would move a single one's search into the lambda and repeat it there.
+    times = lambda w: F.size(F.filter("found", lambda x: x == F.lit(w)))
+    each = F.array(*[times(w) for w in asked])
+    counts = found.select("id", "length", each.alias("tf")).repartition("id")
+    totals = counts.agg(F.count_if(F.col("length") > 0).alias("n"), F.avg(F.nullif("length", F.lit(0))).alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(asked))]).alias("df"))
+    both = counts.join(F.broadcast(totals))  # one row
+    idf = lambda df: F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    each = F.zip_with("tf", "df", lambda tf, df: idf(df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
+    score = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+    # One condition on the score, so that none moves below the shuffle and makes two of it.
+    score = F.when(F.array_min("tf") > 0, score) if every else score
+    return both.select("id", score.alias("bm25")).where("bm25 > 0")
 
 
 def temporal_entries(units: DataFrame, query: list[float], low: Column, high: Column, newest: int = 50, closest: int = 10, threshold: float = 0.1) -> DataFrame:
