@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import quality_rules, toxicity
 from weftline.llm.common import table
+from weftline.llm.fim import fill_in_middle, restored
 from weftline.llm.fingerprints import fingerprint_edits
 from weftline.llm.html_text import main_text
 from weftline.llm.lattice_lm import lattice_scores
@@ -65,6 +66,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = restored(fill_in_middle(documents(spark, sf_dir)))
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    return d.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -77,6 +84,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
         "op10_simhash": op10_simhash,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -122,7 +130,16 @@ g2 AS (SELECT r, least(200, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i)
 p2 AS (SELECT r, sum(more)::BIGINT AS n_in_passages FROM g2 GROUP BY 1)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256, coalesce(n_in_passages, 0) AS n_in_passages FROM n LEFT JOIN q USING (r) LEFT JOIN p2 USING (r)"""
 
+#: Numbers from the hash of the id; the cuts are code points.
+OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT doc_id, t, length(t)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS v FROM d),
+y AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR v[3] % 100 >= 90 THEN 'plain' WHEN v[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(v[1] % (n + 1), v[2] % (n + 1)) AS a, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS b FROM x),
+z AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM y)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM z"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other queries hash with seeds that SQL has not, tokenize, or learn: tests compare them with brute force."""
-    return {"op1_url_filter": OP1_SQL, "op2_suffix_dedup": OP2_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op11_fill_in_middle": OP11_SQL}
