@@ -13,7 +13,7 @@ def rows(d):
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "clicks"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     want = c.execute(queries.oracle_sql()[name])

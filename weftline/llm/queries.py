@@ -13,6 +13,7 @@ from weftline.llm.html_text import main_text
 from weftline.llm.lattice_lm import lattice_scores
 from weftline.llm.mixing import Mix
 from weftline.llm.packing import pack
+from weftline.llm.rolling import rolling_medians
 from weftline.llm.simhash import hex_digits, near_duplicates
 from weftline.llm.suffix_dedup import PASSAGE, without_repeats
 from weftline.llm.url_filter import filter_urls
@@ -72,6 +73,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_rolling_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_medians(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -85,6 +90,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_simhash": op10_simhash,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_rolling_medians": op13_rolling_medians,
     }
 
 
@@ -139,7 +145,17 @@ z AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM z"""
 
+#: Sorted lists of each window, and of the distances from its median.
+OP13_SQL = """WITH c AS (SELECT click_id, kind, ts, CASE WHEN NOT isnan(value) AND abs(value) < 4e15 THEN floor(100 * value + 0.5)::BIGINT END AS cents FROM clicks),
+r AS (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ts NULLS LAST, kind NULLS FIRST, cents NULLS FIRST) AS k FROM c),
+w AS (SELECT click_id, kind, cents, list(cents) FILTER (cents IS NOT NULL) OVER (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL '899.999999 seconds' PRECEDING AND CURRENT ROW) AS v FROM r WHERE k = 1 AND ts IS NOT NULL),
+s AS (SELECT click_id, kind, cents, list_sort(v) AS v, coalesce(len(v), 0)::BIGINT AS n FROM w),
+m AS (SELECT *, CASE WHEN n > 0 THEN v[(n + 1) // 2] + v[n // 2 + 1] END AS median2 FROM s),
+d AS (SELECT *, list_sort([abs(2 * x - median2) FOR x IN v]) AS e FROM m),
+f AS (SELECT click_id, kind, cents, n, median2, CASE WHEN n > 0 THEN e[(n + 1) // 2] + e[n // 2 + 1] END AS mad4 FROM d)
+SELECT click_id, kind, n, median2, mad4, 2 * abs(2 * cents - median2) > 2 * mad4 AS far FROM f"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other queries hash with seeds that SQL has not, tokenize, or learn: tests compare them with brute force."""
-    return {"op1_url_filter": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op11_fill_in_middle": OP11_SQL, "op13_rolling_medians": OP13_SQL}
