@@ -10,6 +10,7 @@ from weftline.llm.common import table
 from weftline.llm.fim import fill_in_middle, restored
 from weftline.llm.fingerprints import fingerprint_edits
 from weftline.llm.html_text import main_text
+from weftline.llm.language import identify
 from weftline.llm.lattice_lm import lattice_scores
 from weftline.llm.mixing import Mix
 from weftline.llm.packing import pack
@@ -73,6 +74,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op13_rolling_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_medians(table(spark, sf_dir, "clicks"))
 
@@ -90,6 +95,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_simhash": op10_simhash,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_language": op12_language,
         "op13_rolling_medians": op13_rolling_medians,
     }
 
