@@ -3,22 +3,26 @@
 A word that the training texts have scores each language by the logarithm of its relative frequency there. A word
 that they lack falls back to its longest pieces (character n-grams, the word's ends marked) of which at least one was
 seen, and scores by the mean of theirs. What a language lacks counts as one small frequency, the same for all
-languages, so that no language gains by having less text; scores are kept as gains over it, and only gains are
-rows. A text's gains add up, and their softmax is the score of the language that is chosen.
+languages, so that no language gains by having less text; scores are kept as gains over it. A text's gains add up,
+and their softmax is the score of the language that is chosen.
+
+The classifier is fitted on a bounded number of texts of each language and keeps a bounded number of words, so that
+it can go to every worker whatever the size of the corpus; each text is then scored where it is, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from math import exp, log1p
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialize, ship
+from weftline.operators.rows import top_per
 
 #: The longest pieces of an unseen word that are looked for.
 LONGEST = 5
@@ -30,116 +34,143 @@ UNKNOWN = "und"
 WORD_CHARS = 64
 #: Training texts are those whose number by crc32 of the id is not this.
 HELD_OUT, PARTS = 2, 4
+#: The classifier is fitted on this many texts of each language, those of the smallest hashes.
+FIT_TEXTS = 5_000
+#: Counts of a word in a language that the classifier keeps: the largest; rarer words back off to their pieces.
+FIT_WORDS = 120_000
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Texts whose words are held at a time.
 SLICE = 256
+#: Unseen words whose pieces a worker remembers.
+REMEMBERED = 50_000
 
 
 def words(text: str) -> Counter[str]:
     """The words of a text, in lower case, with their numbers: runs of letters."""
-    return Counter(w[k : k + WORD_CHARS] for w in _WORDS.findall(text.lower()) for k in range(0, len(w), WORD_CHARS))
-
-
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """(row, doc_id, held_out, letters, lang, word, times): a row for each text with arrays of its words, written once
-    so that row numbers hold."""
-    ship(docs.sparkSession)
-    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col).cast("string")
-    held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(PARTS)) == HELD_OUT
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), held.alias("held_out"), lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
-            found = [words(t.as_py()) for t in b.column(4)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array([bool(f) for f in found]), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))],
-                ["row", "id", "held_out", "lang", "letters", "word", "times"],
-            )
+    found = _WORDS.findall(text.lower())
+    if max(map(len, found), default=0) > WORD_CHARS:
+        found = [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
+    return Counter(found)
 
-    return materialize(rows.mapInArrow(run, "row long, id long, held_out boolean, lang string, letters boolean, word array<string>, times array<long>"))
 
+def pieces(word: str, size: int) -> list[str]:
+    """The pieces of a size of a word between its marks; a mark alone is none."""
+    marked = f"<{word}>"
+    return [p for k in range(len(marked) - size + 1) if (p := marked[k : k + size]) not in ("<", ">")]
 
-def _flat(texts: DataFrame, *keys: str) -> DataFrame:
-    return texts.select(*keys, F.explode(F.arrays_zip("word", "times")).alias("x")).select(*keys, "x.word", "x.times")
 
+def _gains(counts: dict[str, dict[int, int]]) -> dict[str, tuple[tuple[int, float], ...]]:
+    """For each key the languages that have it, each with the log of its relative frequency over that of what a
+    language lacks."""
+    total: Counter[int] = Counter()
+    for by in counts.values():
+        total.update(by)
+    floor = UNSEEN / min(total.values(), default=1)
+    scale = {k: 1 / n / floor for k, n in total.items()}
+    return {key: tuple((k, log1p(n * scale[k])) for k, n in by.items()) for key, by in counts.items()}
 
-def pieces(word: Column) -> Column:
-    """(size, piece) of all pieces of a word between its marks, shortest first."""
-    marked = F.concat(F.lit("<"), word, F.lit(">"))
-    of = lambda n: F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.struct(n.cast("int").alias("size"), F.substr(marked, i, n).alias("piece"))))
-    every = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length(marked))), of)
-    return F.filter(F.flatten(every), lambda p: ~p["piece"].isin("<", ">"))
 
-
-@dataclass(frozen=True)
 class Model:
-    """What was learned, as tables: the languages, gains of words, and gains of pieces."""
+    """Gains of words and of pieces by language."""
+
+    def __init__(self, languages: list[str], counts: list[tuple[str, str, int]]) -> None:
+        self.languages, self.remembered = languages, {}
+        place = {name: k for k, name in enumerate(languages)}
+        whole: dict[str, dict[int, int]] = {}
+        levels: list[dict[str, dict[int, int]]] = [{} for _ in range(LONGEST + 1)]
+        for lang, word, times in counts:
+            k = place[lang]
+            whole.setdefault(word, {})[k] = times
+            for size in range(1, min(LONGEST, len(word) + 2) + 1):
+                level = levels[size]
+                for p in pieces(word, size):
+                    by = level.setdefault(p, {})
+                    by[k] = by.get(k, 0) + times
+        self.words = _gains(whole)
+        self.pieces = {p: g for level in levels for p, g in _gains(level).items()}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"remembered": {}}
+
+    def backed_off(self, word: str) -> tuple:
+        """The mean gains of the longest pieces of which any is known; none if no letter is."""
+        got = self.remembered.get(word)
+        if got is None:
+            got, known, marked = (), self.pieces.get, f"<{word}>"
+            n = len(marked)
+            for size in range(min(LONGEST, n), 0, -1):
+                found = [g for k in range(n - size + 1) if (g := known(marked[k : k + size]))]
+                if found:
+                    sums = dict.fromkeys(range(len(self.languages)), 0.0)
+                    for gains in found:
+                        for k, g in gains:
+                            sums[k] += g
+                    got = tuple((k, v / len(found)) for k, v in sums.items() if v)
+                    break
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            self.remembered[word] = got
+        return got
+
+    def predict(self, text: str) -> tuple[str, float]:
+        """The language and its part in the softmax of all gains. A text without letters, or any if nothing was learned, is
+        `und` with 0; where nothing is known, or languages tie to six places, the first by name is chosen."""
+        found = words(text)
+        if not found or not self.languages:
+            return UNKNOWN, 0.0
+        sums, table = [0.0] * len(self.languages), self.words
+        for word, times in found.items():
+            for k, g in table.get(word) or self.backed_off(word):
+                sums[k] += times * g
+        best = max(sums)
+        chosen = next(k for k, v in enumerate(sums) if round(v, 6) == round(best, 6))
+        return self.languages[chosen], 1 / sum(exp(v - best) for v in sums)
+
+
+def held_out(id_col: str) -> Column:
+    """Whether a row takes no part in learning; a null id counts as one without digits."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(PARTS)) == HELD_OUT
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = FIT_TEXTS, most: int = FIT_WORDS) -> Model:
+    """Learns from rows that are not held out and have a language: of each language `texts` of those of the smallest
+    hashes (rows that are equal count each), of these the `most` largest counts.
+
+    The hashes alone are ranked, and Spark keeps `texts` of each language in a task before it shuffles them. Words are
+    counted where the texts are.
+    """
+    ship(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("hash"))
+    last = top_per(labelled.select("lang", "hash"), ["lang"], [F.asc("hash")], texts).groupBy("lang").agg(F.max("hash").alias("last"))
+    last = materialize(last)  # a row for each language
+    chosen = labelled.join(last, "lang").where("hash <= last").select("lang", "text")
 
-    languages: DataFrame
-    words: DataFrame
-    pieces: DataFrame
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+            sums: dict[str, Counter[str]] = defaultdict(Counter)
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[lang].update(words(t.as_py()))
+            rows = [(lang, w, n) for lang, c in sums.items() for w, n in c.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "times"])
 
+    counts = chosen.mapInArrow(count, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times"))
+    kept = counts.orderBy(F.desc("times"), "lang", "word").limit(most).collect()
+    return Model(sorted(r.lang for r in last.collect()), [(r.lang, r.word, r.times) for r in kept])
 
-def _gains(counts: DataFrame, level: list[str], what: str) -> DataFrame:
-    """Adds gain: the log of the relative frequency over that of what a language lacks, within each level."""
-    totals = counts.groupBy(*level, "lang").agg(F.sum("times").alias("total"))
-    least = totals.groupBy(*level).agg((F.lit(UNSEEN) / F.min("total")).alias("floor"))
-    both = totals.join(least, level) if level else totals.join(F.broadcast(least))  # one row
-    gain = F.log1p(F.col("times") / F.col("total") / F.col("floor"))
-    return counts.join(both, [*level, "lang"]).select(*level, what, "lang", gain.alias("gain"))
 
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row, each scored where it is; see Model.predict."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-def train(texts: DataFrame) -> Model:
-    """Learns from the rows of counted() that are not held out and have a language; each counts in full.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shared.value.predict(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
-    Counts are summed where the texts are before they are shuffled, so that a common word is a row of each task.
-    Pieces are counted over the distinct words, by how often these occur.
-    """
-    labelled = texts.where("lang is not null and not held_out")
-    counts = materialize(_flat(labelled, "lang").groupBy("lang", "word").agg(F.sum("times").alias("times")))
-    found = counts.select("lang", F.explode(pieces(F.col("word"))).alias("p"), "times")
-    grams = found.groupBy("lang", "p.size", "p.piece").agg(F.sum("times").alias("times"))
-    languages = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")))
-    return Model(languages, materialize(_gains(counts, [], "word")), materialize(_gains(materialize(grams), ["size"], "piece")))
-
-
-def word_gains(vocabulary: DataFrame, model: Model) -> DataFrame:
-    """(word, gains: array of lang and gain) of each word of a vocabulary that the model can tell anything about."""
-    pack = F.collect_list(F.struct("lang", "gain")).alias("gains")
-    seen = model.words.groupBy("word").agg(pack)
-    unseen = vocabulary.join(seen.select("word"), "word", "left_anti")
-    every = unseen.select("word", F.explode(pieces(F.col("word"))).alias("p")).select("word", "p.size", "p.piece")
-    known = every.join(model.pieces.groupBy("size", "piece").agg(pack), ["size", "piece"])
-    # The longest size with a known piece decides; its gains are means over its known pieces.
-    longest = known.withColumn("best", F.max("size").over(Window.partitionBy("word"))).where("size = best")
-    n = F.count(F.lit(1)).over(Window.partitionBy("word"))
-    each = longest.withColumn("n", n).select("word", "n", F.explode("gains").alias("g"))
-    backed = each.groupBy("word", F.col("g.lang").alias("lang"), "n").agg(F.sum("g.gain").alias("gain"))
-    return seen.unionByName(backed.groupBy("word").agg(F.collect_list(F.struct("lang", (F.col("gain") / F.col("n")).alias("gain"))).alias("gains")))
-
-
-def predict(texts: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of counted().
-
-    score is the part of the chosen language in the softmax of the gains of all that were learned. Texts without
-    letters, and all if nothing was learned, are `und` with score 0; where nothing in a text is known, or languages
-    tie, the first by name is chosen.
-    """
-    flat = _flat(texts.where("letters"), "row")
-    table = word_gains(flat.select("word").distinct(), model)
-    scored = flat.join(table, "word").select("row", "times", F.explode("gains").alias("g"))
-    sums = scored.groupBy("row", F.col("g.lang").alias("lang")).agg(F.sum(F.col("times") * F.col("g.gain")).alias("gain"))
-    # Sums of doubles depend on their order in the last places; what is compared is rounded.
-    by_text = sums.groupBy("row").agg(F.collect_list(F.struct(F.round("gain", 6).alias("gain"), "lang")).alias("found"))
-    all_of = model.languages.agg(F.count(F.lit(1)).alias("known"), F.min("lang").alias("first"))
-    rows = texts.select("row", "id", "held_out", "letters").join(by_text, "row", "left").join(F.broadcast(all_of))  # one row
-    best = F.array_max(F.transform("found", lambda x: x["gain"]))
-    ties = F.array_min(F.transform(F.filter("found", lambda x: x["gain"] == best), lambda x: x["lang"]))
-    parts = F.aggregate("found", F.lit(0.0), lambda s, x: s + F.exp(x["gain"] - best)) + (F.col("known") - F.size("found")) * F.exp(-best)
-    answer = F.col("letters") & (F.col("known") > 0)
-    lang = F.when(~answer, UNKNOWN).when(F.col("found").isNull(), F.col("first")).otherwise(ties)
-    score = F.when(~answer, F.lit(0.0)).when(F.col("found").isNull(), 1 / F.col("known")).otherwise(1 / parts)
-    return rows.select(F.col("id").alias(id_col), "held_out", lang.alias("lang_pred"), score.alias("score"))
+    return rows.mapInArrow(run, f"{id_col} long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -148,5 +179,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Null and empty texts are `und`; a null id is held out or not as an id without digits; rows that repeat count
     each and are answered each; other columns play no part. No rows give none.
     """
-    texts = counted(docs, id_col, text_col, lang_col)
-    return predict(texts, train(texts), id_col)
+    return predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
