@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialize, ship
-from weftline.operators.rows import top_per
 
 #: The longest pieces of an unseen word that are looked for.
 LONGEST = 5
@@ -34,7 +33,7 @@ UNKNOWN = "und"
 WORD_CHARS = 64
 #: Training texts are those whose number by crc32 of the id is not this.
 HELD_OUT, PARTS = 2, 4
-#: The classifier is fitted on this many texts of each language, those of the smallest hashes.
+#: The classifier is fitted on about this many texts of each language, chosen by hash.
 FIT_TEXTS = 5_000
 #: Counts of a word in a language that the classifier keeps: the largest; rarer words back off to their pieces.
 FIT_WORDS = 120_000
@@ -133,18 +132,16 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = FIT_TEXTS, most: int = FIT_WORDS) -> Model:
-    """Learns from rows that are not held out and have a language: of each language `texts` of those of the smallest
-    hashes (rows that are equal count each), of these the `most` largest counts.
-
-    The hashes alone are ranked, and Spark keeps `texts` of each language in a task before it shuffles them. Words are
+    """Learns from rows that are not held out and have a language: of each language about `texts`, those whose hashes fall
+    into that share of all (rows that are equal count each), of these the `most` largest counts. Words are
     counted where the texts are.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("hash"))
-    last = top_per(labelled.select("lang", "hash"), ["lang"], [F.asc("hash")], texts).groupBy("lang").agg(F.max("hash").alias("last"))
-    last = materialize(last)  # a row for each language
-    chosen = labelled.join(last, "lang").where("hash <= last").select("lang", "text")
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(2**40))
+    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), place.alias("place"))
+    share = materialize(labelled.groupBy("lang").agg((F.lit(float(texts)) / F.count(F.lit(1)) * 2**40).alias("below")))  # a row for each language
+    chosen = labelled.join(share, "lang").where("place < below").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
@@ -157,7 +154,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     counts = chosen.mapInArrow(count, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times"))
     kept = counts.orderBy(F.desc("times"), "lang", "word").limit(most).collect()
-    return Model(sorted(r.lang for r in last.collect()), [(r.lang, r.word, r.times) for r in kept])
+    return Model(sorted(r.lang for r in share.collect()), [(r.lang, r.word, r.times) for r in kept])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
