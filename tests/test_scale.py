@@ -63,14 +63,13 @@ def vectors(spark, n, seed=3):
     return spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(8)]) for k in range(n)], "id long, embedding array<float>")
 
 
-def test_neighbours_beyond_the_exact_size(spark):
+def test_buckets_find_most_neighbours(spark):
     u = vectors(spark, 400)
-    exact = {(r.from_id, r.to_id): r.similarity for r in search.neighbours(u, 5, 0.3).collect()}
-    near = {(r.from_id, r.to_id): r.similarity for r in search.neighbours(u, 5, 0.3, exact_to=100, tables=24).collect()}
+    exact = {(r.from_id, r.to_id): r.similarity for r in search.exact_neighbours(u, 5, 0.3).collect()}
+    near = {(r.query_id, r.id): r.similarity for r in search.lsh_neighbours(u, u, 5, tables=24).where("similarity >= 0.3").collect()}
     found = [p for p in exact if p in near]
     assert len(found) >= 0.9 * len(exact)
     assert all(abs(exact[p] - near[p]) <= 2e-6 for p in found)
-    assert search.neighbours(u.limit(0), 5, 0.3, exact_to=-1).collect() == []
 
 
 def test_index_follows_its_units(spark):

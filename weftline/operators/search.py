@@ -180,7 +180,7 @@ def exact_neighbours(units: DataFrame, k: int, threshold: float, block: int = 10
     """(from_id, to_id, similarity): the k most similar other units of each, at or over a threshold.
 
     Vectors travel as blocks, and pairs of blocks are multiplied as matrices: the work is all pairs, but
-    no pair under the threshold becomes a row. neighbours() leaves it for an index where it would be too much.
+    no pair under the threshold becomes a row. vectors.neighbours() skips the blocks that cannot matter.
     """
     import numpy as np
     import pandas as pd
@@ -207,13 +207,3 @@ def exact_neighbours(units: DataFrame, k: int, threshold: float, block: int = 10
 
     near = pairs.mapInPandas(multiply, "from_id long, to_id long, similarity double")
     return top_per(near, ["from_id"], [F.desc("similarity"), F.asc("to_id")], k)
-
-
-def neighbours(units: DataFrame, k: int, threshold: float, exact_to: int = 200_000, tables: int = 10) -> DataFrame:
-    """(from_id, to_id, similarity, rank): the k most similar other units of each, at or over a threshold. Up to
-    exact_to units all pairs are compared; beyond it those of one bucket are, so the work grows with the units and some
-    neighbours can be missed, as with any approximate index."""
-    if units.count() <= exact_to:
-        return exact_neighbours(units, k, threshold)
-    near = lsh_neighbours(units, units.select("id", "embedding"), k, tables=tables).where(F.col("similarity") >= threshold)
-    return near.select(F.col("query_id").alias("from_id"), F.col("id").alias("to_id"), "similarity", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.vector import cosine, l2
-from weftline.operators import consolidate, entities, evidence, graph, ingest, listing, rows, search, stats
+from weftline.operators import consolidate, entities, evidence, graph, ingest, listing, rows, search, stats, vectors
 from weftline.plans import queries as q
 from weftline.plans.queries import CHUNK_SQL, KNN_SQL, OBS_SQL, SIM, TASK_SQL, query
 from weftline.sources.fixtures import table, text_units, time_units, unit_entities, vector_units, with_tables
@@ -38,12 +38,9 @@ def memory_graph_edges(spark, sf):
 @query(with_tables("vector_units", rest="""p AS (SELECT a.id AS s, b.id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS w FROM vector_units a JOIN vector_units b ON a.id < 4 AND b.id >= 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY w DESC, id) AS k FROM p WHERE w >= 0.2) SELECT id, max(w) AS score FROM r WHERE k <= 50 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60"""))
 def ann_expansion(spark, sf):
-    from weftline.operators.rows import top_per
-
     u = vector_units(spark, sf).select("id", "embedding")
-    seeds = F.broadcast(u.where("id < 4").select(F.col("id").alias("s"), F.col("embedding").alias("v")))  # the seeds of one recall
-    p = u.where("id >= 4").crossJoin(seeds).select("s", "id", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("w")).where("w >= 0.2")
-    best = top_per(p, ["s"], [F.desc("w"), F.asc("id")], 50).groupBy("id").agg(F.max("w").alias("score"))
+    found = vectors.search(vectors.build(u.where("id >= 4")), u.where("id < 4"), 50, 0.2)
+    best = found.groupBy("id").agg(F.max("similarity").alias("score"))
     return best.orderBy(F.desc("score"), "id").limit(60)
 
 

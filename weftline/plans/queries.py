@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scores, tags, temporal
 from weftline.functions import text as text_functions
 from weftline.functions.vector import cosine
-from weftline.operators import consolidate, entities, evidence, graph, ingest, links, rerank, sampling, search, stats
+from weftline.operators import consolidate, entities, evidence, graph, ingest, links, rerank, sampling, search, stats, vectors
 from weftline.operators.rows import classify_changes, keyset_page, min_max, prefix_budget, ranked, round_robin, top_per, upsert
 from weftline.plans.recall import recall
 from weftline.sources import files, store
@@ -163,6 +163,25 @@ def lsh_knn_recall(spark, sf):
     return hit.groupBy("query_id").agg((F.count("found") / F.count(F.lit(1))).alias("recall"))
 
 
+@query(with_tables("vector_units", rest="""p AS (SELECT a.id AS query, b.id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM vector_units a JOIN vector_units b ON a.id % 20 = 0)
+SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM p QUALIFY rank <= 10"""))
+def vector_index_topk(spark, sf):
+    """Exact answers of the index of cells, for every twentieth vector."""
+    u = vector_units(spark, sf).select("id", "embedding")
+    return vectors.search(vectors.build(u), u.where("id % 20 = 0"), 10)
+
+
+@query()
+def vector_index_recall(spark, sf):
+    """The recall of each query with as many probes as the index says it needs for 0.95 on average."""
+    u = vector_units(spark, sf).select("id", "embedding")
+    index, asked = vectors.build(u), u.where("id % 20 = 0")
+    probes = vectors.probes_for(index)
+    near = vectors.search(index, asked, 10, probes=probes).select("query", "id", F.lit(1).alias("hit"))
+    exact = vectors.search(index, asked, 10).select("query", "id")
+    return exact.join(near, ["query", "id"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"), F.lit(probes).alias("probes"))
+
+
 # --- links ---------------------------------------------------------------------------------------
 
 NEAR_SQL = """o AS (SELECT id, {part}, epoch_us(event_date) AS t, row_number() OVER (PARTITION BY {part} ORDER BY event_date, id) AS p FROM {units}),
@@ -214,7 +233,7 @@ sl AS (SELECT from_id, to_id, least(greatest(similarity, 0.0), 1.0) AS weight FR
 
 @query(with_tables("vector_units", rest=KNN_SQL + " SELECT from_id, to_id, 'semantic' AS link_type, weight FROM sl"))
 def semantic_links(spark, sf):
-    return links.semantic_links(search.neighbours(vector_units(spark, sf), 5, 0.3))
+    return links.semantic_links(vectors.neighbours(vector_units(spark, sf), 5, 0.3))
 
 
 @query(with_tables("unit_entities", rest="""n AS (SELECT DISTINCT o_orderkey AS unit_id FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderkey IN (SELECT unit_id FROM unit_entities)),
