@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scores, tags, temporal
 from weftline.functions import text as text_functions
 from weftline.functions.vector import cosine
-from weftline.operators import consolidate, entities, evidence, graph, ingest, links, rerank, sampling, search, stats, vectors
+from weftline.operators import consolidate, entities, evidence, graph, ingest, links, postings, rerank, sampling, search, stats, vectors
 from weftline.operators.rows import classify_changes, keyset_page, min_max, prefix_budget, ranked, round_robin, top_per, upsert
 from weftline.plans.recall import recall
 from weftline.sources import files, store
@@ -70,8 +70,20 @@ b AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2
 
 @query(f"WITH {BM25_SQL} SELECT id, round(bm25, 6) AS bm25 FROM b ORDER BY 2 DESC, 1 LIMIT 25")
 def bm25_topk(spark, sf):
-    b = search.bm25(text_units(spark, sf), TERMS).withColumn("bm25", F.round("bm25", 6))
-    return b.orderBy(F.desc("bm25"), "id").limit(25)
+    b = postings.bm25(postings.stored(text_units(spark, sf)), TERMS, 25)
+    return b.select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS.format('text')} AS words FROM documents),
+f AS (SELECT id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM f WHERE term IN ('de', 'la')),
+l AS (SELECT id, pos, n, max(pos) FILTER (term = 'de') OVER w AS a, max(pos) FILTER (term = 'la') OVER w AS b, max(n) FILTER (term = 'de') OVER w AS an, max(n) FILTER (term = 'la') OVER w AS bn FROM o WINDOW w AS (PARTITION BY id ORDER BY pos)),
+c AS (SELECT id, pos, n, least(a, b) AS start, least(an, bn) AS first FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+m AS (SELECT *, lag(start) OVER (PARTITION BY id ORDER BY pos) AS before FROM c)
+SELECT id, round(sum(0.1 / (1 + (pos - start) - (n - first))), 6) AS density FROM m WHERE before IS NULL OR before < start GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""")
+def cover_density_topk(spark, sf):
+    """Documents by how closely they hold both terms."""
+    d = postings.cover_density(postings.stored(text_units(spark, sf)), ["de", "la"], 25)
+    return d.select("id", F.round("density", 6).alias("density"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {WORDS.format('text')} AS words FROM documents),
@@ -1041,6 +1053,17 @@ def recall_hybrid(spark, sf):
     return recall(u, "The, of que?", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"])
 
 
+#: Words weigh as in all documents, and the answer is still of the units that the filter leaves.
+INDEXED_SQL = RECALL_SQL.replace("FROM u), l AS", "FROM (SELECT doc_id AS id, text FROM documents)), l AS").replace("lex AS (SELECT id, row_number() OVER (ORDER BY bm DESC, id) AS rank FROM b QUALIFY", "lex AS (SELECT id, row_number() OVER (ORDER BY bm DESC, id) AS rank FROM b WHERE id IN (SELECT id FROM u) QUALIFY")
+
+
+@query("WITH " + INDEXED_SQL)
+def recall_indexed(spark, sf):
+    d, v = text_units(spark, sf), vector_units(spark, sf)
+    u = v.select("id", "embedding", "fact_type").join(d.select("id", "text", "tags", "event_date"), "id").withColumn("proof_count", F.col("id") % 5)
+    return recall(u, "The, of que?", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"], index=postings.stored(d))
+
+
 TIMED_SQL = RECALL_SQL.replace("['the','of','que']", "['the','of','que','in','january','2024']").replace("UNION ALL SELECT * FROM lex)", "UNION ALL SELECT * FROM lex UNION ALL SELECT * FROM tim)")
 TIMED_SQL = TIMED_SQL.replace("f AS (SELECT id, round(sum(", """tx AS (SELECT u.id, e.label % 3 AS k, u.event_date, """ + SIM.replace("embedding::", "u.embedding::", 1) + """ AS similarity, round(1 - least(abs(epoch_us(u.event_date) - (1704067200000000 + 1706745599999999) / 2) / 8.64e10 / ((1706745599999999 - 1704067200000000) / 8.64e10 / 2), 1.0), 9) AS near
  FROM u JOIN embeddings e ON e.vec_id = u.id WHERE u.event_date >= TIMESTAMP '2024-01-01' AND u.event_date < TIMESTAMP '2024-02-01'),

@@ -11,7 +11,7 @@ from weftline.functions import scores
 from weftline.functions.tags import visible
 from weftline.functions.temporal import best_micros, overlaps, period, proximity
 from weftline.functions.text import words
-from weftline.operators import graph, rerank, search
+from weftline.operators import graph, postings, rerank, search
 from weftline.operators.rows import prefix_budget, ranked
 from weftline.plans.registry import SearchConfig, get, register
 
@@ -29,17 +29,18 @@ def timed(units: DataFrame) -> DataFrame:
 
 
 @register("retrieval", "semantic_bm25")
-def semantic_bm25(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None) -> DataFrame:
-    """(source, id, rank) of the semantic and the lexical arm."""
+def semantic_bm25(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None, index: postings.Postings | None = None) -> DataFrame:
+    """(source, id, rank) of the semantic and the lexical arm; with an index that reads its postings, and words weigh as in all it
+    holds."""
     s = search.semantic_arm(units, query, limit).select("id", "similarity")
     s = ranked(s.withColumn("all", F.lit(1)), ["all"], [F.desc("similarity"), F.asc("id")])
-    b = search.bm25(units, terms).orderBy(F.desc(F.round("bm25", 6)), F.asc("id")).limit(limit)
+    b = postings.bm25(index, terms, limit, keep=units) if index else search.bm25(units, terms).orderBy(F.desc(F.round("bm25", 6)), F.asc("id")).limit(limit)
     b = ranked(b.withColumn("all", F.lit(1)), ["all"], [F.desc(F.round("bm25", 6)), F.asc("id")])
     return s.select(F.lit("semantic").alias("source"), "id", "rank").union(b.select(F.lit("bm25"), "id", "rank"))
 
 
 @register("retrieval", "temporal")
-def temporal(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None) -> DataFrame:
+def temporal(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None, index: postings.Postings | None = None) -> DataFrame:
     """(source, id, rank) of the entry points in a time window; none without one."""
     low, high = bounds(window or (datetime.min, datetime.min))
     e = search.temporal_entries(units if window else units.limit(0), query, low, high).withColumn("proximity", F.round("proximity", 9))
@@ -111,6 +112,7 @@ def recall(
     links: DataFrame | None = None,
     unit_entities: DataFrame | None = None,
     window: tuple[datetime, datetime] | None = None,
+    index: postings.Postings | None = None,
 ) -> DataFrame:
     """Facts that answer a query, best first, within a budget of tokens: id, rank, score, tokens.
 
@@ -124,9 +126,9 @@ def recall(
         raise ValueError("a query has 1 to 500 tokens")
     window = window or period(query, now)
     seen = timed(units.where(visible(F.col("tags"), tags, tags_match, tag_groups)))
-    lists = get("retrieval", config.retrieval)(seen, vector, terms, limit, window)
+    lists = get("retrieval", config.retrieval)(seen, vector, terms, limit, window, index)
     if window and config.retrieval != "temporal":
-        lists = lists.union(get("retrieval", "temporal")(seen, vector, terms, limit, window))
+        lists = lists.union(get("retrieval", "temporal")(seen, vector, terms, limit, window, index))
     if links is not None and unit_entities is not None:
         seeds = search.semantic_arm(seen, vector, 20).orderBy(F.desc("similarity"), "id").limit(20).select("id")
         g = get("graph_retrieval", config.graph_retrieval)(seeds, links, unit_entities, limit)
