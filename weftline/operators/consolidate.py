@@ -25,8 +25,13 @@ def batches(units: DataFrame, size: int = 8) -> DataFrame:
     return join_same(r, starts, ["tag_key", "__day"]).withColumn("batch", F.floor(place / size).cast("long")).drop("__day", "__n", "__start")
 
 
+#: Tags of a unit whose subsets are scopes.
+MOST_TAGS = 20
+
+
 def scopes(units: DataFrame, how: str) -> DataFrame:
-    """One row per scope of a unit's tags: combined, per_tag, or all_combinations (the non-empty subsets)."""
+    """One row per scope of a unit's tags: combined, per_tag, or all_combinations (the non-empty subsets). Over
+    MOST_TAGS distinct tags are an error there, for their subsets would be a million rows of one unit."""
     tags = F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))))
     if how == "combined":
         return units.select("id", tags.alias("scope"))
@@ -34,7 +39,8 @@ def scopes(units: DataFrame, how: str) -> DataFrame:
         return units.select("id", F.explode_outer(F.transform(tags, lambda t: F.array(t))).alias("scope"))
     if how != "all_combinations":
         raise ValueError(f"unknown scopes {how!r}")
-    return units.select("id", tags.alias("ts")).where("size(ts) > 0").select("id", F.explode(F.expr("transform(sequence(1, shiftleft(1, size(ts)) - 1), m -> filter(ts, (t, i) -> getbit(m, i) = 1))")).alias("scope"))
+    few = F.when(F.size(tags) <= MOST_TAGS, tags).otherwise(F.raise_error(F.concat(F.lit("too many tags for all combinations: "), F.size(tags).cast("string"))))
+    return units.select("id", few.alias("ts")).where("size(ts) > 0").select("id", F.explode(F.expr("transform(sequence(1, shiftleft(1, size(ts)) - 1), m -> filter(ts, (t, i) -> getbit(m, i) = 1))")).alias("scope"))
 
 
 def inherited(sources: DataFrame) -> DataFrame:

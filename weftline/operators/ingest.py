@@ -70,11 +70,18 @@ def split_conversation(text: str, most: int = 3000) -> list[str] | None:
 
 def chunk_documents(docs: DataFrame, most: int = 3000) -> DataFrame:
     """(doc_id, chunk_index, chunk_text, chunk_id, content_hash): greedy packing is sequential within a text,
-    so it runs in Arrow batches; the rest is columns."""
+    so it runs in Arrow batches; the rest is columns. A text that fits is one chunk as it is, an empty one too; null has none."""
+
+    def cut(x: str | None) -> list[str]:
+        if x is None:
+            return []
+        if len(x) <= most:
+            return [x]
+        return (split_conversation(x, most) if x.lstrip().startswith("[") else None) or split_text(x, most)
 
     @F.pandas_udf("array<string>")
     def chunks(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: [] if x is None else split_conversation(x, most) or split_text(x, most) if x.lstrip().startswith("[") else split_text(x, most))
+        return t.map(cut)
 
     c = docs.select("doc_id", F.posexplode(chunks("text")).alias("chunk_index", "chunk_text"))
     return c.withColumn("chunk_id", chunk_key(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_text"))).withColumn("content_hash", F.sha2("chunk_text", 256))

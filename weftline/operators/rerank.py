@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scores
+from weftline.functions.text import words
 from weftline.operators.rows import first_seen, ranked
 
 
@@ -36,11 +37,12 @@ def pair_text(text: Column, context: Column, when: Column) -> Column:
 
 
 def lexical_scorer(query: str) -> Callable[[pd.Series], pd.Series]:
-    """The scorer that needs no model: the share of the query's words that a text has, as a logit."""
-    asked = set(query.lower().split())
+    """The scorer that needs no model: the share of the query's words that a text has, as a logit. Marks part words; a null
+    text has none."""
+    asked = set(words(query))
 
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: 4.0 * len(asked & set(t.lower().split())) / max(1, len(asked)) - 2.0)
+        return texts.map(lambda t: 4.0 * len(asked & set(words(t or ""))) / max(1, len(asked)) - 2.0)
 
     return score
 
@@ -50,7 +52,7 @@ def cross_encode(df: DataFrame, text: Column, scorer: Callable[[pd.Series], pd.S
 
     @F.pandas_udf("double")
     def run(t: pd.Series) -> pd.Series:
-        return scorer(t).astype(float)
+        return scorer(t.where(t.notna(), None)).astype(float)
 
     raw = F.nanvl(run(text), F.lit(0.0))
     return df.withColumn("ce", raw if normalised else scores.sigmoid(raw))
