@@ -5,7 +5,9 @@ adverts, forms, comments and the like go at once. What a site repeats from page
 found by differencing: pages of a host are ordered by url path, each is paired with the nearest others there
 that are no copies of it, lines are aligned by longest common subsequence, and shared lines go, also
 those inside an article or main element. There half of the neighbours, three or more, have to share a line, for
-two articles of a site may well quote one passage; elsewhere one is enough.
+two articles of a site may well quote one passage; elsewhere, and in an article's blocks whose name speaks of furniture,
+most are enough, however few they are, or one that shares no more than half of the page. Edited copies of a page
+delete nothing: what they do not share is alike all the same.
 """
 
 from __future__ import annotations
@@ -43,10 +45,11 @@ STRONG = {
 }
 #: Words that mark furniture only alone or beside a word for the whole page: an article has its own header.
 WEAK = {"header", "footer", "masthead", "banner", "share", "sharing", "search", "legal", "alert", "toc", "reply"}
-WHOLE = {"site", "page", "global", "top", "bottom", "main", "wrapper", "wrap", "container", "inner", "outer", "bar", "box", "area", "block", "section", "sticky", "fixed"}
+WHOLE = {"site", "page", "global", "top", "bottom", "main", "wrapper", "wrap", "container", "inner", "outer", "bar", "box", "area", "block", "section", "sticky", "fixed", "list", "links", "posts", "form", "left", "right"}
 #: Words by which a name speaks of something that is elsewhere (with-sidebar) or absent (no-ads).
 ABOUT = {"with", "has", "no", "without", "not", "is", "by"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_MARK = re.compile("[>\"']")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
@@ -56,20 +59,21 @@ SPAN_PAGES = 200
 MOST_SPANS = 4_096
 #: Neighbours on either side that a page is compared with: the nearest of other content.
 NEIGHBOURS = 4
-#: A neighbour that shares more than this part of a page's own text is a copy of it, not another page of its site.
-COPY_SHARE = 0.5
-#: Own text is what under half of the neighbours share, if that is at least this part of the page; else all of it.
-OWN_SHARE = 0.1
+#: A line outside articles goes if most neighbours share it, or one that shares no more than this part of the page.
+MOST_SHARED = 0.5
+#: A neighbour is a copy, and no other page of the site, if what two pages do not share has this part of its pairs of
+#: words in common.
+COPY_LIKENESS = 0.3
 #: Elements that close one of their kind that is open, unless one of BARRIERS was opened after it.
 CLOSES_OWN = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BARRIERS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"} | FURNITURE
 
 
-def names_furniture(names: str) -> bool:
-    """Whether a class, id or role names something that is not main text."""
+def names_furniture(names: str, whole: bool = False) -> bool:
+    """Whether a class, id or role names something that is not main text; whole: by nothing but such words."""
     for name in names.lower().split():
         parts = [x for x in re.split(r"[-_\d]+", name) if x]
-        if not parts or ABOUT & set(parts):
+        if not parts or ABOUT & set(parts) or whole and not all(x in STRONG or x in WEAK or x in WHOLE for x in parts):
             continue
         if parts[0] in STRONG or parts[-1] in STRONG:
             return True
@@ -78,17 +82,56 @@ def names_furniture(names: str) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag, comment and declaration in order; the name is empty for the latter two.
+
+    A tag ends at the first > outside quotes. Once a quote or a tag is not closed, no later search looks for what is
+    not there, so the whole is linear in the page, closed or not.
+    """
+    at, last, quoted = 0, page.rfind(">"), {'"': page.rfind('"'), "'": page.rfind("'")}
+    plain = False  # quotes are characters like others from where a tag was found not to end outside them
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("<!--", i) or page.startswith("<![CDATA[", i):
+            mark = "-->" if page[i + 2] == "-" else "]]>"
+            end = page.find(mark, i + 4)
+            at = len(page) if end < 0 else end + len(mark)
+            yield i, at, False, "", ""
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            if i < last:
+                at = page.index(">", i) + 1
+                yield i, at, False, "", ""
+        elif (m := _NAME.match(page, i + 1)) and i < last:
+            end, k = -1, m.end()
+            while not plain:
+                found = _MARK.search(page, k)
+                if found is None:
+                    plain = True
+                elif found[0] == ">":
+                    end = found.start()
+                    break
+                elif found.start() < quoted[found[0]]:
+                    k = page.index(found[0], found.end()) + 1
+                else:
+                    k = found.end()
+            if end < 0:
+                end = page.find(">", m.end())
+            if end >= 0:
+                at = end + 1
+                yield i, at, bool(m[1]), m[2].lower(), page[m.end() : end]
+
+
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     """(text, marked, inside) of each block in page order; marked: inside furniture, inside: in an article or main
-    element, whose own header is no furniture. Tags that are not closed end with what encloses them; a page cut
+    element, whose own header is no furniture, and in no block there whose name speaks of furniture. Tags that are not closed end with what encloses them; a page cut
     off in the middle keeps what there is. Linear in the page, however deep its elements stand."""
     page = page or ""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, furniture, article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, hidden, furniture, article's own, in an article
     places: dict[str, list[int]] = {}  # where elements of a name are open
     barriers: list[int] = []
     buf: list[str] = []
-    hidden = marked = inside = False
+    hidden = marked = inside = article = False
 
     def flush() -> None:
         if buf:
@@ -98,31 +141,24 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             buf.clear()
 
     def close(k: int) -> None:
-        nonlocal hidden, marked, inside
+        nonlocal hidden, marked, inside, article
         while len(stack) > k:
             places[stack.pop()[0]].pop()
         while barriers and barriers[-1] >= k:
             barriers.pop()
-        hidden, marked, inside = stack[-1][1:] if stack else (False, False, False)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            if not hidden:
-                rest = page[at:]
-                cut = re.search(r"<[A-Za-z/!][^<]*\Z", rest)  # a tag that the page breaks off in
-                buf.append(rest[: cut.start()] if cut else rest)
-            break
-        if not hidden and m.start() > at:
-            buf.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        hidden, marked, inside, article = stack[-1][1:] if stack else (False, False, False, False)
+
+    at = 0
+    for start, end, closing, name, attributes in tags(page):
+        if start < at:
+            continue  # within what has no markup
+        if not hidden and start > at:
+            buf.append(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
         open_at = places.get(name)
-        if m[1]:
+        if closing:
             if open_at:
                 k = open_at[-1]
                 if name in BLOCKS or any(x[2] != (stack[k - 1][2] if k else False) for x in stack[k:]):
@@ -133,25 +169,32 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             continue
         if name in BLOCKS:
             flush()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in CLOSES_OWN and open_at and open_at[-1] > (barriers[-1] if barriers else -1):
             close(open_at[-1])
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, at)
-            at = end.end()
+            at = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, at).end()
             continue
         low = name in FURNITURE and not (name == "header" and inside)
-        low = low or any(names_furniture(next((g for g in a if g), "")) for a in _ATTR.findall(m[3]))
+        named = [next((g for g in a if g), "") for a in _ATTR.findall(attributes)]
+        whole = article  # in an article only names of nothing but furniture on a block decide; others are a vote
+        low = low or (not whole or name in BLOCKS) and any(names_furniture(x, whole) for x in named)
+        doubtful = whole and not low and name in BLOCKS and any(map(names_furniture, named))
         if name in ("html", "body", "article", "main"):
-            low = False
+            low = doubtful = False
         if (low and not marked) or name in HIDDEN:
             flush()
-        hidden, marked, inside = hidden or name in HIDDEN, marked or low, inside or name in ("article", "main")
+        hidden, marked, article = hidden or name in HIDDEN, marked or low, article or name in ("article", "main")
+        inside = (inside or name in ("article", "main")) and not doubtful
         if name in BARRIERS:
             barriers.append(len(stack))
         places.setdefault(name, []).append(len(stack))
-        stack.append((name, hidden, marked, inside))
+        stack.append((name, hidden, marked, inside, article))
+    if not hidden and at < len(page):
+        rest = page[at:]
+        cut = re.search(r"<[A-Za-z/!][^<]*\Z", rest)  # a tag that the page breaks off in
+        buf.append(rest[: cut.start()] if cut else rest)
     flush()
     return out
 
@@ -189,25 +232,33 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return got
 
 
+def _pairs(lines: list[str], without: set[int]) -> Counter[tuple[str, str]]:
+    words = " ".join(x for j, x in enumerate(lines) if j not in without).split()
+    return Counter(zip(words, words[1:], strict=False)) or Counter(zip(words, words, strict=True))
+
+
+def _is_copy(own: list[str], other: list[str], mine: set[int]) -> bool:
+    """Whether what two pages do not share is alike, or one of them has nothing else: an edited copy."""
+    theirs = shared_lines(other, own)
+    a, b = _pairs(own, mine), _pairs(other, theirs)
+    least = min(a.total(), b.total())
+    return not least or (a & b).total() >= COPY_LIKENESS * least
+
+
 def difference(own: list[str], inside: list[bool], others: list[list[str]]) -> set[int]:
     """The lines of own to delete after a comparison with its neighbours, which all differ from it.
 
-    Lines that at least half of the neighbours, three or more, share are the site's. A neighbour that shares most of
-    the rest is a copy and deletes nothing. Of the others one is enough to delete a line outside an article; inside
-    only the site's lines go.
-    Where hardly anything but the site's lines is left, the neighbours are taken for edited copies.
+    Edited copies of the page delete nothing. Of the others most have to share a line outside an article, or one of them
+    that shares no more than half of the page; inside an article half have to, three or more. What two pages
+    share that have no other neighbours, and whose rests are not alike, is their site's.
     """
-    hits = [shared_lines(own, o) for o in others]
-    if not any(hits):
-        return set()
-    size = [len(s) for s in own]
-    votes = Counter(j for h in hits for j in h)
-    site = {j for j, v in votes.items() if v > 2 and 2 * v >= len(others)}
-    rest = sum(size) - sum(size[j] for j in site)
-    if rest < OWN_SHARE * sum(size):
-        site, rest = set(), sum(size)
-    good = [h for h in hits if sum(size[j] for j in h - site) <= COPY_SHARE * rest]
-    return {j for h in good for j in h if j in site or not inside[j]}
+    hits = [(h, o) for o in others if (h := shared_lines(own, o))]
+    good = [h for h, o in hits if not _is_copy(own, o, h)]
+    n = len(others) - (len(hits) - len(good))
+    votes = Counter(j for h in good for j in h)
+    size = [len(x) for x in own]
+    few = {j for h in good if sum(size[j] for j in h) <= MOST_SHARED * sum(size) for j in h}
+    return {j for j, v in votes.items() if (v > 2 and 2 * v >= n if inside[j] else 2 * v > n or j in few)}
 
 
 def _ranges(keys: DataFrame, span_pages: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
