@@ -63,7 +63,7 @@ NEIGHBOURS = 4
 MOST_SHARED = 0.5
 #: A neighbour is a copy, and no other page of the site, if what two pages do not share has this part of its pairs of
 #: words in common.
-COPY_LIKENESS = 0.3
+COPY_LIKENESS = 0.5
 #: Elements that close one of their kind that is open, unless one of BARRIERS was opened after it.
 CLOSES_OWN = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BARRIERS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"} | FURNITURE
