@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from weftline.functions import scores, tags, temporal, text
 from weftline.functions.vector import cosine
-from weftline.operators import consolidate, entities, graph, ingest, links, rerank, search
+from weftline.operators import activation, consolidate, entities, graph, ingest, links, rerank, search
 from weftline.operators.rows import keyset_page, round_robin
 from weftline.plans import registry
 
@@ -149,7 +149,7 @@ def test_hub_is_capped(spark):
 def test_spreading(spark):
     edges = spark.createDataFrame([(1, 2, "temporal", 0.9), (1, 3, "causes", 1.0), (3, 4, "temporal", 0.1), (2, 5, "temporal", 0.05)], "from_id long, to_id long, link_type string, weight double")
     units = spark.createDataFrame([(i, [1.0, 0.0], 0.2) for i in range(1, 6)], "id long, embedding array<float>, proximity double")
-    got = {r.id: (round(r.score, 4), r.hop) for r in search.spread_activation(spark.createDataFrame([(1,)], "id long"), edges, units, [1.0, 0.0], 10).collect()}
+    got = {r.id: (round(r.score, 4), r.hop) for r in activation.spread(spark.createDataFrame([(0, 1)], "question long, id long"), spark.createDataFrame([(0, [1.0, 0.0])], "question long, embedding array<double>"), edges, units, 10).collect()}
     assert got == {1: (1.0, 0), 2: (0.63, 1), 3: (1.4, 1), 4: (0.2, 2)}
 
 

@@ -81,44 +81,6 @@ def session_expansion(units: DataFrame, entries: DataFrame, query: list[float],
     return scored.orderBy("id").limit(limit)
 
 
-def spread_activation(entries: DataFrame, edges: DataFrame, units: DataFrame, query: list[float], limit: int, rounds: int = 5, per_source: int = 10, decay: float = 0.7, least: float = 0.2, min_similarity: float = 0.1) -> DataFrame:
-    """Breadth-first activation along weighted links: (id, score, hop).
-
-    A neighbour of the same fact type over min_similarity gets max(proximity, parent x weight x boost x
-    decay); it spreads on if that is over `least`. Each round takes the strongest links per source; the
-    first round to reach a unit fixes its score. The budget of new units is limit - entries, spent in the
-    order (score, id). Entry points start with 1. Frontiers are small (at most limit rows), so each
-    round's rows are the driver's to count and Spark's to join.
-    """
-    from weftline.functions.scores import BOOSTS
-
-    spark = entries.sparkSession
-    boost = F.lit(1.0)
-    for kind, x in BOOSTS.items():
-        boost = F.when(F.col("link_type") == kind, F.lit(x)).otherwise(boost)
-    seen = entries.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("hop")).collect()  # at most limit entry points
-    left = limit - len(seen)
-    frontier = list(seen)
-    schema = "id long, score double, hop int"
-    for hop in range(1, rounds + 1):
-        if not frontier or left <= 0:
-            break
-        front = spark.createDataFrame([(r[0], r[1]) for r in frontier], "from_id long, parent double")
-        out = edges.join(F.broadcast(front), "from_id").where("weight >= 0.1")
-        out = top_per(out, ["from_id"], [F.desc("weight"), F.asc("to_id")], per_source)
-        known = spark.createDataFrame([(r[0],) for r in seen], "to_id long")
-        out = out.join(F.broadcast(known), "to_id", "left_anti")
-        near = units.select(F.col("id").alias("to_id"), cosine(F.col("embedding"), query).alias("sim"), F.coalesce(F.col("proximity"), F.lit(0.3)).alias("prox") if "proximity" in units.columns else F.lit(0.3).alias("prox"))
-        new = out.join(near, "to_id").where(F.col("sim") >= min_similarity)
-        new = new.groupBy("to_id").agg(F.max(F.greatest("prox", F.col("parent") * F.col("weight") * boost * decay)).alias("score"))
-        got = new.orderBy(F.desc("score"), F.asc("to_id")).limit(left).collect()
-        fresh = [(r.to_id, float(r.score), hop) for r in got]
-        seen += fresh
-        left -= len(fresh)
-        frontier = [r for r in fresh if r[1] > least]
-    return spark.createDataFrame([tuple(r) for r in seen], schema)
-
-
 def hydrate(hits: DataFrame, units: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Hits of an external index joined back to their units, in hit order; stale and weak hits are gone."""
     return hits.where(F.col("similarity") >= threshold).join(units, "id").orderBy("rank")

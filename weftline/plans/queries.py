@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from weftline.functions import scores, tags, temporal
 from weftline.functions import text as text_functions
 from weftline.functions.vector import cosine
-from weftline.operators import consolidate, entities, evidence, graph, ingest, links, postings, rerank, sampling, search, stats, vectors
+from weftline.operators import activation, consolidate, entities, evidence, graph, ingest, links, postings, rerank, sampling, search, stats, vectors
 from weftline.operators.rows import classify_changes, keyset_page, min_max, prefix_budget, ranked, round_robin, top_per, upsert
 from weftline.plans.recall import recall
 from weftline.sources import files, store
 from weftline.sources.fixtures import table, text_units, time_units, unit_entities, vector_units, with_tables
-from weftline.streaming import jobs
+from weftline.streaming import jobs, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,7 +153,9 @@ def session_expand(spark, sf):
 def spreading_activation(spark, sf):
     u = vector_units(spark, sf)
     e = links.temporal_links(u, ["fact_type"], 3, 3)
-    return search.spread_activation(u.where("id in (0, 3)").select("id"), e, u, one_vector(spark, sf), 40, min_similarity=-1.0)
+    one = F.lit(0).cast("long").alias("question")
+    asked = u.where("id = 0").select(one, "embedding")
+    return activation.spread(u.where("id in (0, 3)").select(one, "id"), asked, e, u, 40, min_similarity=-1.0).drop("question")
 
 
 @query(with_tables("vector_units", rest=f"""h AS (SELECT id + (CASE WHEN id % 5 = 0 THEN 1000000 ELSE 0 END) AS id, {SIM} AS similarity, row_number() OVER (ORDER BY {SIM} DESC, id) AS rank FROM vector_units WHERE {SIM} >= 0.1)
@@ -1078,3 +1080,29 @@ def recall_temporal(spark, sf):
     d, v = text_units(spark, sf), vector_units(spark, sf)
     u = v.select("id", "embedding", "fact_type").join(d.select("id", "text", "tags", "event_date"), "id").withColumn("proof_count", F.col("id") % 5)
     return recall(u, "The, of que, in January 2024?", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"])
+
+
+@query()
+def task_queue(spark, sf):
+    """The last state of each operation of a queue, six events each: the first submits it, the others are commands to it."""
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 6 == 0, "submit").when(F.col("event_type").isin("view", "click"), "claim").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("defer")
+    worker = F.concat(F.lit("w"), (F.floor(F.col("event_id") / 6) % 3).cast("string"))
+    at = F.timestamp_micros(F.col("event_id") * 45_000_000)
+    return tasks.replayed(e.select(F.floor(F.col("event_id") / 6).alias("operation_id"), F.col("event_id").alias("seq"), kind.alias("kind"), worker.alias("worker"), F.lit(None).cast("long").alias("seconds"), at.alias("at")))
+
+
+@query(with_tables("vector_units", rest=NEAR_SQL.format(part="fact_type", units="vector_units", on="a.fact_type = b.fact_type", side=3) + """,
+tl AS MATERIALIZED (SELECT from_id, to_id, round(greatest(0.3, 1 - hours / 24), 6) AS weight FROM r WHERE rank <= 3),
+e AS (SELECT q, unnest([3 * q, 3 * q + 1]) AS id FROM range(100) t(q)),
+new AS (SELECT e.q, tl.to_id AS id, max(greatest(0.3, 0.7 * tl.weight)) AS score FROM e JOIN tl ON tl.from_id = e.id JOIN embeddings v ON v.vec_id = e.q JOIN embeddings w ON w.vec_id = tl.to_id
+ LEFT JOIN e AS k ON k.q = e.q AND k.id = tl.to_id WHERE k.id IS NULL AND list_cosine_similarity(w.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS k FROM new)
+SELECT q AS question, id, 1.0::DOUBLE AS score, 0 AS hop FROM e UNION ALL SELECT q, id, score, 1 FROM b WHERE k <= 4"""))
+def activation_of_many(spark, sf):
+    """One hop of activation for a hundred questions in one run."""
+    u = vector_units(spark, sf)
+    q = spark.range(100).select(F.col("id").alias("question"))
+    asked = q.join(u.select(F.col("id").alias("question"), "embedding"), "question")
+    entries = q.select("question", F.explode(F.array(3 * F.col("question"), 3 * F.col("question") + 1)).alias("id"))
+    return activation.spread(entries, asked, links.temporal_links(u, ["fact_type"], 3, 3), u, 6, rounds=1, min_similarity=0.0)
