@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from weftline.plans import listing_queries  # noqa: F401  registers its queries
+from weftline.plans import listing_queries, view_queries  # noqa: F401  they register their queries
 from weftline.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")

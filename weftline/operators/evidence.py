@@ -82,7 +82,7 @@ def attach_chunks(facts: DataFrame, chunks: DataFrame, max_tokens: int) -> DataF
     """The chunks of ranked facts, each at its best fact's rank, within a token budget of their own."""
     best = facts.where("chunk_id is not null").groupBy("chunk_id").agg(F.min("rank").alias("rank"))
     j = best.join(chunks, "chunk_id").withColumn("tokens", token_estimate(F.col("chunk_text"))).withColumn("all", F.lit(1))
-    return prefix_budget(j, ["all"], [F.asc("rank"), F.asc("chunk_id")], F.col("tokens"), max_tokens).select("chunk_id", "rank", "tokens", "spent")
+    return prefix_budget(j, ["all"], [F.asc("rank"), F.asc("chunk_id")], F.col("tokens"), max_tokens, F.floor(F.col("rank") / 1_000)).select("chunk_id", "rank", "tokens", "spent")
 
 
 def packet(facts: DataFrame, by: list[str]) -> DataFrame:
