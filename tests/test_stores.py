@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from weftline.operators import docmodel, sampling
 from weftline.sources import files, store
 from weftline.streaming import jobs
@@ -36,11 +37,26 @@ def test_backup_and_restore(spark, tmp_path):
     t = {"memory_units": spark.range(5), "banks": spark.range(2)}
     assert [r.table_name for r in store.backup(t, str(tmp_path)).collect()] == ["banks", "memory_units"]
     assert {k: v.count() for k, v in store.restore(spark, str(tmp_path)).items()} == {"banks": 2, "memory_units": 5}
-    spark.range(1).write.mode("overwrite").parquet(f"{tmp_path}/banks")
+    spark.range(1).write.mode("overwrite").parquet(str(next(tmp_path.glob("*/banks"))))
     with pytest.raises(ValueError):
         store.restore(spark, str(tmp_path))
 
 
+def test_a_backup_is_of_one_state(spark, tmp_path):
+    for name in ("banks", "documents"):
+        spark.range(5).write.parquet(f"{tmp_path}/{name}")
+    t = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("documents", "banks")}
+    spark.range(5, 9).write.mode("append").parquet(f"{tmp_path}/documents")  # comes once the state is fixed
+    to = f"{tmp_path}/backup"
+    assert {r.table_name: r.row_count for r in store.backup(t, to).collect()} == {"banks": 5, "documents": 5}
+    broken = {"banks": t["banks"], "documents": t["documents"].select((F.col("id") + F.raise_error(F.lit("no"))).alias("id"))}
+    with pytest.raises(Exception, match="no"):
+        store.backup(broken, to)
+    assert {k: v.count() for k, v in store.restore(spark, to).items()} == {"banks": 5, "documents": 5}  # the one before
+    again = store.restore(spark, to, f"{tmp_path}/fresh")
+    assert list(again) == ["banks", "documents"] and all("/fresh/" in f for v in again.values() for f in v.inputFiles())
+
+
 def test_signature_and_fingerprint():
     assert store.sign("k", "v") == "sha256=" + __import__("hmac").new(b"k", b"v", "sha256").hexdigest()
     f = store.fingerprint("a", "b", 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,27 +19,52 @@ def _order(names: list[str]) -> list[str]:
     return sorted(names, key=lambda n: (TABLE_ORDER.index(n) if n in TABLE_ORDER else len(TABLE_ORDER), n))
 
 
+def _publish(spark: SparkSession, text: str, path: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    half, whole = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = whole.getFileSystem(conf)
+    out = fs.create(half, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(whole, False)
+    if not fs.rename(half, whole):
+        raise OSError(f"{path} was not published")
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Writes each table as Parquet and a manifest (table_name, row_count); returns the manifest."""
+    """Writes each table as Parquet and a manifest (table_name, row_count); returns the manifest.
+
+    All tables are of one state: a frame over files knows them from when it was made, and the lists of all are taken
+    before the first is copied, so what is written meanwhile is in none. The copies go to a folder of their own;
+    the manifest, published last, says which, so that a backup that breaks off leaves the one before as it was.
+    """
     spark = next(iter(tables.values())).sparkSession
-    rows = []
-    for name in _order(list(tables)):
-        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-        rows.append((name, spark.read.parquet(f"{path}/{name}").count()))
-    manifest = spark.createDataFrame(rows, "table_name string, row_count long")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
-
-
-def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a backup; fails if one has not as many rows as its manifest says."""
-    manifest = {r.table_name: r.row_count for r in spark.read.schema("table_name string, row_count long").json(f"{path}/manifest").collect()}
-    out = {}
-    for name in _order(list(manifest)):
-        out[name] = spark.read.parquet(f"{path}/{name}")
-        if (n := out[name].count()) != manifest[name]:
-            raise ValueError(f"{name} has {n} rows, the manifest says {manifest[name]}")
-    return out
+    names = _order(list(tables))
+    pinned = {n: set(tables[n].inputFiles()) for n in names}
+    folder, rows = uuid.uuid4().hex, []
+    for name in names:
+        if set(tables[name].inputFiles()) != pinned[name]:
+            raise ValueError(f"{name} changed while it was backed up")
+        tables[name].write.parquet(f"{path}/{folder}/{name}")
+        rows.append((name, spark.read.parquet(f"{path}/{folder}/{name}").count()))
+    _publish(spark, json.dumps({"folder": folder, "tables": rows}), f"{path}/manifest.json")
+    return spark.createDataFrame(rows, "table_name string, row_count long")
+
+
+def restore(spark: SparkSession, path: str, into: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a backup, what others point to first; fails if one has not as many rows as its manifest says. With `into` they
+    are written to a fresh folder there, and a manifest is published once all are complete."""
+    manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
+    counts, out = dict(manifest["tables"]), {}
+    for name in _order(list(counts)):
+        out[name] = spark.read.parquet(f"{path}/{manifest['folder']}/{name}")
+        if (n := out[name].count()) != counts[name]:
+            raise ValueError(f"{name} has {n} rows, the manifest says {counts[name]}")
+    if into is None:
+        return out
+    backup(out, into)
+    return restore(spark, into)
 
 
 def sign(secret: str, payload: str) -> str:
