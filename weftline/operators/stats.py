@@ -148,7 +148,7 @@ def claim_tasks(tasks: DataFrame, reserved: dict[str, int], shared: int) -> Data
 def purge_expired(cache: DataFrame, commands: DataFrame, now: str, limit: int) -> DataFrame:
     """Expired cache rows (key, expires_at) that no unfinished command (key, done) holds, the oldest first."""
     held = commands.where(~F.col("done")).select("key").distinct()
-    return cache.where(F.col("expires_at") < F.lit(now).cast("timestamp_ntz")).join(held, "key", "left_anti").orderBy("expires_at", "key").limit(limit)
+    return cache.where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz")).join(held, "key", "left_anti").orderBy("expires_at", "key").limit(limit)
 
 
 def select_by_manifest(units: DataFrame, path: str, value: str) -> DataFrame:

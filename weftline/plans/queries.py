@@ -864,7 +864,7 @@ def session_lengths(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("turns"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"))
 
 
-@query("WITH c AS (SELECT event_id AS key, ts AS expires_at FROM events WHERE event_type = 'view'), h AS (SELECT event_id - 1 AS key FROM events WHERE event_type = 'error') SELECT key FROM c WHERE expires_at < TIMESTAMP '2024-01-12' AND key NOT IN (SELECT key FROM h) ORDER BY expires_at, key LIMIT 200")
+@query("WITH c AS (SELECT event_id AS key, ts AS expires_at FROM events WHERE event_type = 'view'), h AS (SELECT event_id - 1 AS key FROM events WHERE event_type = 'error') SELECT key FROM c WHERE expires_at <= TIMESTAMP '2024-01-12' AND key NOT IN (SELECT key FROM h) ORDER BY expires_at, key LIMIT 200")
 def ttl_purge(spark, sf):
     t = time_units(spark, sf)
     cache = t.where("fact_type = 'view'").select(F.col("id").alias("key"), F.col("event_date").alias("expires_at"))
@@ -986,7 +986,9 @@ def tenant_keys(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), store.tenant_key(F.col("lang"), F.col("source")).alias("tenant"))
 
 
-@query()
+@query("""WITH h(hook_id, bank_id, event_type, i, o) AS (VALUES ('h1', 'b1', 'click', '4507', '2f6d'), ('h1', 'b1', 'view', '4507', '2f6d'), ('h3', 'b2', 'click', '4505', '2f6f')),
+e AS (SELECT event_id, event_type, 'b' || (user_id % 5) AS bank_id, props AS payload FROM events)
+SELECT event_id, hook_id, event_type, payload, 'sha256=' || sha256(unhex(o || repeat('5c', 62)) || unhex(sha256(unhex(i || repeat('36', 62)) || encode(coalesce(payload, ''))))) AS signature FROM e JOIN h USING (bank_id, event_type)""")
 def webhook_deliveries(spark, sf):
     e = time_units(spark, sf).select(F.col("id").alias("event_id"), F.col("fact_type").alias("event_type"), "bank_id", F.col("props").alias("payload"))
     h = spark.createDataFrame([("h1", "b1", ["click", "view"], "s1", True), ("h2", "b1", ["error"], "s2", False), ("h3", "b2", ["click"], "s3", True)], "hook_id string, bank_id string, event_types array<string>, secret string, enabled boolean")

@@ -8,6 +8,7 @@ from weftline.operators import consolidate, ingest, views
 from weftline.plans import queries as q
 from weftline.plans.queries import CHUNK_SQL, NTZ, OBS_SQL, query
 from weftline.sources.fixtures import table, text_units, time_units, with_tables
+from weftline.streaming import cache
 
 TAGGED = "d AS (SELECT o_orderkey AS id, o_orderkey // 40 AS document_id FROM orders), own AS (SELECT id FROM d WHERE document_id % 50 = 7)"
 
@@ -72,3 +73,34 @@ def evidence_spans(spark, sf):
     t = consolidate.trend(e, "id", F.col("event_date"), F.lit("2024-04-05").cast(NTZ))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return t.select("id", day("first").alias("first_day"), day("last").alias("last_day"), "n", "recent", F.round(F.col("recent") / 30.0, 6).alias("recent_density"))
+
+
+CACHE_SQL = """c AS (SELECT (event_id // 16)::VARCHAR AS key, event_id AS seq, CASE event_type WHEN 'view' THEN 'put' WHEN 'click' THEN 'pin' WHEN 'purchase' THEN 'release' END AS kind,
+ 'c' || (user_id % 3) AS command, epoch_us(ts) AS made, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) + 36 * 3600000000 END AS expires FROM events WHERE event_type IN ('view', 'click', 'purchase'))"""
+
+
+def _cache_commands(spark, sf):
+    t = time_units(spark, sf)
+    kind = F.when(F.col("fact_type") == "view", "put").when(F.col("fact_type") == "click", "pin").when(F.col("fact_type") == "purchase", "release")
+    expires = F.when(F.col("id") % 7 != 0, F.col("event_date") + F.expr("interval 36 hours"))
+    return t.select(F.floor(F.col("id") / 16).cast("string").alias("key"), F.col("id").alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), (F.col("document_id") % 3).cast("string")).alias("command"), expires.alias("expires"), F.col("event_date").alias("at")).where("kind is not null")
+
+
+@query(f"""WITH {CACHE_SQL}, h AS (SELECT *, lag(kind) OVER (PARTITION BY key, command ORDER BY made, seq) AS was FROM c WHERE kind <> 'put'),
+d AS (SELECT key, seq, made, CASE WHEN kind = 'pin' AND was IS DISTINCT FROM 'pin' THEN 1 WHEN kind = 'release' AND was = 'pin' THEN -1 ELSE 0 END AS change FROM h),
+p AS (SELECT key, made, seq, expires, coalesce(lead(made) OVER w, epoch_us(TIMESTAMP '2024-02-10')) AS renewed, lead(seq) OVER w AS by_seq FROM c WHERE kind = 'put' WINDOW w AS (PARTITION BY key ORDER BY made, seq)),
+m AS (SELECT key, seq, made, renewed, expires, greatest(expires, made) AS t FROM p WHERE expires IS NOT NULL
+ UNION ALL SELECT p.key, p.seq, p.made, renewed, expires, d.made FROM p JOIN d ON d.key = p.key AND d.made >= p.expires AND (d.made, d.seq) > (p.made, p.seq) WHERE change = -1),
+o AS (SELECT m.key, m.seq, m.expires, m.t, (SELECT coalesce(sum(change), 0) FROM d WHERE d.key = m.key AND (d.made < m.t OR d.made = m.t AND (m.t <> m.expires OR m.t = m.made OR change = -1))) AS pins FROM m WHERE m.t <= m.renewed AND m.t <= epoch_us(TIMESTAMP '2024-02-10'))
+SELECT key, expires, min(t) AS removed_at FROM o WHERE pins = 0 GROUP BY key, seq, expires""")
+def cache_removals(spark, sf):
+    return cache.removals(_cache_commands(spark, sf), "2024-02-10")
+
+
+@query("""WITH r AS (SELECT event_id - 1 AS key, event_id AS command, event_type <> 'error' AS done FROM events), c AS (SELECT event_id AS key, CASE WHEN event_id % 9 <> 0 THEN ts END AS expires_at FROM events WHERE event_type = 'view')
+SELECT key, command, expires_at IS NOT NULL AND expires_at <= TIMESTAMP '2024-01-12' AS pinned FROM r JOIN c USING (key) WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-12' OR NOT done""")
+def cache_lookup(spark, sf):
+    t = time_units(spark, sf)
+    entries = t.where("fact_type = 'view'").select(F.col("id").alias("key"), F.when(F.col("id") % 9 != 0, F.col("event_date")).alias("expires_at"))
+    commands = t.select((F.col("id") - 1).alias("key"), F.col("id").alias("command"), (F.col("fact_type") != "error").alias("done"))
+    return cache.lookup(commands.select("key", "command"), entries, commands, "2024-01-12").select("key", "command", "pinned")

@@ -7,7 +7,6 @@ import hmac
 import json
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,16 +70,21 @@ def sign(secret: str, payload: str) -> str:
     return "sha256=" + hmac.new(secret.encode(), payload.encode(), hashlib.sha256).hexdigest()
 
 
-def deliveries(events: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Event deliveries to make: each event (event_id, event_type, bank_id, payload) for each enabled hook
-    (hook_id, bank_id, event_types, secret) that asks for its type, with a signature."""
+def _pad(secret: Column, byte: int) -> Column:
+    """The key block of HMAC: the secret (or, over 64 bytes, its digest) filled up to 64 bytes, each combined with a fixed byte."""
+    raw = F.coalesce(secret, F.lit("")).cast("binary")
+    digits = F.rpad(F.when(F.length(raw) > 64, F.sha2(raw, 256)).otherwise(F.hex(raw)), 128, "0")
+    one = lambda i: F.lpad(F.hex(F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseXOR(F.lit(byte))), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), one), ""))
 
-    @F.pandas_udf("string")
-    def signed(secret: pd.Series, payload: pd.Series) -> pd.Series:
-        return pd.Series([sign(s or "", p or "") for s, p in zip(secret, payload, strict=True)])
 
-    h = hooks.where("enabled").withColumn("event_type", F.explode("event_types"))
-    return events.join(h, ["bank_id", "event_type"]).select("event_id", "hook_id", "event_type", "payload", signed("secret", "payload").alias("signature"))
+def deliveries(events: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Event deliveries to make: each event (event_id, event_type, bank_id, payload) for each enabled hook
+    (hook_id, bank_id, event_types, secret) that asks for its type, with a signature (HMAC-SHA256 of the payload; nulls are empty)."""
+    h = hooks.where("enabled").select("hook_id", "bank_id", F.explode(F.array_distinct("event_types")).alias("event_type"), _pad(F.col("secret"), 0x36).alias("inner"), _pad(F.col("secret"), 0x5C).alias("outer"))
+    inner = F.sha2(F.concat("inner", F.coalesce("payload", F.lit("")).cast("binary")), 256)
+    signature = F.concat(F.lit("sha256="), F.sha2(F.concat("outer", F.unhex(inner)), 256))
+    return events.join(h, ["bank_id", "event_type"]).select("event_id", "hook_id", "event_type", "payload", signature.alias("signature"))
 
 
 def fingerprint(provider: str, model: str, dimension: int) -> str:
