@@ -104,7 +104,7 @@ def test_structured_documents():
 
 def test_spaced_sample(spark):
     df = spark.createDataFrame([(1, float(i), float(v)) for i, v in enumerate([5, 9, 8, 1, 7, 2, 2, 2, 2, 6])], "p long, t double, v double")
-    got = sorted(r.t for r in sampling.spaced_sample(df, "p", "t", "v", 4, 3.0).collect())
+    got = sorted(r.t for r in sampling.spaced_sample(df, "p", "t", "v", "t", 4, 3.0).collect())
     assert got == [1.0, 4.0, 7.0, 9.0] or len(got) == 4 and all(b - a >= 1 for a, b in zip(got, got[1:], strict=False))
 
 

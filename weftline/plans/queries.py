@@ -14,6 +14,7 @@ from weftline.functions.vector import cosine
 from weftline.operators import activation, consolidate, entities, evidence, graph, ingest, links, postings, rerank, sampling, search, stats, vectors
 from weftline.operators.rows import classify_changes, keyset_page, min_max, prefix_budget, ranked, round_robin, top_per, upsert
 from weftline.plans.recall import recall
+from weftline.plans.registry import SearchConfig
 from weftline.sources import files, store
 from weftline.sources.fixtures import table, text_units, time_units, unit_entities, vector_units, with_tables
 from weftline.streaming import jobs, tasks
@@ -1022,7 +1023,13 @@ def local_peaks(spark, sf):
 @query()
 def spaced_sample(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("t"), "value")
-    return sampling.spaced_sample(e, "user_id", "t", "value", 5, 86_400.0)
+    return sampling.spaced_sample(e, "user_id", "t", "value", "event_id", 5, 86_400.0)
+
+
+@query()
+def scene_sample(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", ((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 1000).alias("t"), (F.col("value") / 100).alias("value"))
+    return sampling.scene_sample(e, "user_id", "t", "value", "event_id", most=8, slots=3, spacing=86_400_000.0, threshold=0.3)
 
 
 @query()
@@ -1084,6 +1091,26 @@ def recall_temporal(spark, sf):
     return recall(u, "The, of que, in January 2024?", one_vector(spark, sf), datetime(2024, 3, 1), limit=50, max_tokens=8000, tags=["en"])
 
 
+#: The graph's arm: semantic links either way, and what a choice by similarity takes for causes; 50 candidates are a share of 2000 tokens.
+CAUSAL_RECALL_SQL = RECALL_SQL.replace("UNION ALL SELECT * FROM lex)", "UNION ALL SELECT * FROM lex UNION ALL SELECT * FROM gr)").replace("<= 8000", "<= 2000").replace("f AS (SELECT id, round(sum(", """gl AS (SELECT id AS from_id, id + 1 AS to_id, 'causes' AS link_type, 0.5::DOUBLE + (id % 5) / 10.0::DOUBLE AS weight FROM u UNION ALL SELECT id, id + 7, 'semantic', 0.4::DOUBLE + (id % 6) / 10.0::DOUBLE FROM u),
+gs AS (SELECT id FROM sem WHERE rank <= 20), ca AS (SELECT to_id AS id, max(weight) AS w FROM gl WHERE link_type = 'semantic' AND weight >= 0.5 AND from_id IN (FROM gs) AND to_id IN (SELECT id FROM u) GROUP BY 1),
+se AS (SELECT id, max(weight) AS w FROM (SELECT to_id AS id, weight FROM gl WHERE link_type = 'semantic' AND from_id IN (FROM gs) UNION ALL SELECT from_id, weight FROM gl WHERE link_type = 'semantic' AND to_id IN (FROM gs)) WHERE id NOT IN (FROM gs) GROUP BY 1),
+gr AS (SELECT id, row_number() OVER (ORDER BY round(sum(w), 6) DESC, id) AS rank FROM (SELECT * FROM se UNION ALL SELECT * FROM ca) GROUP BY id QUALIFY rank <= 50),
+f AS (SELECT id, round(sum(""", 1)
+
+
+@query("WITH " + CAUSAL_RECALL_SQL)
+def recall_causal(spark, sf):
+    """Recall with an arm of the graph without entities, causes by a named strategy, and a budget that follows the tokens."""
+    d, v = text_units(spark, sf), vector_units(spark, sf)
+    u = v.select("id", "embedding", "fact_type").join(d.select("id", "text", "tags", "event_date"), "id").withColumn("proof_count", F.col("id") % 5)
+    seen = u.where(tags.visible(F.col("tags"), ["en"], "any", None))
+    links = seen.select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), F.lit("causes").alias("link_type"), (F.lit(0.5) + F.col("id") % 5 / 10.0).alias("weight"))
+    links = links.union(seen.select("id", F.col("id") + 7, F.lit("semantic"), F.lit(0.4) + F.col("id") % 6 / 10.0))
+    how = SearchConfig().override(causal="llm_dynamic")
+    return recall(u, "The, of que?", one_vector(spark, sf), datetime(2024, 3, 1), config=how, max_tokens=2000, tags=["en"], links=links, use_entities=False, budget="low", budget_by="adaptive")
+
+
 @query()
 def task_queue(spark, sf):
     """The last state of each operation of a queue, six events each: the first submits it, the others are commands to it."""

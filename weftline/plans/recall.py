@@ -49,10 +49,13 @@ def temporal(units: DataFrame, query: list[float], terms: list[str], limit: int,
 
 
 @register("graph_retrieval", "link_expansion")
-def link_expansion(seeds: DataFrame, links: DataFrame, unit_entities: DataFrame, limit: int, use_entities: bool = True) -> DataFrame:
+def link_expansion(seeds: DataFrame, links: DataFrame, unit_entities: DataFrame | None, limit: int, use_entities: bool = True, causal: DataFrame | None = None) -> DataFrame:
+    """Expansions of the seeds, merged: over shared entities (unless they are left out), semantic links, and causes (id, score), those
+    of the causal links if no others are given."""
     none = seeds.select("id", F.lit(0.0).alias("score")).limit(0)
     e = graph.entity_expansion(seeds, unit_entities, limit) if use_entities else none
-    return graph.merge(e, graph.semantic_expansion(seeds, links, limit), graph.causal_expansion(seeds, links, limit), limit)
+    c = graph.causal_expansion(seeds, links, limit) if causal is None else causal
+    return graph.merge(e, graph.semantic_expansion(seeds, links, limit), c, limit)
 
 
 for _name in ("rrf", "weighted", "simple"):
@@ -96,6 +99,18 @@ def chosen_by_similarity(seeds: DataFrame, links: DataFrame, units: DataFrame, k
     return top_per(s, ["from_id"], [F.desc("weight"), F.asc("to_id")], k)
 
 
+#: Fixed value: neighbours of one seed that a causal strategy may name.
+CAUSES_PER_SEED = 20
+
+
+def causes(name: str, seeds: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, score): the facts that a causal strategy reaches from the seeds, each by its strongest link. Strategies of sessions and
+    documents need document_id in the units."""
+    found = get("causal", name)(seeds, links, units, CAUSES_PER_SEED)
+    found = found.select(F.col("to_id").alias("id"), "weight") if "to_id" in found.columns else found.select("id", F.col("similarity").alias("weight"))
+    return found.join(units.select("id"), "id", "left_semi").groupBy("id").agg(F.max("weight").alias("score"))
+
+
 def recall(
     units: DataFrame,
     query: str,
@@ -113,14 +128,20 @@ def recall(
     unit_entities: DataFrame | None = None,
     window: tuple[datetime, datetime] | None = None,
     index: postings.Postings | None = None,
+    budget: str | None = None,
+    budget_by: str = "fixed",
+    use_entities: bool = True,
 ) -> DataFrame:
     """Facts that answer a query, best first, within a budget of tokens: id, rank, score, tokens.
 
     units: id, text, embedding, fact_type, tags, event_date, proof_count, and the times of what they tell where they
     are known. Filters hold in every arm. A time window, given or else named by the query, adds an arm of its entry
     points and boosts the facts inside. The candidates are the best 300 of the fusion, so the windows after it see
-    few rows.
+    few rows. A budget (low, mid, high; fixed numbers, or a share of max_tokens if budget_by is "adaptive") sets how
+    many facts each arm may give in place of `limit`. With links an arm of the graph is added, whose causes come from
+    the configured strategy; without entities, or where they are not to be used, it has no entity part.
     """
+    limit = scores.budget(budget, max_tokens, budget_by) if budget else limit
     terms = sorted({w for q in get("query_rewriting", config.query_rewriting)(query) for w in words(q)})
     if not words(query) or max(len(words(query)), -(-len(query) // 4)) > 500:
         raise ValueError("a query has 1 to 500 tokens")
@@ -129,9 +150,10 @@ def recall(
     lists = get("retrieval", config.retrieval)(seen, vector, terms, limit, window, index)
     if window and config.retrieval != "temporal":
         lists = lists.union(get("retrieval", "temporal")(seen, vector, terms, limit, window, index))
-    if links is not None and unit_entities is not None:
+    if links is not None:
         seeds = search.semantic_arm(seen, vector, 20).orderBy(F.desc("similarity"), "id").limit(20).select("id")
-        g = get("graph_retrieval", config.graph_retrieval)(seeds, links, unit_entities, limit)
+        entities = use_entities and unit_entities is not None
+        g = get("graph_retrieval", config.graph_retrieval)(seeds, links, unit_entities, limit, entities, causes(config.causal, seeds, links, seen))
         r = ranked(g.withColumn("all", F.lit(1)), ["all"], [F.desc(F.round("activation", 6)), F.asc("id")])
         lists = lists.union(r.select(F.lit("graph"), "id", "rank"))
     fused = get("fusion", config.fusion)(lists).where(F.col("rank") <= candidates)
