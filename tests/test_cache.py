@@ -77,6 +77,7 @@ def test_stream_equals_batch(spark, tmp_path):
     read = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     q = cache.removals_stream(read).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda d, i: seen.extend(d.collect())).trigger(availableNow=True).start()
     assert q.awaitTermination(200) and q.exception() is None
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted((r.key, r.expires, r.removed_at) for r in seen) == want
 
 

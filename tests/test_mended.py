@@ -37,3 +37,15 @@ def test_many_tags(spark):
     assert consolidate.scopes(df(6), "all_combinations").count() == 63
     with pytest.raises(Exception, match="too many tags"):
         consolidate.scopes(df(31), "all_combinations").count()
+
+
+def test_modes_of_a_document_agree(spark):
+    import pytest
+    from weftline.operators import ingest
+
+    rows = [(1, 1, "a", "append"), (1, 2, None, "append"), (2, 1, "a", None), (2, 2, "b", "append"), (2, 3, "a", "replace")]
+    schema = "batch_id long, item long, document_id string, update_mode string"
+    got = {(r.batch_id, r.target): (r["items"], r.update_mode) for r in ingest.group_modes(ingest.group_items(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {(1, "a"): (2, "append"), (2, "a"): (2, "replace"), (2, "b"): (1, "append")}
+    with pytest.raises(Exception, match="conflicting update modes for document a: append, replace"):
+        ingest.group_modes(ingest.group_items(spark.createDataFrame([*rows, (2, 4, "a", "append")], schema))).collect()

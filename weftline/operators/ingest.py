@@ -211,6 +211,15 @@ def group_items(items: DataFrame, batch_document: str | None = None) -> DataFram
     return items.withColumn("target", F.coalesce("document_id", F.when(n == 1, only), made))
 
 
+def group_modes(grouped: DataFrame) -> DataFrame:
+    """(batch_id, target, items, update_mode) of grouped items: the one mode of each document, replace where none is named. Items of a
+    document that ask for different modes are an error when the rows are read."""
+    mode = F.coalesce("update_mode", F.lit("replace"))
+    g = grouped.groupBy("batch_id", "target").agg(F.count(F.lit(1)).alias("items"), F.min(mode).alias("least"), F.max(mode).alias("most"))
+    wrong = F.raise_error(F.concat(F.lit("conflicting update modes for document "), F.col("target"), F.lit(": "), F.col("least"), F.lit(", "), F.col("most")))
+    return g.select("batch_id", "target", "items", F.when(F.col("least") != F.col("most"), wrong).otherwise(F.col("least")).alias("update_mode"))
+
+
 def collapse_verbatim(facts: DataFrame) -> DataFrame:
     """One fact per chunk: the first fact's text, all entities of its facts once."""
     g = facts.groupBy("chunk_id").agg(F.min_by("text", F.struct("position", "text")).alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"))

@@ -692,6 +692,16 @@ def document_grouping(spark, sf):
     return ingest.group_items(i).select("batch_id", "item", "target")
 
 
+@query("""WITH i AS (SELECT l_orderkey AS b, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 THEN 'p' || (l_partkey % 8) END AS d, CASE WHEN l_orderkey % 3 = 0 THEN 'append' END AS m FROM lineitem),
+g AS (SELECT *, count(DISTINCT d) OVER (PARTITION BY b) AS k, max(d) OVER (PARTITION BY b) AS o FROM i), t AS (SELECT b, m, coalesce(d, CASE WHEN k = 1 THEN o END, 'doc-' || b || '-' || n) AS target FROM g)
+SELECT b AS batch_id, target, count(*) AS items, coalesce(max(m), 'replace') AS update_mode FROM t GROUP BY 1, 2""")
+def document_modes(spark, sf):
+    p, b = F.col("l_partkey"), F.col("l_orderkey")
+    document = F.when(p % 4 == 0, F.concat(F.lit("p"), (p % 8).cast("string"))).alias("document_id")
+    i = table(spark, sf, "lineitem").select(b.alias("batch_id"), F.col("l_linenumber").alias("item"), document, F.when(b % 3 == 0, "append").alias("update_mode"))
+    return ingest.group_modes(ingest.group_items(i))
+
+
 # --- consolidation -------------------------------------------------------------------------------
 
 
