@@ -67,17 +67,24 @@ def wide_series(rows: DataFrame, fields: list[str], kind: str, kinds: list[str],
     return spine.join(got, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in [*kinds, "total"]])
 
 
-def apply_template(existing: DataFrame, template: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows after the template, what it did to each of its keys): a key that exists takes the fields that the template
-    gives, null fields are not given; others are created; keys that the template has not stay as they are."""
+def with_template(existing: DataFrame, template: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fields, action): the rows after the template, each with what it did to it, null where it names none. A key that
+    exists takes the fields that the template gives, null fields are not given; others are created; keys that the
+    template has not stay as they are. A key that the template has twice is a row for each."""
     mark = lambda df, side: df.select(key, F.struct(*fields).alias(side))
     both = mark(existing, "was").join(mark(template, "new"), key, "full")
     pick = [F.coalesce(F.col(f"new.{f}"), F.col(f"was.{f}")).alias(f) for f in fields]
     same = F.lit(True)
     for f in fields:
         same = same & F.coalesce(F.col(f"new.{f}"), F.col(f"was.{f}")).eqNullSafe(F.col(f"was.{f}"))
-    what = F.when(F.col("was").isNull(), "create").when(same, "keep").otherwise("update")
-    return both.select(key, *pick), both.where(F.col("new").isNotNull()).select(key, what.alias("action"))
+    what = F.when(F.col("new").isNull(), F.lit(None)).when(F.col("was").isNull(), "create").when(same, "keep").otherwise("update")
+    return both.select(key, *pick, what.alias("action"))
+
+
+def apply_template(existing: DataFrame, template: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows after the template, what it did to each of its keys), as in with_template()."""
+    both = with_template(existing, template, key, fields)
+    return both.drop("action"), both.where("action is not null").select(key, "action")
 
 
 def documents_by_manifest(units: DataFrame, path: str, value: str) -> DataFrame:

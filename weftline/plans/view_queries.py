@@ -56,8 +56,7 @@ def template_apply(spark, sf):
     old = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     some = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit("*"))).alias("name"), F.when(F.col("p_size") % 5 == 0, F.col("p_brand")).alias("brand"))
     new = old.where("key < 20").select(F.col("key") + 1_000_000, "name", F.lit(None).cast("string"))
-    rows, actions = views.apply_template(old, some.union(new), "key", ["name", "brand"])
-    return rows.join(actions, "key", "left")
+    return views.with_template(old, some.union(new), "key", ["name", "brand"])
 
 
 @query("SELECT CASE WHEN user_id % 3 <> 0 THEN user_id END AS document_id, count(*) AS units FROM events WHERE props->>'$.k' = '3' GROUP BY 1")
