@@ -3,7 +3,9 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from weftline.functions import scores
+from weftline.operators.rows import ranked_by_cuts
 from weftline.plans import recall as plan
 from weftline.plans.registry import SearchConfig, names
 
@@ -46,3 +48,16 @@ def test_budgets(spark, world):
     assert scores.budget("low", 4000, "no such rule") == 100
     u, _, _ = world
     assert plan.recall(u, "fact", [1.0, 0.0], NOW, budget="low").count() > 0
+
+
+def test_similar_facts_have_no_cap_by_type(spark, world):
+    """Four facts of one type are over the threshold, more than the limit of the other arms."""
+    u, _, _ = world
+    assert {r.id for r in plan.recall(u, "nothing known", [1.0, 0.0], NOW, limit=2).collect()} == {0, 1, 2, 3}
+
+
+def test_ranks_by_cuts_are_those_of_one_window(spark):
+    rows = spark.range(200).selectExpr("id", "cast(id * 7 % 5 as double) as similarity")
+    got = [(r.id, r["rank"]) for r in ranked_by_cuts(rows, -F.col("similarity"), [F.asc("id")]).orderBy("rank").collect()]
+    want = sorted(range(200), key=lambda i: (-(i * 7 % 5), i))
+    assert got == [(i, n + 1) for n, i in enumerate(want)]

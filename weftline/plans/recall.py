@@ -12,7 +12,7 @@ from weftline.functions.tags import visible
 from weftline.functions.temporal import best_micros, overlaps, period, proximity
 from weftline.functions.text import words
 from weftline.operators import graph, postings, rerank, search
-from weftline.operators.rows import prefix_budget, ranked
+from weftline.operators.rows import prefix_budget, ranked, ranked_by_cuts
 from weftline.plans.registry import SearchConfig, get, register
 
 
@@ -31,9 +31,9 @@ def timed(units: DataFrame) -> DataFrame:
 @register("retrieval", "semantic_bm25")
 def semantic_bm25(units: DataFrame, query: list[float], terms: list[str], limit: int, window: tuple[datetime, datetime] | None = None, index: postings.Postings | None = None) -> DataFrame:
     """(source, id, rank) of the semantic and the lexical arm; with an index that reads its postings, and words weigh as in all it
-    holds."""
-    s = search.semantic_arm(units, query, limit).select("id", "similarity")
-    s = ranked(s.withColumn("all", F.lit(1)), ["all"], [F.desc("similarity"), F.asc("id")])
+    holds. All that is similar enough has its rank in the semantic arm, so that a match by words is helped by it from any place;
+    the limit is the lexical arm's."""
+    s = ranked_by_cuts(search.similar(units, query), -F.col("similarity"), [F.asc("id")])
     b = postings.bm25(index, terms, limit, keep=units) if index else search.bm25(units, terms).orderBy(F.desc(F.round("bm25", 6)), F.asc("id")).limit(limit)
     b = ranked(b.withColumn("all", F.lit(1)), ["all"], [F.desc(F.round("bm25", 6)), F.asc("id")])
     return s.select(F.lit("semantic").alias("source"), "id", "rank").union(b.select(F.lit("bm25"), "id", "rank"))
