@@ -83,3 +83,15 @@ def test_update_and_nothing(spark):
     assert vectors.neighbours(none, 3, 0.3).count() == 0
     empty = vectors.build(none)
     assert vectors.search(empty, none, 3).count() == 0 and vectors.probes_for(empty) == 1
+
+
+def test_blocks_are_dealt_to_groups(spark, monkeypatch):
+    """Groups of both sides meet, and no join sends a block to each cell that it is compared with."""
+    monkeypatch.setattr(vectors, "PER_CELL", 10)
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(vectors, "GROUPS", 3)
+    x = clustered(90, 5, 8, seed=9) + [[1.0] * 8] * 9
+    got = vectors.neighbours(frame(spark, x), 4, 0.2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "q_cell" not in plan
+    same(triples(got.collect()), brute(x, 4, 0.2))

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ FIT_EACH, MOST_CENTRES = 40, 2_048
 PER_CELL = 256
 #: Distinct vectors of a block.
 BLOCK = 512
+#: Groups of blocks: how often a block travels where all blocks are compared.
+GROUPS = 16
 #: Cells that a query is compared with first.
 PROBES = 8
 #: Room for rounding in angles.
@@ -130,57 +134,103 @@ def _blocks(rows: DataFrame, cell: str, key: str, *cols: str) -> DataFrame:
     return cut.groupBy(cell, "block").agg(F.max("angle").alias("spread"), F.collect_list(F.struct(key, *cols)).alias("rows"))
 
 
+def _struct(rows: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Where each list of structs begins and ends, and the structs of all."""
+    offsets = rows.offsets.to_numpy()
+    return offsets - offsets[0], rows.flatten()
+
+
+def _vectors(structs: pa.StructArray) -> np.ndarray:
+    return _unit(pc.struct_field(structs, "embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(structs), -1).astype(float))
+
+
+def _asked(structs: pa.StructArray, threshold: float, by_floor: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The queries of structs and the similarity that each asks for."""
+    q = pc.struct_field(structs, "query").to_numpy()
+    return q, np.maximum(threshold, pc.struct_field(structs, "floor").to_numpy()) if by_floor else np.full(len(q), threshold)
+
+
+def _over(q: np.ndarray, a: np.ndarray, floor: np.ndarray, b: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, similarity) of the pairs of rows of a and b at or over each query's floor, ties of the k-th with it."""
+    s = np.round(a @ b.T, PLACES)
+    if s.shape[1] > k:
+        # More than k columns over a query's k-th cannot be needed, but for ties.
+        floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    i, j = np.nonzero(s >= floor[:, None])
+    start, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+    many = np.diff(start)[j]
+    at = np.repeat(np.arange(len(i)), many)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    return q[i[at]], flat[start[j[at]] + place], s[i, j][at]
+
+
+def _top(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query."""
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+    keep = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) < k
+    return q[keep], ids[keep], s[keep]
+
+
+FOUND = "query long, id long, similarity double"
+
+
 def _multiply(pairs: DataFrame, k: int, threshold: float, by_floor: bool) -> DataFrame:
     """(query, id, similarity) of the best k for each query of each pair of blocks (left: query, embedding, floor; right: ids,
-    embedding), at or over the threshold and the query's floor."""
+    embedding), at or over the threshold and the query's floor. Blocks stay Arrow arrays: a task holds the vectors and
+    no objects."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                q = np.array([r["query"] for r in left])
-                a = _unit(np.array([r["embedding"] for r in left], float))
-                b = _unit(np.array([r["embedding"] for r in right], float))
-                s = np.round(a @ b.T, PLACES)
-                floor = np.array([max(threshold, r["floor"]) for r in left]) if by_floor else np.full(len(q), threshold)
-                if s.shape[1] > k:
-                    # More than k columns over a query's k-th cannot be needed, but for ties.
-                    floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-                i, j = np.nonzero(s >= floor[:, None])
-                ids = [right[x]["ids"] for x in range(len(right))]
-                many = np.array([len(x) for x in ids])
-                at = np.repeat(np.arange(len(i)), many[j])
-                flat = np.concatenate([ids[x] for x in j]) if len(j) else np.zeros(0, np.int64)
-                yield pd.DataFrame({"query": q[i[at]], "id": flat, "similarity": s[i, j][at]})
-
-    return pairs.select("left", "right").mapInPandas(run, "query long, id long, similarity double")
+            for n in range(batch.num_rows):
+                left, right = (_struct(batch.column(side).slice(n, 1))[1] for side in (0, 1))
+                q, floor = _asked(left, threshold, by_floor)
+                out = _top(*_over(q, _vectors(left), floor, _vectors(right), pc.struct_field(right, "ids"), k), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query", "id", "similarity"])
+
+    return pairs.select("left", "right").mapInArrow(run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     return top_per(found, ["query"], [F.desc("similarity"), F.asc("id")], k)
 
 
-def _near_cells(centres: np.ndarray, queries: DataFrame, targets: DataFrame, widest: float) -> DataFrame:
-    """(q_cell, cell) of which some query and target may be within the widest angle: a pair of cells, both few."""
-    spread = {c: np.full(len(centres), -1.0) for c in ("q", "t")}
-    side = lambda name, blocks: blocks.select(F.lit(name).alias("side"), "cell", "spread")
-    for r in side("q", queries).union(side("t", targets)).groupBy("side", "cell").agg(F.max("spread").alias("s")).collect():  # a row for each cell
-        spread[r.side][r.cell] = r.s
-    angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
-    ok = (spread["q"] >= 0)[:, None] & (spread["t"] >= 0)[None, :] & (angle - spread["q"][:, None] - spread["t"][None, :] <= widest + SLACK)
-    i, j = np.nonzero(ok)
-    frame = pd.DataFrame({"q_cell": i.astype("int32"), "t_cell": j.astype("int32"), "between": angle[i, j]})
-    return queries.sparkSession.createDataFrame(frame, "q_cell int, t_cell int, between double")
-
-
 def _compared(left: DataFrame, right: DataFrame, centres: np.ndarray, k: int, threshold: float, by_floor: bool = False) -> DataFrame:
     """The best k for each query of all pairs of blocks (cell, block, spread, widest, rows and cell, block, spread, rows) that can
-    hold one: within the widest angle that the queries of a block reach."""
-    widest = left.agg(F.max("widest")).first()[0]
-    cells = _near_cells(centres, left, right, np.pi if widest is None else widest)
-    t = right.select(F.col("cell").alias("t_cell"), F.col("spread").alias("t_spread"), F.col("rows").alias("right"))
-    pairs = left.withColumnsRenamed({"cell": "q_cell", "rows": "left"}).join(F.broadcast(cells), "q_cell").join(t, "t_cell")
-    pairs = pairs.where(F.col("between") - F.col("spread") - F.col("t_spread") <= F.col("widest") + SLACK)
-    return _best(_multiply(pairs, k, threshold, by_floor), k)
+    hold one: within the widest angle that the queries of a block reach.
+
+    Blocks are dealt to groups, and a task compares one group of each side. So a block travels GROUPS times, however many
+    others it is compared with, and a query leaves k answers for a group.
+    """
+    groups = max(1, min(GROUPS, right.count()))
+    ship(left.sparkSession)
+    group = F.pmod(F.xxhash64("cell", "block"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    a = left.select("cell", "spread", "widest", "rows", group.alias("i")).withColumn("j", every)
+    b = right.select(F.col("cell").alias("t_cell"), F.col("spread").alias("t_spread"), F.col("rows").alias("t_rows"), group.alias("j")).withColumn("i", every)
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if one.num_rows and other.num_rows:
+            (at, asked), (to, targets) = (_struct(t[c].combine_chunks()) for t, c in ((one, "rows"), (other, "t_rows")))
+            q, floor = _asked(asked, threshold, by_floor)
+            x, y, ids = _vectors(asked), _vectors(targets), pc.struct_field(targets, "ids")
+            cells, spread, widest = (one[c].to_numpy() for c in ("cell", "spread", "widest"))
+            between = np.arccos(np.clip(centres[cells] @ centres[other["t_cell"].to_numpy()].T, -1, 1))
+            near = between - spread[:, None] - other["t_spread"].to_numpy()[None, :] <= widest[:, None] + SLACK
+            for n in range(len(cells)):
+                mine = slice(at[n], at[n + 1])
+                rows = np.concatenate([np.arange(to[m], to[m + 1]) for m in np.flatnonzero(near[n])] or [np.zeros(0, np.int64)])
+                best = found[0]
+                for lo in range(0, len(rows), 8 * BLOCK):
+                    some = rows[lo : lo + 8 * BLOCK]
+                    more = _over(q[mine], x[mine], floor[mine], y[some], ids.take(pa.array(some)), k)
+                    best = _top(*(np.concatenate(c) for c in zip(best, more, strict=True)), k)
+                found.append(best)
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "id", "similarity"])
+
+    return _best(a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, FOUND), k)
 
 
 def _reach(floor: Column) -> Column:
