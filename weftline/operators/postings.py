@@ -13,6 +13,7 @@ readers take each block from the newest segment that has its counts.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,13 @@ from weftline.sources.stored import built_once
 
 #: Documents of a block, about; partitions of terms.
 BLOCK_DOCS, BUCKETS = 1_000, 64
+#: Blocks that a task of the build inverts, and blocks whose rows of a partition of terms one task sorts.
+TASK_BLOCKS, SLICE_BLOCKS = 4, 250
 SCHEMAS = {
     "postings": "term string, block int, most int, least int, df int, entries array<struct<id: long, tf: int, length: int, positions: array<int>>>, segment int, bucket int",
     "blocks": "block int, docs long, words long, parts int, segment int",
 }
+ROWS = "term string, block int, most int, least int, df int, entries array<struct<id: bigint, tf: int, length: int, positions: array<int>>>"
 #: Blocks that are scored for a floor before the others.
 FIRST = 8
 K1, B = 1.2, 0.75
@@ -64,17 +68,49 @@ def _block(parts: Column) -> Column:
     return F.pmod(F.xxhash64("id"), parts).cast("int")
 
 
+def _inverted() -> Callable:
+    """From the documents of a block (id, block, words) the rows of its terms."""
+    import numpy as np
+    import pyarrow as pa
+
+    def invert(docs: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        words, ids = (pa.concat_arrays(docs[c].chunks) for c in ("words", "id"))
+        length = np.diff(words.offsets.to_numpy())
+        parent = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        at = np.arange(len(parent)) - np.repeat(np.cumsum(length) - length, length) + 1
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        # Words stand in order of document and place, and a stable sort by term keeps that.
+        order = np.argsort(code, kind="stable")
+        code, parent = code[order], parent[order]
+        changes = lambda *x: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)])) if len(x[0]) else np.zeros(0, np.int64)
+        entry = changes(code, parent)
+        tf, doc, own = np.diff(np.append(entry, len(code))), parent[entry], code[entry]
+        term = changes(own)
+        ints = lambda x: pa.array(x, pa.int32())
+        places = pa.ListArray.from_arrays(ints(np.append(entry, len(code))), ints(at[order]))
+        each = pa.StructArray.from_arrays([ids.take(pa.array(doc)), ints(tf), ints(length[doc]), places], ["id", "tf", "length", "positions"])
+        ends = np.append(term, len(own))
+        bounds = [ints(np.maximum.reduceat(tf, term)), ints(np.minimum.reduceat(length[doc], term))] if len(term) else [ints([]), ints([])]
+        block = ints(np.full(len(term), docs["block"][0].as_py()))
+        columns = [coded.dictionary.take(pa.array(own[term])), block, *bounds, ints(np.diff(ends)), pa.ListArray.from_arrays(ints(ends), each)]
+        return pa.Table.from_arrays(columns, ["term", "block", "most", "least", "df", "entries"])
+
+    return invert
+
+
 def _write(units: DataFrame, parts: int, path: str, segment: int, touched: DataFrame | None = None) -> None:
     """A segment of the blocks of units (id, text), and of those that were touched and may now be empty."""
     spark = units.sparkSession
-    placed = units.select("id", _block(F.lit(parts)).alias("block"), tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    flat = placed.select("id", "block", F.size("words").alias("length"), F.posexplode("words").alias("at", "term"))
-    each = flat.groupBy("term", "block", "id", "length").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
-    entry = F.struct("id", F.size("positions").alias("tf"), "length", "positions")
-    rows = each.groupBy("term", "block").agg(F.collect_list(entry).alias("entries"))
-    bounds = [F.array_max(F.transform("entries", lambda e: e["tf"])).alias("most"), F.array_min(F.transform("entries", lambda e: e["length"])).alias("least"), F.size("entries").alias("df")]
-    out = rows.select("term", "block", *bounds, "entries", _bucket(F.col("term")).alias("bucket"))
-    out.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    text = F.coalesce("text", F.lit(""))
+    # Texts are dealt, a few blocks to a task, and cut into words where they arrive; no word travels alone.
+    dealt = units.select("id", _block(F.lit(parts)).alias("block"), text.alias("text")).repartition(-(-parts // TASK_BLOCKS), "block").sortWithinPartitions("block")
+    rows = dealt.select("id", "block", tokens(F.col("text")).alias("words")).groupBy("block").applyInArrow(_inverted(), ROWS)
+    out = rows.withColumn("bucket", _bucket(F.col("term"))).withColumn("slice", F.col("block") % F.lit(slices := -(-parts // SLICE_BLOCKS)))
+    out = out.repartition(BUCKETS * slices, "bucket", "slice").drop("slice")
+    out.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    placed = units.select(_block(F.lit(parts)).alias("block"), tokens(text).alias("words"))
     counts = placed.groupBy("block").agg(F.count_if(F.size("words") > 0).alias("docs"), F.sum(F.size("words")).alias("words"))
     every = spark.range(parts).select(F.col("id").cast("int").alias("block")) if touched is None else touched
     counts = every.join(counts, "block", "left").select("block", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("words", F.lit(0)).alias("words"), F.lit(parts).alias("parts"))
