@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scores import idf_weight
-from weftline.operators.rows import top_per
+from weftline.operators.rows import dealt, top_per
+from weftline.sources.stored import written
 
 CAUSAL = ("causes", "caused_by", "enables", "prevents")
 
@@ -72,18 +73,22 @@ def hybrid_causal(seeds: DataFrame, links: DataFrame, per_seed: int, fallback_we
     return top_per(causal.unionByName(rest), ["from_id"], [F.desc("weight"), F.asc("to_id"), F.asc("link_type")], per_seed)
 
 
-def temporal_causal(seeds: DataFrame, links: DataFrame, units: DataFrame, per_seed: int) -> DataFrame:
-    """Neighbours over temporal links in either direction; weight: the larger of the link's and the closeness."""
+def temporal_causal(seeds: DataFrame, links: DataFrame, units: DataFrame, per_seed: int, each: int = 1_000_000) -> DataFrame:
+    """Neighbours over temporal links in either direction; weight: the larger of the link's and the closeness. A task
+    holds about `each` links."""
     from weftline.functions.temporal import hours_between
 
-    t = links.where("link_type = 'temporal'")
-    both = t.select("from_id", "to_id", "weight").union(t.select("to_id", "from_id", "weight")).join(seeds.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    t = written(links.where("link_type = 'temporal'").select("from_id", "to_id", "weight"))
+    rows = 2 * t.count()
+    ways = F.explode(F.array(F.struct("from_id", "to_id", "weight"), F.struct(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "weight")))
+    both = dealt(t.select(ways.alias("x")).select("x.*"), rows, ["from_id"], each).join(dealt(seeds.select(F.col("id").alias("from_id")), rows, ["from_id"], each), "from_id", "left_semi")
     both = both.groupBy("from_id", "to_id").agg(F.max("weight").alias("weight"))
-    when = units.select("id", "event_date")
-    dated = both.join(when.withColumnsRenamed({"id": "from_id", "event_date": "a"}), "from_id").join(when.withColumnsRenamed({"id": "to_id", "event_date": "b"}), "to_id")
+    when = lambda end, out: dealt(units.select(F.col("id").alias(end), F.col("event_date").alias(out)), rows, [end], each)
+    dated = dealt(both.join(when("from_id", "a"), "from_id"), rows, ["to_id"], each).join(when("to_id", "b"), "to_id")
     h = hours_between(F.col("a"), F.col("b"))
     near = F.when(h <= 24, F.greatest(F.lit(0.3), 1 - h / 24)).otherwise(0.0)
-    return top_per(dated.select("from_id", "to_id", F.round(F.greatest("weight", near), 6).alias("weight")), ["from_id"], [F.desc("weight"), F.asc("to_id")], per_seed)
+    out = dated.select("from_id", "to_id", F.round(F.greatest("weight", near), 6).alias("weight"))
+    return top_per(dealt(out, rows, ["from_id"], each), ["from_id"], [F.desc("weight"), F.asc("to_id")], per_seed)
 
 
 def session_causal(seeds: DataFrame, links: DataFrame, units: DataFrame, limit: int, threshold: float = 0.3) -> DataFrame:
@@ -109,13 +114,17 @@ def fact_counts(unit_entities: DataFrame) -> DataFrame:
     return unit_entities.groupBy("entity_id").agg(F.count_distinct("unit_id").alias("fact_count"))
 
 
-def cooccurrence(unit_entities: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+def cooccurrence(unit_entities: DataFrame, dates: DataFrame | None = None, each: int = 1_000_000) -> DataFrame:
     """(e1, e2, n): unordered pairs of entities and the units that hold both; with dates(unit_id, event_date)
-    also when last. Pairs form inside one unit, whose entities are few."""
-    u = unit_entities if dates is None else unit_entities.join(dates, "unit_id", "left")
-    date = [] if dates is None else [F.max("event_date").alias("last")]
-    pairs = u.alias("a").join(unit_entities.alias("b"), F.expr("a.unit_id = b.unit_id and a.entity_id < b.entity_id"))
-    return pairs.groupBy(F.col("a.entity_id").alias("e1"), F.col("b.entity_id").alias("e2")).agg(F.count(F.lit(1)).alias("n"), *date)
+    also when last. Pairs form inside one unit, whose entities are few. A task holds about `each` rows or pairs."""
+    stored = written(unit_entities.select("unit_id", "entity_id"))
+    rows = stored.count()
+    u = dealt(stored, rows, ["unit_id"], each)
+    a = u if dates is None else u.join(dealt(dates, rows, ["unit_id"], each), "unit_id", "left")
+    date = [] if dates is None else ["event_date"]
+    pairs = a.alias("a").join(u.alias("b"), F.expr("a.unit_id = b.unit_id and a.entity_id < b.entity_id"))
+    pairs = pairs.select(F.col("a.entity_id").alias("e1"), F.col("b.entity_id").alias("e2"), *date)
+    return dealt(pairs, 2 * rows, ["e1", "e2"], each).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"), *[F.max(d).alias("last") for d in date])
 
 
 def entity_graph(pairs: DataFrame, least: int, limit: int) -> tuple[DataFrame, DataFrame]:
