@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -134,8 +134,16 @@ def replayed(commands: DataFrame, attempts: int = ATTEMPTS, delay: int = DELAY)
 
     ship(commands.sparkSession)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        got = replay([{**r, "worker": r["worker"], "seconds": None if pd.isna(r["seconds"]) else r["seconds"]} for r in rows.to_dict("records")], attempts, delay)
-        return pd.DataFrame([] if got is None else [{"operation_id": key[0], **got}], columns=["operation_id", "status", "attempts", "worker", "due", "at", "seq"])
+    names = RESULT.replace(",", "").split()[::2]
 
-    return commands.withColumn("at", F.unix_micros("at")).groupBy("operation_id").applyInPandas(run, RESULT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            operations, lists = batch.to_pydict().values()
+            got = [{"operation_id": o, **state} for o, c in zip(operations, lists, strict=True) if (state := replay(c, attempts, delay)) is not None]
+            columns = [pa.array([g[n] for g in got], kind) for n, kind in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    command = F.struct("kind", "worker", "seconds", F.unix_micros("at").alias("at"), "seq")
+    # A row for each operation, not a group: Python takes thousands of operations at once.
+    return commands.groupBy("operation_id").agg(F.collect_list(command).alias("commands")).mapInArrow(run, RESULT)
