@@ -13,14 +13,14 @@ readers take each block from the newest segment that has its counts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import tokens
-from weftline.sources.stored import built_once
+from weftline.sources.stored import built_once, ship
 
 #: Documents of a block, about; partitions of terms.
 BLOCK_DOCS, BUCKETS = 1_000, 64
@@ -31,6 +31,8 @@ SCHEMAS = {
     "blocks": "block int, docs long, words long, parts int, segment int",
 }
 ROWS = "term string, block int, most int, least int, df int, entries array<struct<id: bigint, tf: int, length: int, positions: array<int>>>"
+#: How the rows of a block travel: those of a partition of terms together, as Arrow writes a table.
+PACKED = "bucket int, block int, packed binary"
 #: Blocks that are scored for a floor before the others.
 FIRST = 8
 K1, B = 1.2, 0.75
@@ -60,16 +62,12 @@ class Postings:
         return mine.join(self.blocks().select("block", "segment"), ["block", "segment"])
 
 
-def _bucket(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
-
-
 def _block(parts: Column) -> Column:
     return F.pmod(F.xxhash64("id"), parts).cast("int")
 
 
 def _inverted() -> Callable:
-    """From the documents of a block (id, block, words) the rows of its terms."""
+    """From the documents of a block (id, block, words) the rows of its terms, packed by partition of terms."""
     import numpy as np
     import pyarrow as pa
 
@@ -93,22 +91,49 @@ def _inverted() -> Callable:
         each = pa.StructArray.from_arrays([ids.take(pa.array(doc)), ints(tf), ints(length[doc]), places], ["id", "tf", "length", "positions"])
         ends = np.append(term, len(own))
         bounds = [ints(np.maximum.reduceat(tf, term)), ints(np.minimum.reduceat(length[doc], term))] if len(term) else [ints([]), ints([])]
-        block = ints(np.full(len(term), docs["block"][0].as_py()))
-        columns = [coded.dictionary.take(pa.array(own[term])), block, *bounds, ints(np.diff(ends)), pa.ListArray.from_arrays(ints(ends), each)]
-        return pa.Table.from_arrays(columns, ["term", "block", "most", "least", "df", "entries"])
+        of = docs["block"][0].as_py()
+        block, terms = ints(np.full(len(term), of)), coded.dictionary.take(pa.array(own[term]))
+        columns = [terms, block, *bounds, ints(np.diff(ends)), pa.ListArray.from_arrays(ints(ends), each)]
+        rows = pa.Table.from_arrays(columns, ["term", "block", "most", "least", "df", "entries"])
+        bucket = np.array([zlib.crc32(x.encode()) % BUCKETS for x in terms.to_pylist()], np.int32)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows.take(pa.array(order)), bucket[order]
+        start = changes(bucket)
+        packed = [_pack(rows.slice(a, z - a)) for a, z in zip(start, np.append(start[1:], len(bucket)), strict=True)]
+        return pa.Table.from_arrays([ints(bucket[start]), ints(np.full(len(start), of)), pa.array(packed, pa.binary())], ["bucket", "block", "packed"])
 
     return invert
 
 
+def _pack(rows) -> bytes:
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(batches: Iterator) -> Iterator:
+    """The rows of packed ones, with their partitions of terms."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for bucket, packed in zip(batch["bucket"].to_pylist(), batch["packed"], strict=True):
+            for rows in pa.ipc.open_stream(packed.as_buffer()):
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([bucket] * len(rows), pa.int32())], [*rows.schema.names, "bucket"])
+
+
 def _write(units: DataFrame, parts: int, path: str, segment: int, touched: DataFrame | None = None) -> None:
     """A segment of the blocks of units (id, text), and of those that were touched and may now be empty."""
     spark = units.sparkSession
+    ship(spark)
     text = F.coalesce("text", F.lit(""))
     # Texts are dealt, a few blocks to a task, and cut into words where they arrive; no word travels alone.
     dealt = units.select("id", _block(F.lit(parts)).alias("block"), text.alias("text")).repartition(-(-parts // TASK_BLOCKS), "block").sortWithinPartitions("block")
-    rows = dealt.select("id", "block", tokens(F.col("text")).alias("words")).groupBy("block").applyInArrow(_inverted(), ROWS)
-    out = rows.withColumn("bucket", _bucket(F.col("term"))).withColumn("slice", F.col("block") % F.lit(slices := -(-parts // SLICE_BLOCKS)))
-    out = out.repartition(BUCKETS * slices, "bucket", "slice").drop("slice")
+    packed = dealt.select("id", "block", tokens(F.col("text")).alias("words")).groupBy("block").applyInArrow(_inverted(), PACKED)
+    sliced = packed.withColumn("slice", F.col("block") % F.lit(slices := -(-parts // SLICE_BLOCKS)))
+    out = sliced.repartition(BUCKETS * slices, "bucket", "slice").select("bucket", "packed").mapInArrow(_unpacked, f"{ROWS}, bucket int")
     out.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     placed = units.select(_block(F.lit(parts)).alias("block"), tokens(text).alias("words"))
     counts = placed.groupBy("block").agg(F.count_if(F.size("words") > 0).alias("docs"), F.sum(F.size("words")).alias("words"))
