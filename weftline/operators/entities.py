@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from weftline.functions.text import trigrams
-from weftline.operators.rows import first_seen, top_per
+from weftline.operators.rows import dealt, first_seen, join_same, top_per
+from weftline.sources.stored import written
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.15) -> DataFrame:
@@ -109,17 +110,24 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def resolve(mentions: DataFrame, entities: DataFrame, cooccurring: DataFrame | None = None, accept: float = 0.6, candidates: float = 0.15) -> DataFrame:
+def resolve(mentions: DataFrame, entities: DataFrame, cooccurring: DataFrame | None = None, accept: float = 0.6, candidates: float = 0.15, each: int = 1_000_000) -> DataFrame:
     """Each mention (mention_id, name, seen, nearby: names) with the entity it means, or null for a new one.
 
     entities: (entity_id, name, last_seen). Score: half the likeness of names, 0.3 times the share of nearby
     names that co-occur with the entity (cooccurring: entity_id, name), 0.2 less with each day since it was
     last seen, for a week. Accepted over `accept`; of equal scores the smallest entity_id.
+
+    Two names are likened once, and mentions that agree in name, time and nearby names are resolved as one. These are dealt
+    by how many candidates they have, `each` to a task.
     """
-    pairs = trigram_pairs(mentions, entities, candidates)
-    m = mentions.withColumnRenamed("name", "a")
+    same = ["name", "seen", "nearby"]
+    pairs = written(trigram_pairs(mentions, entities, candidates).select("a", "b", matcher_ratio("a", "b").alias("alike")))
+    kinds = written(mentions.select(*same).distinct())
+    named = lambda df, c: df.groupBy(F.col("name").alias(c)).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    total = pairs.join(named(kinds, "a"), "a").join(named(entities, "b"), "b").agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0
+    m = dealt(kinds, total, same, each).withColumn("a", F.col("name"))
     e = entities.withColumnRenamed("name", "b")
-    c = m.join(pairs.select("a", "b"), "a").join(e, "b")
+    c = m.join(pairs, "a").join(e, "b")
     if cooccurring is None:
         c = c.withColumn("together", F.lit(0.0))
     else:
@@ -129,9 +137,10 @@ def resolve(mentions: DataFrame, entities: DataFrame, cooccurring: DataFrame | N
         c = c.withColumn("together", F.coalesce(F.size(F.array_intersect(near, "known")) / F.nullif(F.size(F.array_distinct(near)), F.lit(0)), F.lit(0.0)))
     days = F.abs(F.timestamp_diff("SECOND", "last_seen", "seen")) / 86_400.0
     fresh = F.when(days < 7, F.greatest(F.lit(0.0), 1 - days / 7)).otherwise(0.0)
-    score = 0.5 * matcher_ratio("a", "b") + 0.3 * F.col("together") + 0.2 * F.coalesce(fresh, F.lit(0.0))
-    best = top_per(c.withColumn("score", F.round(score, 6)), ["mention_id"], [F.desc("score"), F.asc("entity_id")], 1).where(F.col("score") > accept)
-    return mentions.select("mention_id", "name").join(best.select("mention_id", "entity_id", "score"), "mention_id", "left")
+    score = F.round(0.5 * F.col("alike") + 0.3 * F.col("together") + 0.2 * F.coalesce(fresh, F.lit(0.0)), 6)
+    good = c.select(*same, "entity_id", score.alias("score")).where(F.col("score") > accept)
+    best = top_per(good, same, [F.desc("score"), F.asc("entity_id")], 1).drop("rank")
+    return join_same(mentions, best, same, "left").select("mention_id", "name", "entity_id", "score")
 
 
 def new_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
