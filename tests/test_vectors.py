@@ -95,3 +95,33 @@ def test_blocks_are_dealt_to_groups(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "q_cell" not in plan
     same(triples(got.collect()), brute(x, 4, 0.2))
+
+
+def test_probing_copies_no_query_and_groups_are_bounded(spark, monkeypatch):
+    """A query that reads nearly all cells travels once for each group, and what a task holds does not follow the input."""
+    monkeypatch.setattr(vectors, "PER_CELL", 5)
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(vectors, "GROUPS", 2)
+    monkeypatch.setattr(vectors, "HELD", 40 * 8)
+    monkeypatch.setattr(vectors, "AT_ONCE", 16)
+    x = clustered(300, 6, 8, seed=5) + [[2.0] * 8] * 3 + [[0.0] * 8, None]
+    df, asked_of = frame(spark, x), set(range(0, 301, 20))
+    index, asked = vectors.build(df), df.where("id % 20 = 0")
+    probes = len(index.centres) - 3
+    placed = []
+    of = vectors._placed
+    monkeypatch.setattr(vectors, "_placed", lambda units, centres, probes=1: placed.append(probes) or of(units, centres, probes))
+    found = vectors.search(index, asked, 4, probes=probes)
+    assert placed == [1]
+    blocks = vectors._blocks(vectors._classes(index.rows, 4), "cell", "embedding", "ids")
+    assert vectors._groups(blocks, 8) == 8 and blocks.agg({"n": "sum"}).first()[0] == 301
+    # In numpy: the nearest cells of each query, and the best of all that are in them.
+    rows = {r.id: r.cell for r in index.rows.collect()}
+    unit = {i: np.asarray(x[i], np.float32).astype(float) / np.linalg.norm(np.asarray(x[i], np.float32).astype(float)) for i in rows}
+    want = set()
+    for q in asked_of & set(rows):
+        near = set(np.argsort(-(index.centres @ unit[q]), kind="stable")[:probes])
+        best = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i, cell in rows.items() if cell in near)[:4]
+        want |= {(q, i, -s) for s, i in best}
+    same(triples(found.collect(), "query", "id"), want)
+    assert {r["query"] for r in vectors.search(index, asked, 4, probes=len(index.centres) + 1).collect()} == asked_of

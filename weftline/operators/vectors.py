@@ -31,8 +31,12 @@ FIT_EACH, MOST_CENTRES = 40, 2_048
 PER_CELL = 256
 #: Distinct vectors of a block.
 BLOCK = 512
-#: Groups of blocks: how often a block travels where all blocks are compared.
+#: Groups of blocks at least: how often a block travels where all blocks are compared.
 GROUPS = 16
+#: Numbers in the vectors of a group, which a task holds of each side.
+HELD = 4_194_304
+#: Vectors that are compared with all centres at once.
+AT_ONCE = 1_024
 #: Cells that a query is compared with first.
 PROBES = 8
 #: Room for rounding in angles.
@@ -76,7 +80,7 @@ def fit_centres(units: DataFrame, seed: int = 11, rounds: int = 8) -> np.ndarray
     x = x[np.lexsort(x.T)]  # the order that rows come in plays no part
     centre = x[rng.permutation(len(x))[:centres]]
     for _ in range(rounds):
-        near = (x @ centre.T).argmax(1)
+        near = np.concatenate([(x[lo : lo + AT_ONCE] @ centre.T).argmax(1) for lo in range(0, len(x), AT_ONCE)])
         sums = np.zeros_like(centre)
         np.add.at(sums, near, x)
         full = np.linalg.norm(sums, axis=1) > 0
@@ -84,17 +88,20 @@ def fit_centres(units: DataFrame, seed: int = 11, rounds: int = 8) -> np.ndarray
     return centre
 
 
+def _nearest(s: np.ndarray, probes: int) -> np.ndarray:
+    """The columns of the largest values of each row, the largest first, of equal ones the first."""
+    return s.argmax(1)[:, None] if probes == 1 else np.argsort(-s, axis=1, kind="stable")[:, :probes]
+
+
 def _placed(units: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """(id, embedding, cell, angle, probe): the nearest cells of each vector, the nearest first."""
     probes = min(probes, len(centres))
     ship(units.sparkSession)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (batch[lo : lo + AT_ONCE] for batch in batches for lo in range(0, len(batch), AT_ONCE)):
             s = _unit(np.stack(b["embedding"].to_numpy()).astype(float)) @ centres.T
-            near = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+            near = _nearest(s, probes)
             angle = np.arccos(np.clip(np.take_along_axis(s, near, 1), -1, 1))
             at = np.repeat(np.arange(len(b)), probes)
             yield pd.DataFrame({"id": b["id"].to_numpy()[at], "embedding": b["embedding"].to_numpy()[at], "cell": near.ravel(), "angle": angle.ravel(), "probe": np.tile(np.arange(probes), len(b))})
@@ -128,10 +135,10 @@ def _classes(rows: DataFrame, ids: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, cell: str, key: str, *cols: str) -> DataFrame:
-    """(cell, block, spread, rows): the rows of each cell in blocks of about BLOCK, with the largest angle of each."""
+    """(cell, block, spread, n, rows): the rows of each cell in blocks of about BLOCK, with the largest angle and the number of each."""
     size = rows.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     cut = rows.join(size, cell).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    return cut.groupBy(cell, "block").agg(F.max("angle").alias("spread"), F.collect_list(F.struct(key, *cols)).alias("rows"))
+    return cut.groupBy(cell, "block").agg(F.max("angle").alias("spread"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(key, *cols)).alias("rows"))
 
 
 def _struct(rows: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
@@ -150,9 +157,12 @@ def _asked(structs: pa.StructArray, threshold: float, by_floor: bool) -> tuple[n
     return q, np.maximum(threshold, pc.struct_field(structs, "floor").to_numpy()) if by_floor else np.full(len(q), threshold)
 
 
-def _over(q: np.ndarray, a: np.ndarray, floor: np.ndarray, b: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, similarity) of the pairs of rows of a and b at or over each query's floor, ties of the k-th with it."""
+def _over(q: np.ndarray, a: np.ndarray, floor: np.ndarray, b: np.ndarray, ids: pa.Array, k: int, read: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, similarity) of the pairs of rows of a and b at or over each query's floor, ties of the k-th with it; of those that
+    are read alone, where that is given."""
     s = np.round(a @ b.T, PLACES)
+    if read is not None:
+        s[~read] = -np.inf
     if s.shape[1] > k:
         # More than k columns over a query's k-th cannot be needed, but for ties.
         floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
@@ -196,19 +206,27 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return top_per(found, ["query"], [F.desc("similarity"), F.asc("id")], k)
 
 
-def _compared(left: DataFrame, right: DataFrame, centres: np.ndarray, k: int, threshold: float, by_floor: bool = False) -> DataFrame:
-    """The best k for each query of all pairs of blocks (cell, block, spread, widest, rows and cell, block, spread, rows) that can
-    hold one: within the widest angle that the queries of a block reach.
+def _groups(blocks: DataFrame, dims: int) -> int:
+    """How many groups the blocks of a side are dealt to: GROUPS, and more where a group would be over HELD numbers."""
+    many, rows = blocks.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return max(1, min(many, max(GROUPS, -(-(rows or 0) * dims // HELD))))
+
 
-    Blocks are dealt to groups, and a task compares one group of each side. So a block travels GROUPS times, however many
-    others it is compared with, and a query leaves k answers for a group.
+def _compared(left: DataFrame, right: DataFrame, centres: np.ndarray, k: int, threshold: float, by_floor: bool = False, probes: int | None = None) -> DataFrame:
+    """The best k for each query of all pairs of blocks (cell, block, spread, n, widest, rows and cell, block, spread, n, rows) that
+    can hold one: within the widest angle that the queries of a block reach. With probes, the best k of so many cells of
+    each query, its nearest.
+
+    Blocks are dealt to groups, and a task compares one group of each side. So a block travels once for each group of the
+    other side, however many blocks or cells it is compared with, and a query leaves k answers for a group. A group is bounded.
     """
-    groups = max(1, min(GROUPS, right.count()))
+    lefts, rights = _groups(left, centres.shape[1]), _groups(right, centres.shape[1])
+    probes = None if probes is None or probes >= len(centres) else probes
     ship(left.sparkSession)
-    group = F.pmod(F.xxhash64("cell", "block"), F.lit(groups)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    a = left.select("cell", "spread", "widest", "rows", group.alias("i")).withColumn("j", every)
-    b = right.select(F.col("cell").alias("t_cell"), F.col("spread").alias("t_spread"), F.col("rows").alias("t_rows"), group.alias("j")).withColumn("i", every)
+    group = lambda n: F.pmod(F.xxhash64("cell", "block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select("cell", "spread", "widest", "rows", group(lefts).alias("i")).withColumn("j", every(rights))
+    b = right.select(F.col("cell").alias("t_cell"), F.col("spread").alias("t_spread"), F.col("rows").alias("t_rows"), group(rights).alias("j")).withColumn("i", every(lefts))
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -217,15 +235,21 @@ def _compared(left: DataFrame, right: DataFrame, centres: np.ndarray, k: int, th
             q, floor = _asked(asked, threshold, by_floor)
             x, y, ids = _vectors(asked), _vectors(targets), pc.struct_field(targets, "ids")
             cells, spread, widest = (one[c].to_numpy() for c in ("cell", "spread", "widest"))
-            between = np.arccos(np.clip(centres[cells] @ centres[other["t_cell"].to_numpy()].T, -1, 1))
+            t_cells = other["t_cell"].to_numpy()
+            between = np.arccos(np.clip(centres[cells] @ centres[t_cells].T, -1, 1))
             near = between - spread[:, None] - other["t_spread"].to_numpy()[None, :] <= widest[:, None] + SLACK
+            cell_of = np.repeat(t_cells, np.diff(to))
             for n in range(len(cells)):
-                mine = slice(at[n], at[n + 1])
+                mine, read = slice(at[n], at[n + 1]), None
+                if probes is not None:
+                    read = np.zeros((at[n + 1] - at[n], len(centres)), bool)
+                    np.put_along_axis(read, _nearest(x[mine] @ centres.T, probes), True, 1)
+                    near[n] = read.any(0)[t_cells]
                 rows = np.concatenate([np.arange(to[m], to[m + 1]) for m in np.flatnonzero(near[n])] or [np.zeros(0, np.int64)])
                 best = found[0]
                 for lo in range(0, len(rows), 8 * BLOCK):
                     some = rows[lo : lo + 8 * BLOCK]
-                    more = _over(q[mine], x[mine], floor[mine], y[some], ids.take(pa.array(some)), k)
+                    more = _over(q[mine], x[mine], floor[mine], y[some], ids.take(pa.array(some)), k, None if read is None else read[:, cell_of[some]])
                     best = _top(*(np.concatenate(c) for c in zip(best, more, strict=True)), k)
                 found.append(best)
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "id", "similarity"])
@@ -247,11 +271,14 @@ def search(index: Index, queries: DataFrame, k: int, threshold: float = -1.0, pr
     """
     targets = written(_blocks(_classes(index.rows, k), "cell", "embedding", "ids"))
     some = [F.col("id").alias("query"), "embedding", "cell", "angle"]
-    asked = _placed(queries, index.centres, probes or PROBES).select(*some, F.lit(-1.0).alias("floor"))
+    if probes is not None:
+        # A query is in the block of its nearest cell alone, however many it reads.
+        asked = _placed(queries, index.centres).select(*some, F.lit(float(threshold)).alias("floor"))
+        asked = written(_blocks(asked, "cell", "query", "embedding", "floor").withColumn("widest", F.lit(np.pi)))
+        return _compared(asked, targets, index.centres, k, threshold, probes=probes)
+    asked = _placed(queries, index.centres, PROBES).select(*some, F.lit(-1.0).alias("floor"))
     left = _blocks(asked, "cell", "query", "embedding", "floor").select("cell", F.col("rows").alias("left"))
     first = _best(_multiply(left.join(targets.select("cell", F.col("rows").alias("right")), "cell"), k, threshold, False), k)
-    if probes is not None:
-        return first
     floors = first.where(F.col("rank") == k).select("query", F.col("similarity").alias("floor"))
     home = _placed(queries, index.centres).select(*some).join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float(threshold))))
     by_query = _blocks(home, "cell", "query", "embedding", "floor")
